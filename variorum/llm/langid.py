@@ -27,7 +27,7 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 MAX_TRAIN = 1500
 ALPHA = 0.5
-MIN_POSTERIOR = 0.6
+MIN_POSTERIOR = 0.4
 SLICE_CHARS = 1 << 18
 _M1, _M2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
