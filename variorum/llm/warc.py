@@ -36,6 +36,8 @@ from pyspark.sql import types as T
 from variorum.llm.common import new_path, written
 
 READ_BYTES = 8 << 20
+#: Archive bytes that one reading task takes.
+TASK_BYTES = 64 << 20
 PACKAGE_BYTES = 64 << 20
 RECORD = "path string, member string, offset bigint, length bigint, warc_type string, record_id string, target_uri string, warc_date string, status int, content_type string, payload binary, digest_ok boolean"
 
@@ -285,7 +287,11 @@ def read(paths: DataFrame, path: str = "path") -> DataFrame:
 
     listed = paths.select(F.col(f"`{path}`").alias("path")).where("path is not null")
     ranges = listed.mapInArrow(plan, "path string, member string, offset bigint, length bigint")
-    ranges = ranges.repartition("path", F.expr(f"offset div {READ_BYTES}")).sortWithinPartitions("path", "offset")
+    # the ranges are small and what they name is large: a counted number of partitions, which isn't coalesced by size
+    ranges = written(ranges, "ranges")
+    total = ranges.agg(F.coalesce(F.sum(F.abs("length")), F.lit(0))).first()[0]
+    tasks = max(ranges.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    ranges = ranges.repartition(tasks, "path", F.expr(f"offset div {READ_BYTES}")).sortWithinPartitions("path", "offset")
     return ranges.mapInArrow(fetch, RECORD)
 
 
