@@ -7,21 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from variorum.kernels import matching
+from variorum.kernels.labels import LAYER_OF
 from variorum.kernels.matching import LETTER
 
 #: What Python's ``str.split()`` splits on, written out because Java's \\s is ASCII only.
 SPACE = "[\\t-\\r\\x1C- \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
-LABELS = {
-    "apparatus": "apparatus app-crit appcrit critical-apparatus",
-    "heading": "heading ocr-title title",
-    "notes": "notes",
-    "page_number": "folio ocr-pageno page-number pageno",
-    "running_head": "header ocr-header running-head",
-    "translation": "facing-translation translation",
-}
-LAYER_OF = {label: layer for layer, labels in LABELS.items() for label in labels.split()}
 HANDS = {"*": "reading that prompted a correction", "ac": "before correction", "c": "after correction / corrector", "mr": "later hand (manus recentior)", "pc": "after correction / corrector"}
 
 
@@ -114,17 +107,17 @@ def crop(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height:
     return F.struct(fit(x0, width).alias("x0"), fit(y0, height).alias("y0"), fit(x1, width).alias("x1"), fit(y1, height).alias("y1"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(s: pd.Series) -> pd.Series:
     return s.map(matching.fold, na_action="ignore")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def lemma_follows(lemma: pd.Series, before: pd.Series) -> pd.Series:
     return pd.Series([x is not None and y is not None and matching.follows(x, y) for x, y in zip(lemma, before)])
 
@@ -141,4 +134,4 @@ PROFILES = {
 
 def fold_with(profile: str):
     f = PROFILES[profile]
-    return F.pandas_udf(lambda s: s.map(f, na_action="ignore"), "string")
+    return F.pandas_udf(lambda s: s.map(f, na_action="ignore"), T.StringType())

@@ -4,17 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from variorum.functions import text as X
+from variorum.kernels.attribution import nobody
 from variorum.operators import apparatus as A
+from variorum.operators import evidence as E
 from variorum.plans import bands
+from variorum.plans.bands import WORDS_SQL
+from variorum.sources import conspectus, layers, ocr
 
 Query = Callable[[SparkSession, str], DataFrame]
+Q: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+CONVENTIONS = list(bands.BANDS)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        Q[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return d.select(*columns) if columns else d
 
 
 def entries_of(spark: SparkSession, sf_dir: str, convention: str) -> DataFrame:
@@ -30,9 +49,338 @@ def golden(convention: str) -> Query:
     return run
 
 
+for _c in CONVENTIONS:
+    Q[f"{_c}_golden"], SQL[f"{_c}_golden"] = golden(_c), bands.expected_sql(_c)
+
+#: A band that each convention's gate refuses, the reason's class, and its entries.
+REFUSED = {
+    "bude": ("5 {w1} {w2} : {w3} {w4} || 6 {w5} : {w6}", "only n '||'-chunk(s) trial-parsed (minimum n)", 2),
+    "teubner": ("12 {w1}] {w2} : {w3} {w4}", "trial parse left n of tokens unconsumed (maximum n)", 1),
+    "paragraph": ("18 {w1}] {w2} {s} • 20 {w3}] {w4} {t}", "foreign separator '•' is not consumed", 2),
+    "line": ("5 {w1} {s} | {w2} {t} ∥ 7 {w3} || {w4} | {w5}", "foreign separator '||' is not consumed", 2),
+    "verse": ("1:18 {w1} WH ] {w2} RP ∥ {w3}", "foreign separator '∥' is not consumed", 1),
+    "marker": ("1 {c1} {w2} {w3}  2 {c3} {w4}", "trial parse left n of tokens unconsumed (maximum n)", 2),
+}
+
+
+def mixed(spark: SparkSession, sf_dir: str, refused: bool) -> DataFrame:
+    """Entries of a page per document whose convention is its id modulo 6."""
+    d = bands.six(spark, sf_dir)
+    which = lambda by: F.element_at(F.array(*by), (F.col("doc_id") % 6 + 1).cast("int"))
+    band = which([bands.fill(REFUSED[c][0] if refused else bands.BANDS[c]) for c in CONVENTIONS])
+    block = lambda layer, text: F.struct(F.lit(layer).alias("layer"), text.alias("text"))
+    p = d.select("doc_id", F.lit(0).alias("page_index"), F.array(block("text", which([bands.fill(bands.TEXTS[c]) for c in CONVENTIONS])), block("apparatus", band)).alias("blocks"))
+    return A.entries(p, bands.REGISTRY)
+
+
+_N = {"bude": 3, "teubner": 2, "paragraph": 3, "line": 3, "verse": 3, "marker": 3}
+_NAMES = "[" + ", ".join(f"'{c}'" for c in CONVENTIONS) + "]"
+
+
+@query(f"WITH {WORDS_SQL} SELECT {_NAMES}[CAST(doc_id % 6 + 1 AS INT)] AS grammar, CAST(sum({list(_N.values())}[CAST(doc_id % 6 + 1 AS INT)]) AS BIGINT) AS entries, CAST(sum({list(_N.values())}[CAST(doc_id % 6 + 1 AS INT)]) AS BIGINT) AS parsed FROM six GROUP BY 1")
+def dispatch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, sf_dir, False).groupBy("grammar").agg(F.count("*").alias("entries"), F.count("parsed").alias("parsed"))
+
+
+_REASONS = "[" + ", ".join("'" + (f"{c} convention gate refused band: " + REFUSED[c][1]).replace("'", "''") + "'" for c in CONVENTIONS) + "]"
+
+
+@query(f"WITH {WORDS_SQL} SELECT {_REASONS}[CAST(doc_id % 6 + 1 AS INT)] AS reason, CAST(sum({[REFUSED[c][2] for c in CONVENTIONS]}[CAST(doc_id % 6 + 1 AS INT)]) AS BIGINT) AS n FROM six GROUP BY 1")
+def gate_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.refusal_tally(mixed(spark, sf_dir, True))
+
+
+_COVER = f"""WITH {WORDS_SQL}, x AS (SELECT doc_id, w3, w5, w1 || ' ' || w3 || ' ' || w5 AS t FROM six),
+p AS (SELECT *, instr(t[2:], w3) + 1 AS p3 FROM x), q AS (SELECT *, instr(t[p3 + 1:], w5) + p3 AS p5 FROM p),
+f AS (SELECT doc_id, doc_id % 2 = 0 AS ok, 1 + CAST(t[p3 - 1] = ' ' AS INT) + CAST(t[p5 - 1] = ' ' AS INT) AS a FROM q),
+e AS (SELECT doc_id, CASE WHEN ok THEN 3 ELSE 2 END AS entries, CASE WHEN ok THEN 3 ELSE 0 END AS parsed, CASE WHEN ok THEN 0 ELSE 2 END AS refused, 0 AS unparsed,
+    CASE WHEN ok THEN a ELSE 0 END AS attached, CASE WHEN ok THEN 3 - a ELSE 0 END AS end_only, CASE WHEN ok THEN 0 ELSE 2 END AS unanchored FROM f)
+SELECT doc_id, page_index, CAST(sum(entries) AS BIGINT) AS entries, CAST(sum(parsed) AS BIGINT) AS parsed, CAST(sum(refused) AS BIGINT) AS refused, CAST(sum(unparsed) AS BIGINT) AS unparsed,
+    CAST(sum(attached) AS BIGINT) AS attached, CAST(sum(end_only) AS BIGINT) AS end_only, CAST(sum(unanchored) AS BIGINT) AS unanchored
+FROM (SELECT *, 0 AS page_index FROM e) GROUP BY GROUPING SETS ((doc_id, page_index), (doc_id))"""
+
+
+@query(_COVER)
+def coverage_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bands.six(spark, sf_dir)
+    good, bad = d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")
+    block = lambda layer, text: F.struct(F.lit(layer).alias("layer"), text.alias("text"))
+    no = bad.select("doc_id", F.lit(0).alias("page_index"), F.array(block("text", bands.fill(bands.TEXTS["bude"])), block("apparatus", bands.fill(REFUSED["bude"][0]))).alias("blocks"))
+    return A.coverage(A.entries(bands.pages(good, "bude").unionByName(no), bands.REGISTRY))
+
+
+@query(f"WITH {WORDS_SQL} SELECT witness, count(*) AS n FROM (SELECT t AS witness FROM six UNION ALL SELECT t FROM six) GROUP BY 1")
+def witness_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.support(entries_of(spark, sf_dir, "bude"))
+
+
+_SIGLUM = "substr('ABEFGHKN', CAST(doc_id % 8 + 1 AS INT), 1) || ['', 'ac', 'pc', 'c', 'mr', '*', '2', 'x'][CAST(doc_id // 8 % 8 + 1 AS INT)]"
+
+
+@query(f"""WITH s AS (SELECT doc_id % 3 AS doc_id, {_SIGLUM} AS siglum FROM documents), d AS (SELECT DISTINCT doc_id, siglum, regexp_extract(siglum, '^[A-Z](ac|pc|mr|c|[*1-9])$', 1) AS h FROM s),
+b AS (SELECT *, h <> '' AND siglum[1] IN ('A', 'B', 'E', 'F') AS known FROM d)
+SELECT doc_id, siglum, CASE WHEN known THEN siglum[1] ELSE siglum END AS base, CASE WHEN known THEN h ELSE '' END AS hand,
+    CASE WHEN NOT known THEN '' WHEN h IN ('c', 'pc') THEN 'after correction / corrector' WHEN h = 'ac' THEN 'before correction' WHEN h = 'mr' THEN 'later hand (manus recentior)' WHEN h = '*' THEN 'reading that prompted a correction' ELSE 'hand ' || h END AS hand_label,
+    CASE WHEN known OR siglum IN ('A', 'B', 'E', 'F') THEN 'Codex ' || siglum[1] ELSE '' END AS description FROM b""")
+def witness_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
+    hand = at(["", "ac", "pc", "c", "mr", "*", "2", "x"], F.floor(F.col("doc_id") / 8) % 8)
+    sigla = table(spark, sf_dir, "documents", "doc_id").select((F.col("doc_id") % 3).alias("doc_id"), F.concat(at("ABEFGHKN", F.col("doc_id") % 8), hand).alias("siglum"))
+    declared = spark.range(3).select(F.col("id").alias("doc_id"), F.explode(F.array(*[F.lit(c) for c in "ABEF"])).alias("token")).withColumn("description", F.concat(F.lit("Codex "), "token"))
+    return A.witness_table(sigla, declared, "doc_id")
+
+
+_UNWRAP = "replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), ' ')"
+
+
+@query(f"SELECT doc_id, substr(sha256({_UNWRAP}), 1, 12) AS source_sha FROM documents")
+def source_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.source_digest(F.col("text")).alias("source_sha"))
+
+
+def reviews(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """``labels`` as a review file of the first entry of each Budé page: quality 1 corrects it, toxic 1 refuses it."""
+    d = bands.six(spark, sf_dir).select("doc_id", bands.fill("5 {w1} {s} : {w2} {t}").alias("slice"))
+    action = F.when(F.col("toxic") == 1, "verbatim").when(F.col("quality") == 1, "parse")
+    attr = F.struct(*[F.array().cast("array<string>").alias(k) for k in nobody()])
+    fix = F.struct(F.lit("corrected").alias("lemma"), attr.alias("a"), F.array().cast("array<struct<text:string,attribution:" + A.ATTRIBUTION + ">>").alias("r"), F.array().cast("array<string>").alias("c"))
+    return table(spark, sf_dir, "labels").join(d, "doc_id").select("doc_id", F.lit(key).alias("entry_key"), action.alias("action"), X.source_digest(F.col("slice")).alias("source_sha"), fix.alias("reviewed")).where("action is not null")
+
+
+_REVIEW = f"WITH {WORDS_SQL}, r AS (SELECT l.doc_id, CASE WHEN toxic = 1 THEN 'verbatim' WHEN quality = 1 THEN 'parse' END AS action FROM labels l JOIN six USING (doc_id))"
+
+
+@query(f"""{_REVIEW}, e AS (SELECT doc_id, unnest([0, 1, 2]) AS k, w1, w3, w5 FROM six)
+SELECT doc_id, k, CASE WHEN k = 1 THEN w3 WHEN k = 2 THEN w5 WHEN action = 'verbatim' THEN NULL WHEN action = 'parse' THEN 'corrected' ELSE w1 END AS lemma,
+    CASE WHEN k = 0 THEN action END AS action, CASE WHEN k = 0 AND action = 'verbatim' THEN 'refused' ELSE 'parsed' END AS structure FROM e LEFT JOIN r USING (doc_id)""")
+def override_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = A.flags(A.apply_overrides(entries_of(spark, sf_dir, "bude"), reviews(spark, sf_dir, "p0-e0")))
+    return done.select("doc_id", "k", F.col("parsed.lemma").alias("lemma"), F.col("override_action").alias("action"), "structure")
+
+
+@query(f"{_REVIEW} SELECT doc_id, 'p0-e3' AS entry_key FROM r WHERE action IS NOT NULL")
+def override_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.unmatched(entries_of(spark, sf_dir, "bude"), reviews(spark, sf_dir, "p0-e3"))
+
+
+@query(f"{_REVIEW} SELECT doc_id, 'p0-e1' AS entry_key FROM r WHERE action IS NOT NULL")
+def override_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.drifted(entries_of(spark, sf_dir, "bude"), reviews(spark, sf_dir, "p0-e1")).select("doc_id", "entry_key")
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, CAST(3 AS BIGINT) AS entries, CAST(1 AS BIGINT) AS anchored, CAST(2 AS BIGINT) AS unanchored, CAST(1 AS BIGINT) AS ambiguous FROM six")
+def marker_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bands.six(spark, sf_dir)
+    block = lambda layer, text: F.struct(F.lit(layer).alias("layer"), text.alias("text"))
+    p = d.select("doc_id", F.lit(0).alias("page_index"), F.array(block("text", bands.fill("{c1}1 and {c3}2 and {c3}2 end")), block("apparatus", bands.fill(bands.BANDS["marker"]))).alias("blocks"))
+    return A.anchor_counters(A.entries(p, bands.REGISTRY), "doc_id")
+
+
+@query("WITH d AS (SELECT source, doc_id, doc_id - row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM (SELECT DISTINCT source, doc_id FROM documents)) SELECT source, min(doc_id) AS first, max(doc_id) AS last FROM d GROUP BY source, i")
+def folio_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.ranges(table(spark, sf_dir, "documents", "source", "doc_id"), "source", "doc_id")
+
+
+@query("WITH d AS (SELECT source, doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS n FROM (SELECT DISTINCT source, doc_id FROM documents)) SELECT source, unnest(range(doc_id, CASE WHEN n - doc_id <= 8 THEN n ELSE doc_id + 1 END)) AS doc_id FROM d")
+def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.fill_gaps(table(spark, sf_dir, "documents", "source", "doc_id"), "source", "doc_id", 8)
+
+
+@query("WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN turn END AS locus FROM conversations) SELECT conv_id, turn, last_value(locus IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS carried FROM c")
+def locus_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")).alias("locus"))
+    return E.carry_forward(c, "locus", "conv_id", "turn").select("conv_id", "turn", "carried")
+
+
+_TAIL = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'))), lambda x: x <> '')[-1]"
+
+
+@query(f"WITH t AS (SELECT source, {_TAIL} AS tail FROM documents) SELECT source, tail, count(*) AS n FROM t WHERE len(tail) >= 25 AND NOT (contains(tail, ' : ') OR contains(tail, ' | ') OR contains(tail, '∥') OR contains(tail, ']')) GROUP BY 1, 2 HAVING count(*) >= 3")
+def repeated_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.footers(table(spark, sf_dir, "documents", "source", "text"), ("source",))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
+    layer = F.when(F.trim("text") == "", "unknown").when(F.length("text") < 40, "heading").otherwise("text")
+    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "text")).select("doc_id", F.col("block").cast("int").alias("page_index"), "text").withColumn("layer", layer)
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, t, CASE WHEN trim(t) = '' THEN 'unknown' WHEN len(t) < 40 THEN 'heading' ELSE 'text' END AS layer FROM l) SELECT layer, count(*) AS blocks, CAST(sum(len(t)) AS BIGINT) AS chars FROM m GROUP BY 1")
+def layer_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.layer_census(lines(spark, sf_dir)).select("layer", "blocks", "chars")
+
+
+@query("""WITH a AS (SELECT text FROM documents WHERE doc_id % 2 = 0), b AS (SELECT text FROM documents WHERE doc_id % 2 = 1),
+c AS (SELECT text, sum(w) AS d FROM (SELECT text, 1 AS w FROM a UNION ALL SELECT text, -1 FROM b) GROUP BY text)
+SELECT sha256(text) AS entry, CASE WHEN d > 0 THEN 'first' ELSE 'second' END AS only_in, CAST(abs(d) AS BIGINT) AS n FROM c WHERE d <> 0 AND text IS NOT NULL""")
+def duplicate_entries_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.sha2("text", 256).alias("entry"))
+    return E.multiset_difference(d.where("doc_id % 2 = 0").select("entry"), d.where("doc_id % 2 = 1").select("entry"))
+
+
+_NORM = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(' ' || {_NORM.format('d.text')} || ' ', ' ' || {_NORM.format('b.text')} || ' ')")
+def contamination_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.phrases(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id")
+
+
+_TERMS = "list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(text, '\\s+', ' ', 'g')), '[^a-z]+'), lambda w: len(w) >= 6))"
+
+
+@query(f"""WITH i AS (SELECT item_id, unnest({_TERMS}) AS w FROM benchmark), d AS (SELECT doc_id, unnest({_TERMS}) AS w FROM documents),
+s AS (SELECT item_id, doc_id, CAST(sum(least(120, len(w) + 10)) AS BIGINT) AS score FROM i JOIN d USING (w) GROUP BY ALL)
+SELECT item_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) = 1""")
+def best_page_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.best(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id")
+
+
+@query("""WITH s AS (SELECT user_id, CAST(epoch_us(ts) AS BIGINT) AS at, event_id, event_type FROM events)
+SELECT a.event_id, (SELECT max(b.event_id) FROM s b WHERE b.user_id = a.user_id AND b.event_type = 'purchase' AND b.at = (SELECT max(c.at) FROM s c WHERE c.user_id = a.user_id AND c.event_type = 'purchase' AND c.at <= a.at)) AS last_purchase FROM s a WHERE event_type <> 'purchase'""")
+def locus_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events", "user_id", "ts", "event_id", "event_type")
+    starts = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("last_purchase"))
+    return E.as_of(e.where("event_type <> 'purchase'").select("user_id", "ts", "event_id"), starts, "user_id", "ts", "ts", "last_purchase").select("event_id", "last_purchase")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def idref_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.dangling(table(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "doc_id", "id")
+
+
+_STATE = "CASE WHEN len(text) = 0 OR text IS NULL THEN 'empty' WHEN toxic = 1 THEN 'excluded' WHEN quality IS NULL THEN 'unlabelled' ELSE 'emitted' END"
+
+
+@query(f"WITH s AS (SELECT source, {_STATE} AS state FROM documents LEFT JOIN labels USING (doc_id)) SELECT source, state, count(*) AS n FROM s GROUP BY GROUPING SETS ((source, state), (state))")
+def ledger_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents", "doc_id", "source", "text").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    state = F.when((F.length("text") == 0) | F.col("text").isNull(), "empty").when(F.col("toxic") == 1, "excluded").when(F.col("quality").isNull(), "unlabelled").otherwise("emitted")
+    return E.ledger(d.select("source", state.alias("state")), "source", "state")
+
+
+@query("WITH m AS (SELECT source, count(*) AS source_n, count(*) FILTER (lang <> 'en') AS got FROM documents GROUP BY source) SELECT source, source_n AS source_apps, got FROM m WHERE got <> source_n UNION ALL SELECT NULL, CAST(sum(source_n) AS BIGINT), 0 FROM m")
+def ledger_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents", "source", "lang")
+    got = d.where("lang <> 'en'").groupBy("source").agg(F.count("*").alias("n"))
+    return E.identity_failures(got.withColumnRenamed("source", "book"), _manifest(d), "book").select(F.col("book").alias("source"), F.col("source").alias("source_apps"), "got")
+
+
+def _manifest(d: DataFrame) -> DataFrame:
+    return d.groupBy(F.col("source").alias("book")).agg(F.count("*").alias("source"))
+
+
+@query("SELECT lang, count(*) FILTER (quality IS NOT NULL) / greatest(count(*), 1) AS anchoring, count(*) FILTER (quality = 1) / greatest(count(*) FILTER (quality IS NOT NULL), 1) AS parse, count(*) FILTER (toxic = 1) / greatest(count(*) FILTER (toxic IS NOT NULL), 1) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+def quality_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents", "doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    q = F.col("quality")
+    return d.groupBy("lang").agg(E.rate(q.isNotNull()).alias("anchoring"), E.rate(q == 1, q.isNotNull()).alias("parse"), E.rate(F.col("toxic") == 1, F.col("toxic").isNotNull()).alias("toxic"))
+
+
+@query(f"""WITH {WORDS_SQL}, e AS (SELECT doc_id, 0 AS k, w1 AS l, s AS lw, w2 AS r, t AS rw, '' AS re FROM six UNION ALL SELECT doc_id, 1, w3, s || ',' || t, w4, '', 'Otto' FROM six UNION ALL SELECT doc_id, 2, w5, '', 'om.', t, '' FROM six),
+n AS (SELECT *, l <> r AS two FROM e)
+SELECT doc_id, k, 'count' AS type, l AS subject, '1' AS gold FROM n
+UNION ALL SELECT doc_id, k, 'lemma_vs_variant', l, 'constituted text' FROM n UNION ALL SELECT doc_id, k, 'lemma_vs_variant', r, 'rejected variant' FROM n WHERE two
+UNION ALL SELECT doc_id, k, 'editor_attribution', r, re FROM n WHERE re <> ''
+UNION ALL SELECT doc_id, k, 'witness_of_reading', l, CASE WHEN two OR rw = '' THEN lw ELSE lw || ',' || rw END FROM n WHERE lw <> ''
+UNION ALL SELECT doc_id, k, 'witness_of_reading', r, rw FROM n WHERE rw <> '' AND two
+UNION ALL SELECT doc_id, k, 'reading_of_witness', unnest(string_split(lw, ',')), l FROM n WHERE lw <> ''
+UNION ALL SELECT doc_id, k, 'reading_of_witness', rw, r FROM n WHERE rw <> ''""")
+def qa_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.questions(A.readings(entries_of(spark, sf_dir, "bude"), "doc_id"), "doc_id", "k")
+
+
+@query("WITH q AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('20260804:' || CAST(doc_id AS VARCHAR)), doc_id) AS r FROM documents) SELECT doc_id, lang FROM q WHERE r <= CASE lang WHEN 'en' THEN 38 WHEN 'de' THEN 38 WHEN 'es' THEN 37 WHEN 'fr' THEN 37 END")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.stratified(table(spark, sf_dir, "documents", "doc_id", "lang"), "lang", "doc_id", 150, ["en", "de", "es", "fr"], "20260804")
+
+
+@query("WITH t AS (SELECT doc_id, ['M*', 'π', 'ω', 'Tc', 'A1', 'ϛ-b'][CAST(doc_id % 6 + 1 AS INT)] || CAST(doc_id AS VARCHAR) AS token FROM documents) SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(token, ''), lambda c: c <> ''), lambda c: CASE WHEN regexp_full_match(c, '[A-Za-z0-9]') THEN c ELSE 'u' || printf('%x', unicode(c)) END), '') AS id FROM t")
+def xml_id_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = F.array(*[F.lit(x) for x in ("M*", "π", "ω", "Tc", "A1", "ϛ-b")])
+    t = F.concat(F.element_at(tokens, (F.col("doc_id") % 6 + 1).cast("int")), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", X.xml_id(t).alias("id"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'grc' END AS tag FROM documents")
+def lang_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    greek = F.concat(F.lit("ἐν ἀρχῇ ἦν ὁ λόγος "), F.col("doc_id").cast("string"))
+    t = F.when(F.col("doc_id") % 3 == 0, greek).when(F.col("doc_id") % 3 == 1, F.lit("in principio λόγος erat")).otherwise(F.lit("123"))
+    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", X.lang_tag(t).alias("tag"))
+
+
+@query("SELECT doc_id, CAST(greatest(1, ceil(octet_length(encode(text)) / 4.0)) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("WITH a AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS ordinal, source FROM documents), b AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS ordinal, source FROM documents WHERE doc_id % 10 <> 0) SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.ordinal, b.ordinal) AS ordinal, CASE WHEN b.source IS NULL THEN 'LOST' WHEN a.source IS NULL THEN 'PHANTOM' WHEN a.source = b.source THEN 'MATCH' ELSE 'DIFFER' END AS finding FROM a FULL JOIN b ON a.lang = b.lang AND a.ordinal = b.ordinal")
+def ordinal_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents", "doc_id", "lang", "source")
+    a = E.numbered(d, ["doc_id"], "lang")
+    b = E.numbered(d.where("doc_id % 10 <> 0").withColumn("o", -F.col("doc_id")), ["o"], "lang")
+    return E.zip_sides(a, b, ["lang", "ordinal"], "source").select("lang", "ordinal", "finding")
+
+
+@query("WITH f AS (SELECT source AS key, lang AS kind, doc_id FROM documents) SELECT doc_id, key, kind, kind = 'fr' AND key IN (SELECT source FROM documents WHERE doc_id % 2 = 0) AS known FROM f")
+def divergence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents", "doc_id", "source", "lang")
+    records = d.where("doc_id % 2 = 0").select(F.col("source").alias("key"), F.lit("fr").alias("kind")).distinct()
+    return E.adjudicated(d.select("doc_id", F.col("source").alias("key"), F.col("lang").alias("kind")), records)[0].select("doc_id", "key", "kind", "known")
+
+
+@query("WITH t AS (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS k FROM orders GROUP BY 1) SELECT c_custkey, CASE WHEN n = 1 THEN k END AS o_orderkey, CASE WHEN n IS NULL THEN 'no page has that folio' WHEN n > 1 THEN 'folio is not unique' END AS why FROM customer LEFT JOIN t ON c_custkey = o_custkey")
+def translation_by_folio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey").withColumnRenamed("o_custkey", "c_custkey")
+    return E.unique_match(table(spark, sf_dir, "customer", "c_custkey"), o, "c_custkey", "o_orderkey").select("c_custkey", "o_orderkey", "why")
+
+
+@query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 2 = 0 AND s_nationkey < 10")
+def duplicate_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
+    refs = F.when((F.col("s_suppkey") % 2 == 0) & (F.col("s_nationkey") < 10), F.array("s_nationkey", "s_nationkey")).otherwise(F.array("s_nationkey"))
+    return E.duplicate_tokens(s.withColumn("refs", refs), "refs").select("s_suppkey", "s_nationkey")
+
+
+@query("WITH d AS (SELECT doc_id, source, lang FROM documents), a AS (SELECT source, list_sort(list(DISTINCT lang)) AS x FROM d GROUP BY 1), b AS (SELECT source, list_sort(list(DISTINCT lang)) AS y FROM d WHERE doc_id % 3 = 0 GROUP BY 1) SELECT source, array_to_string(list_filter(x, lambda v: NOT list_contains(coalesce(y, []), v)), ',') AS missing FROM a LEFT JOIN b USING (source)")
+def attribution_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents", "doc_id", "source", "lang")
+    both = d.groupBy("source").agg(F.collect_set("lang").alias("x"), F.collect_set(F.when(F.col("doc_id") % 3 == 0, F.col("lang"))).alias("y"))
+    return both.select("source", F.array_join(F.array_sort(F.array_except("x", "y")), ",").alias("missing"))
+
+
+@query("SELECT token, role, description FROM (VALUES ('A', 'witness', 'later words'), ('B1', 'witness', 'two hands'), ('A1', 'witness', 'two hands'), ('Marc.', 'editor', 'Marcovich'), ('Mc', 'witness', 'Corrections'), ('Hoffmann', 'editor', 'E. Hoffmann'), ('D. Simons', 'editor', 'a reader'), ('DSimons', 'editor', 'a reader'), ('Du Pontet', 'editor', 'R. du Pontet'), ('DuPontet', 'editor', 'R. du Pontet')) t(token, role, description)")
+def conspectus_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = ["SIGLA", "A = first words", "A1, B1 = two hands", "Marc. = Marcovich", "no declaration here", "A = later words", "[Mc] Corrections", "[Hoffmann 1890] E. Hoffmann", "[D. Simons] a reader", "[Du Pontet 1901] R. du Pontet"]
+    return conspectus.declarations(spark.createDataFrame(list(enumerate(said)), "n int, text string")).select("token", "role", "description")
+
+
+@query("SELECT lang AS condition, coalesce(source, 'overall') AS type, count(*) AS n, CAST(sum(CAST(quality = 1 AS INT)) AS BIGINT) AS correct, sum(CAST(quality = 1 AS INT)) / count(*) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang, source), (lang))")
+def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents", "doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    return E.scores(d.select(F.col("lang").alias("condition"), F.col("source").alias("type"), (F.col("quality") == 1).alias("correct"))).drop("low", "high")
+
+
+@query("SELECT page_id, layer, CAST(n AS BIGINT) AS n FROM (SELECT page_id, 'text' AS layer, (len(html) - len(replace(html, '<p', ''))) // 2 AS n FROM pages UNION ALL SELECT page_id, 'heading', (len(html) - len(replace(html, '<h1', ''))) // 3 FROM pages UNION ALL SELECT page_id, 'page_number', (len(html) - len(replace(html, '<footer', ''))) // 7 FROM pages) WHERE n > 0")
+def html_ingest_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "pages", "page_id", "html")
+    tags = [("<p", "text"), ("<h1", "heading"), ("<footer", "page_number")]
+    counts = F.array(*[F.struct(F.lit(layer).alias("layer"), F.regexp_count("html", F.lit(tag)).cast("bigint").alias("n")) for tag, layer in tags])
+    return t.select("page_id", F.explode(counts).alias("c")).select("page_id", "c.layer", "c.n").where("n > 0")
+
+
+@query("SELECT page_id, 'text ' || CAST(page_id AS VARCHAR) AS text, 'apparatus' AS layer, 0.9 AS confidence FROM pages")
+def hocr_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "pages", "page_id")
+    page = F.concat(F.lit("<html><body><div class='ocr_page'><div class='ocr_carea ocr_footer'><span class='ocr_line ocr_title'></span></div><div class='ocr_carea ocr_appcrit'><span class='ocr_line'><span class='ocrx_word' title='x_wconf 90'>text</span> "), F.col("page_id").cast("string"), F.lit("</span></div></div></body></html>"))
+    b = ocr.hocr(t.select(F.col("page_id").cast("string").alias("path"), page.alias("content")), labels=("ocr_appcrit",))
+    return b.select(F.col("path").cast("bigint").alias("page_id"), "text", "layer", F.round("confidence", 6).alias("confidence"))
+
+
 def queries() -> dict[str, Query]:
-    return {f"{c}_golden": golden(c) for c in bands.BANDS}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"{c}_golden": bands.expected_sql(c) for c in bands.BANDS}
+    return dict(SQL)
