@@ -31,6 +31,13 @@ _anchor = pa.struct([("kind", pa.string()), ("value", pa.string()), *((n, pa.int
 _ENTRY = [("block", pa.int32()), ("k", pa.int32()), ("grammar", pa.string()), ("raw", pa.string()), ("source_slice", pa.string()), ("anchor", _anchor), ("parsed", _parsed), ("resolved_lemma", pa.string()), ("refusal_evidence", pa.string()), ("ambiguous", pa.bool_()), ("lemma_start", pa.int32())]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes from fewer files than there are cores: Python stages must not run in the one
+    task of a small file. Larger inputs have tasks enough and aren't moved."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 def pages_of(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_index")) -> DataFrame:
     """One row per page from one row per block (``block``, ``layer``, ``text``), blocks in order. One shuffle, by page."""
     struct = F.struct("block", "layer", "text")

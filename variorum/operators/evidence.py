@@ -77,7 +77,7 @@ def phrases(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str =
     words = lambda c: F.filter(F.split(X.normalise(c), " "), lambda w: w != "")
     it = items.select(item, words(F.col(text)).alias("w")).where(F.size("w") > 0)
     it = it.select(item, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("phrase"), F.xxhash64(F.slice("w", 1, n)).alias("h"), F.least(F.size("w"), F.lit(n)).alias("m"))
-    d = docs.select(doc, words(F.col(text)).alias("w"))
+    d = docs.select(doc, F.explode(F.array(words(F.col(text)))).alias("w"))  # a generator: the words are made once
     lengths = sorted(r.m for r in it.select("m").distinct().collect())  # n numbers at most
 
     def grams(m: int) -> Column:
@@ -237,21 +237,19 @@ def questions(sides: DataFrame, *keys: str) -> DataFrame:
     read what, what a witness reads (only where that is one reading), lemma or variant, editors, and the count."""
     shown = F.when(F.trim("text") == "", "om.").otherwise(F.col("text"))
     s = sides.withColumn("shown", shown).withColumn("norm", F.lower(X.normalise(shown)))
-    by = s.groupBy(*keys, "norm").agg(F.min_by("shown", "side").alias("shown"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("attribution.witnesses")))).alias("wits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("attribution.editors")))).alias("eds"), F.min("side").alias("first"))
-    out = lambda d, t, subject, gold: d.select(*keys, F.lit(t).alias("type"), subject.alias("subject"), gold.alias("gold"))
-    w = s.select(*keys, "norm", "shown", "side", F.explode("attribution.witnesses").alias("wit")).groupBy(*keys, "wit").agg(F.countDistinct("norm").alias("n"), F.min_by("shown", "side").alias("shown")).where("n = 1")
-    count = s.groupBy(*keys).agg(F.count_if(F.col("side") > 0).alias("n"), F.min_by("shown", "side").alias("lemma"))
-    parts = [
-        out(by.where(F.size("wits") > 0), "witness_of_reading", F.col("shown"), F.array_join("wits", ",")),
-        out(w, "reading_of_witness", F.col("wit"), F.col("shown")),
-        out(by, "lemma_vs_variant", F.col("shown"), F.when(F.col("first") == 0, "constituted text").otherwise("rejected variant")),
-        out(by.where(F.size("eds") > 0), "editor_attribution", F.col("shown"), F.array_join("eds", ",")),
-        out(count, "count", F.col("lemma"), F.col("n").cast("string")),
-    ]
-    d = parts[0]
-    for p in parts[1:]:
-        d = d.unionByName(p)
-    return d
+    by = s.groupBy(*keys, "norm").agg(F.min_by("shown", "side").alias("shown"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("attribution.witnesses")))).alias("wits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("attribution.editors")))).alias("eds"), F.min("side").alias("first"), F.count_if(F.col("side") > 0).alias("later"))
+    d = by.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "norm", "shown", "wits", "eds", "later"))).alias("b"))
+    row = lambda t, subject, gold: F.struct(F.lit(t).alias("type"), subject.alias("subject"), gold.alias("gold"))
+    reads = lambda w: F.filter("b", lambda x: F.array_contains(x["wits"], w))
+    later = F.aggregate("b", F.lit(0).cast("bigint"), lambda n, x: n + x["later"])
+    out = F.concat(
+        F.transform(F.filter("b", lambda x: F.size(x["wits"]) > 0), lambda x: row("witness_of_reading", x["shown"], F.array_join(x["wits"], ","))),
+        F.transform(F.filter(F.array_distinct(F.flatten(F.transform("b", lambda x: x["wits"]))), lambda w: F.size(reads(w)) == 1), lambda w: row("reading_of_witness", w, F.element_at(reads(w), 1)["shown"])),
+        F.transform("b", lambda x: row("lemma_vs_variant", x["shown"], F.when(x["first"] == 0, "constituted text").otherwise("rejected variant"))),
+        F.transform(F.filter("b", lambda x: F.size(x["eds"]) > 0), lambda x: row("editor_attribution", x["shown"], F.array_join(x["eds"], ","))),
+        F.array(row("count", F.element_at("b", 1)["shown"], later.cast("string"))),
+    )
+    return d.select(*keys, F.explode(out).alias("c")).select(*keys, "c.*")
 
 
 def same_files(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variorum.kernels.registry import QUALIFIERS, Registry
+from variorum.operators.apparatus import spread
 
 #: Words that the grammars give a meaning; they can't stand for text.
 TAKEN = sorted({w.strip(".") for q in QUALIFIERS for w in q.split() if w.strip(".").isascii() and w.strip(".").isalpha() and len(w.strip(".")) > 3 and w.islower()} | set("apud ante post cuius quae quam quas quem quibus quod quos lacunam nisi mauis alias alios alii infra supra sequens sequitur relicto sensu compendio compendiis uoce uocibus transposuit inter iterum plus lectiones sine loco init init".split()))
@@ -28,11 +29,11 @@ six AS (SELECT doc_id, w[1] AS w1, w[2] AS w2, w[3] AS w3, w[4] AS w4, w[5] AS w
 
 def six(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    taken = F.array(*map(F.lit, TAKEN))
-    fine = F.filter(F.split("text", SPLIT), lambda w: w.rlike("^[a-z]{4,}$") & ~w.rlike(STORY) & ~F.array_contains(taken, w))
+    fine = F.filter(F.split("text", SPLIT), lambda w: w.rlike("^[a-z]{4,}$") & ~w.rlike(STORY) & ~w.isin(TAKEN))
     at = (F.col("doc_id") % 5 + 1).cast("int")
     pick = lambda letters: F.substring(F.lit(letters), at, F.lit(1))
-    d = docs.select("doc_id", F.slice(fine, 1, 6).alias("w"), pick(FIRST).alias("s"), pick(SECOND).alias("t")).where(F.size("w") == 6)
+    # a generator, so that the filter isn't copied into each of the columns made of it
+    d = spread(docs).select("doc_id", F.explode(F.array(F.slice(fine, 1, 6))).alias("w"), pick(FIRST).alias("s"), pick(SECOND).alias("t")).where(F.size("w") == 6)
     return d.select("doc_id", *[F.element_at("w", i).alias(f"w{i}") for i in range(1, 7)], "s", "t")
 
 

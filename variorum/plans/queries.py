@@ -13,6 +13,7 @@ from variorum.operators import apparatus as A
 from variorum.operators import evidence as E
 from variorum.plans import bands
 from variorum.plans.bands import WORDS_SQL
+from variorum.sinks import documents as D
 from variorum.sources import conspectus, layers, ocr
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,7 +225,7 @@ _NORM = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
 @query(f"SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(' ' || {_NORM.format('d.text')} || ' ', ' ' || {_NORM.format('b.text')} || ' ')")
 def contamination_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.phrases(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id")
+    return E.phrases(A.spread(table(spark, sf_dir, "documents", "doc_id", "text")), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id")
 
 
 _TERMS = "list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(text, '\\s+', ' ', 'g')), '[^a-z]+'), lambda w: len(w) >= 6))"
@@ -234,7 +235,7 @@ _TERMS = "list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(t
 s AS (SELECT item_id, doc_id, CAST(sum(least(120, len(w) + 10)) AS BIGINT) AS score FROM i JOIN d USING (w) GROUP BY ALL)
 SELECT item_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) = 1""")
 def best_page_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.best(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id")
+    return E.best(A.spread(table(spark, sf_dir, "documents", "doc_id", "text")), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id")
 
 
 @query("""WITH s AS (SELECT user_id, CAST(epoch_us(ts) AS BIGINT) AS at, event_id, event_type FROM events)
@@ -378,6 +379,44 @@ def hocr_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("path").cast("bigint").alias("page_id"), "text", "layer", F.round("confidence", 6).alias("confidence"))
 
 
+def emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """md-ce and TEI of a page per document, its convention its id modulo 6, its band refused where the id is odd."""
+    d = bands.six(spark, sf_dir)
+    which = lambda by: F.element_at(F.array(*by), (F.col("doc_id") % 6 + 1).cast("int"))
+    band = F.when(F.col("doc_id") % 2 == 0, which([bands.fill(bands.BANDS[c]) for c in CONVENTIONS])).otherwise(which([bands.fill(REFUSED[c][0]) for c in CONVENTIONS]))
+    block = lambda layer, text: F.struct(F.lit(layer).alias("layer"), text.alias("text"))
+    text = which([bands.fill(bands.TEXTS[c]) for c in CONVENTIONS])
+    blocks = F.array(block("text", text), block("apparatus", band), block("translation", bands.fill("{w6} {w1}")), block("notes", bands.fill("# {w2}")))
+    return D.documents(d.select("doc_id", F.lit(0).alias("page_index"), F.col("doc_id").cast("string").alias("printed_page"), blocks.alias("blocks")), bands.REGISTRY)
+
+
+_KEPT = {c: (n if i % 2 == 0 else REFUSED[c][2]) for i, (c, n) in enumerate(_N.items())}
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, CAST({list(_KEPT.values())}[CAST(doc_id % 6 + 1 AS INT)] AS INT) AS entries, CASE WHEN doc_id % 2 = 0 THEN 'parsed' ELSE 'refused' END AS kept, 1 AS escaped FROM six")
+def mdce_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = emitted(spark, sf_dir)
+    at = lambda p: F.regexp_extract("md", p, 1).cast("int")
+    return d.select("doc_id", at("coverage: ([0-9]+) entries").alias("entries"), F.when(at("([0-9]+) refused,") == 0, "parsed").otherwise("refused").alias("kept"), at("escaped-lines: ([0-9]+)").alias("escaped"))
+
+
+@query("SELECT doc_id, '' AS invariant FROM documents WHERE false")
+def mdce_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.violations(emitted(spark, sf_dir)).select("doc_id", "invariant")
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, 'I1' AS invariant FROM six")
+def mdce_mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = emitted(spark, sf_dir).withColumn("md", F.regexp_replace("md", "escaped-lines: 1", "escaped-lines: 2"))
+    return D.violations(broken).select("doc_id", "invariant")
+
+
+@query("SELECT doc_id, '' AS layer, '' AS only_in FROM documents WHERE false")
+def roundtrip_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = emitted(spark, sf_dir)
+    return E.multiset_difference(D.contents(d, "md"), D.contents(d, "tei")).select("doc_id", "layer", "only_in")
+
+
 def queries() -> dict[str, Query]:
     return dict(Q)
 
