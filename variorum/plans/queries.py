@@ -371,7 +371,7 @@ def html_ingest_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("page_id", F.explode(counts).alias("c")).select("page_id", "c.layer", "c.n").where("n > 0")
 
 
-@query("SELECT page_id, 'text ' || CAST(page_id AS VARCHAR) AS text, 'apparatus' AS layer, 0.9 AS confidence FROM pages")
+@query("SELECT page_id, 'text ' || CAST(page_id AS VARCHAR) AS text, 'apparatus' AS layer, CAST(0.9 AS DOUBLE) AS confidence FROM pages")
 def hocr_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "pages", "page_id")
     page = F.concat(F.lit("<html><body><div class='ocr_page'><div class='ocr_carea ocr_footer'><span class='ocr_line ocr_title'></span></div><div class='ocr_carea ocr_appcrit'><span class='ocr_line'><span class='ocrx_word' title='x_wconf 90'>text</span> "), F.col("page_id").cast("string"), F.lit("</span></div></div></body></html>"))
