@@ -371,3 +371,13 @@ def test_urls_like_a_loop(spark):
 
     got = urlfilter.filter_urls(spark.createDataFrame(asked, "page_id int, url string, day string"), spark.createDataFrame(log, "list string, pattern string, day string, action string"))
     assert {r.page_id: r.lists for r in got.collect()} == {i: blocked(u, d) for i, u, d in asked}
+
+
+def test_one_sentence_said_twice_in_a_short_text_is_no_junk(spark):
+    from variorum.llm import repetition
+
+    filler = " ".join(f"word{i}a other{i}b" for i in range(27))
+    said = "the quick brown fox jumps over the lazy dog"
+    rows = [(1, f"{said}. {filler} {said}"), (2, " ".join([said] * 8)), (3, filler)]
+    got = {r.doc_id: r.keep for r in repetition.repetition(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: True, 2: False, 3: True}
