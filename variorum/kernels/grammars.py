@@ -58,7 +58,7 @@ def _sides(items: list[Item]) -> list[dict]:
     return [a for i in items if i.parse for a in (i.parse["lemma_attribution"], *(r["attribution"] for r in i.parse["readings"]))]
 
 
-# --- verse -----------------------------------------------------------------------------------------------------------
+# Convention: verse.
 EDITIONS = {
     "ECM": "Editio Critica Maior",
     "Greeven": "Huck-Greeven, Synopse",
@@ -130,11 +130,11 @@ def split_verse(text: str) -> list[Item]:
 def _editions_off(words: list[str]) -> tuple[list[str], list[str]]:
     words, sigla = list(words), []
     while words:
-        if is_edition(words[-1]):
-            sigla.insert(0, words.pop().strip("·;,."))
-            if words and words[-1] == "em":
-                words.pop()
-        elif m := _GLUED.fullmatch(words[-1]):
+        last = words[-1]
+        if is_edition(last):
+            sigla.insert(0, last.strip("·;,."))
+            del words[-2 if words[-2:-1] == ["em"] else -1 :]
+        elif m := _GLUED.fullmatch(last):
             words[-1] = m[1]
             sigla.insert(0, m[2])
         else:
@@ -220,7 +220,7 @@ def verse_candidates(lemma: str) -> list[str]:
     return [x for x in out if x]
 
 
-# --- line ------------------------------------------------------------------------------------------------------------
+# Convention: line.
 _LINE = re.compile(rf"{NUM}(?:[.]{NUM})?(?:[–-]{NUM}(?:[.]{NUM})?)?")
 _NO_BAR = re.compile(rf"([0-9]+[.][0-9]+|[?)][?]?)\s+(?={SPAN}\s+\S)")
 _NEXT = re.compile(rf"{SPAN}\s+.{{1,120}}?(?:\s[|]\s|\])", re.S)
@@ -440,7 +440,7 @@ def gate_line(text: str, items: list[Item], reg: Registry | None) -> str:
     return f"only {named}/{len(sides)} trial sides carry convention attribution ({share:.1%}; minimum 60%)" if share < 0.6 else ""
 
 
-# --- numbered lemmas closed by a bracket: paragraph and Teubner --------------------------------------------------------
+# Convention: numbered lemmas closed by a bracket: paragraph and Teubner.
 BOUNDARY = re.compile(rf"(?<!\S)({SPAN})\s+([^\]]{{1,120}}?)\s*\]")
 _LOCUS_INSIDE = re.compile(r"[0-9]+[.:][0-9]+|(?<!\S)[0-9]+(?:[–-][0-9]+)?(?!\S)")
 _OPERATORS = [o.split() for o in ("add. sed del.", "plus lectiones", "corr. ex", "in marg.", "in textu", "interl.", "iterum", "add.", "om.")]
@@ -590,7 +590,7 @@ def gate_teubner(text: str, items: list[Item], reg: Registry | None) -> str:
     return f"only {named} attributed reading(s) across {len(good)} " + "parsed entries — a negative apparatus still names who diverges" if named < len(good) else ""
 
 
-# --- Budé ------------------------------------------------------------------------------------------------------------
+# Convention: Budé.
 _CONTINUES = re.compile(rf"[|]{{2}}\s*{SPAN}\s+(?:(?!\s+:\s)[^\]:]){{1,40}}\]")
 _STORY = re.compile(r"difficile|euanid|extra\s+marginem|inscriptio|legitur|littera|primae?|primera|uerbum|in\s+[A-Z]\b", re.I)
 _PLACE = re.compile(r"([0-9]+(?:[.][0-9]+)?(?:[–-][0-9]+)?[¹²³]?)(?:\s+|$)")
@@ -657,7 +657,7 @@ def gate_bude(text: str, items: list[Item], reg: Registry | None) -> str:
     return f"only {good}/{n} '||'-chunks trial-parsed ({good / n:.1%}; minimum 30%)" if good / n < 0.3 else ""
 
 
-# --- marker ----------------------------------------------------------------------------------------------------------
+# Convention: marker.
 def _capitals() -> str:
     import unicodedata
 

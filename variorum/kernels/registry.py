@@ -30,11 +30,11 @@ class Registry:
     witnesses: dict[str, str] = field(default_factory=dict)
     editors: dict[str, str] = field(default_factory=dict)
 
-    def is_witness(self, token: str) -> bool:
-        return token in self.witnesses
-
     def is_editor(self, token: str) -> bool:
-        return token in self.editors or token.rstrip(",") in self.editors
+        return not self.editors.keys().isdisjoint((token, token.rstrip(",")))
+
+    def is_witness(self, siglum: str) -> bool:
+        return siglum in self.witnesses
 
     def longest_first(self) -> list[str]:
         return sorted(self.witnesses, key=lambda s: -len(s))

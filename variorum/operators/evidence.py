@@ -174,9 +174,9 @@ def evenly(count: int, most: int) -> list[int]:
 
 def page_spec(spec: str) -> list[int]:
     """'1,5-7' as sorted distinct numbers from 0, for a pushed ``isin``. Anything else raises ValueError."""
-    out: set[int] = set()
-    for part in spec.split(","):
-        a, dash, z = part.strip().partition("-")
+    out = set()
+    for part in map(str.strip, spec.split(",")):
+        a, dash, z = part.partition("-")
         first, last = int(a), int(z) if dash else int(a)
         if first < 1 or last < first:
             raise ValueError(f"not a page range: {part!r}")
