@@ -95,6 +95,25 @@ def test_language_scores_like_a_loop():
         assert count[k] == len(want) and np.allclose(got[k], np.sum(want, axis=0) if want else 0, atol=1e-4)
 
 
+def test_language_rejects_what_is_in_none(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = [
+        "Questa è una frase scritta in lingua italiana, che parla del tempo e della gente di città",
+        "To jest zdanie napisane w języku polskim, które opowiada o pogodzie i ludziach w mieście",
+        "Это предложение написано на русском языке и рассказывает о погоде",
+        "这是一个用中文写的句子，讲述天气和城市里的人们",
+        "Tämä lause on kirjoitettu suomeksi ja se kertoo säästä ja kaupungin ihmisistä",
+        "xq zvk jjw qqp vbx wzk kkj xzq pqw vvj",
+        "!!! ### $$$ a",
+    ]
+    model = langid.train(d)
+    odd = spark.createDataFrame(list(enumerate(foreign)), "doc_id int, text string")
+    assert [r.doc_id for r in langid.identify(odd, model).where("keep").collect()] == []
+    assert langid.language_filter(odd, model).count() == 0
+    short = d.where("doc_id % 10 = 3").selectExpr("doc_id", "substr(text, 1, 120) as text")
+    assert langid.identify(short, model).toPandas().keep.mean() > 0.97
+
+
 # 8 ----------------------------------------------------------------------------------------------------------------
 def test_exact_like_a_dictionary(spark, docs):
     rows = docs.union(docs.limit(50))
