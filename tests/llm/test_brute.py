@@ -190,6 +190,44 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000, 1002: 1000}
 
 
+def plain_jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+        sets.append({tuple(w[i : i + simhash.GRAM]) for i in range(max(1, len(w) - simhash.GRAM + 1))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def test_jaccard_like_sets(texts):
+    a = [*texts[:80], "", "a", "a b", "é x y z", "a b c"]
+    b = [*(t[len(t) // 3 :] + " more words" for t in texts[:80]), "x", "A", "b a", "É x y z q", ""]
+    (da, oa, _), (db, ob, _) = (text_buffers(pa.array([t.lower() for t in x])) for x in (a, b))
+    assert np.allclose(simhash.jaccard((da, oa), (db, ob)), [plain_jaccard(*p) for p in zip(a, b)])
+
+
+def test_unrelated_texts_with_near_fingerprints_stay(spark):
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(300)]
+    text = lambda: " ".join(rng.sample(words, len(words)))
+    base = text()
+    rows = [(1, base), (2, text()), (3, base.replace("word7 ", "other ")), (4, text()), (5, base), (6, "a b c d"), (7, "d c b a")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    prints = np.array([[r.f1, r.f2] for r in simhash.with_fingerprints(d).orderBy("id").collect()], np.int64).view(np.uint64)
+    assert np.bitwise_count(prints[:5] ^ prints[0]).sum(1).max() <= simhash.MAX_BITS
+    assert sorted(r.doc_id for r in simhash.near_dedup(d).collect()) == [1, 2, 4, 6, 7]
+    assert {r.doc_id: r.doc_ids for r in simhash.near_groups(d).collect()}[1] == [1, 3, 5]
+
+
+def test_no_document_goes_as_a_copy_of_an_unrelated_one(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    text = {r.doc_id: r.text for r in d.collect()}
+    groups = [g.doc_ids for g in simhash.near_groups(d).collect()]
+    assert any(len(g) > 1 for g in groups)
+    for g in groups:
+        for k in g[1:]:
+            assert max(plain_jaccard(text[k], text[o]) for o in g if o != k) >= simhash.LEAST
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------
 def plain_pack(rows, capacity, groups, small):
     """The same scheme in one place: bins from the slot table, then best fit."""
