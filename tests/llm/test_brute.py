@@ -438,3 +438,10 @@ def test_one_sentence_said_twice_in_a_short_text_is_no_junk(spark):
     rows = [(1, f"{said}. {filler} {said}"), (2, " ".join([said] * 8)), (3, filler)]
     got = {r.doc_id: r.keep for r in repetition.repetition(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: True, 2: False, 3: True}
+
+
+def test_repetition_alone_is_junk_at_any_length(spark):
+    said = "the quick brown fox jumps over the lazy dog"
+    rows = [(1, "SHOU.!! THE.!! " * 5), (2, "a b c d e f " * 3), (3, f"{said}. {said}."), (4, said), (5, "yes no\n" * 4), (6, "one line\nanother line\none line"), (7, "Anha.")]
+    got = {r.doc_id: r.keep for r in repetition.repetition(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True}

@@ -12,7 +12,9 @@ equal an earlier one, ``dup_line_chars`` those lines' characters over all charac
 
 Edge cases. A null or empty text, and one of white space only, has 0 everywhere, no words, and is rejected
 (``reason`` = 'empty'). Texts of fewer than ``min_words`` words are too short for the n-gram and line-character rules, and texts of fewer than
-``min_lines`` lines for the line rule: one repeated line or phrase is no sign of junk there. Up to ``FULL_WORDS`` words
+``min_lines`` lines for the line rule: one repeated line or phrase is no sign of junk there. But at any length a text is
+rejected of which over ``HALF`` lies in repeated n-grams (``dup_n``) or repeated lines (``dup_line``, ``dup_line_chars``): a
+passage said twice reaches half at most, so more is said at least three times. Up to ``FULL_WORDS`` words
 the n-gram limits are wider, by FULL_WORDS / words, since one sentence said twice is a larger share of a short text. Any
 length is scanned whole. Rows are judged one by one, so repeated rows get equal rows and an empty table gives an
 empty one. All input columns but those named like an output column are ignored by the operator.
@@ -31,6 +33,7 @@ TOP = {2: 0.20, 3: 0.18, 4: 0.16}
 DUP = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE, LINE_CHARS, MIN_WORDS, MIN_LINES = 0.30, 0.20, 50, 10
 FULL_WORDS = 100
+HALF = 0.5
 METRICS = [*(f"top_{n}" for n in TOP), *(f"dup_{n}" for n in DUP), "dup_line", "dup_line_chars"]
 
 _SPACE = np.zeros(256, bool)
@@ -120,8 +123,9 @@ def broken(m: dict[str, np.ndarray], min_words: int = MIN_WORDS, min_lines: int
     """The rules in the order in which they give the reason, with the texts that break them."""
     long = m["words"] >= min_words
     wider = np.maximum(1.0, FULL_WORDS / np.maximum(m["words"], 1))
-    rules = [("empty", m["words"] == 0), ("dup_line", (m["lines"] >= min_lines) & (m["dup_line"] > LINE)), ("dup_line_chars", long & (m["dup_line_chars"] > LINE_CHARS))]
-    return rules + [(f"{kind}_{n}", long & (m[f"{kind}_{n}"] > most * wider)) for kind, limits in (("top", TOP), ("dup", DUP)) for n, most in limits.items()]
+    half = {x: m[x] > HALF for x in METRICS if x.startswith("dup_")}
+    rules = [("empty", m["words"] == 0), ("dup_line", half["dup_line"] | (m["lines"] >= min_lines) & (m["dup_line"] > LINE)), ("dup_line_chars", half["dup_line_chars"] | long & (m["dup_line_chars"] > LINE_CHARS))]
+    return rules + [(f"{kind}_{n}", half.get(f"{kind}_{n}", False) | long & (m[f"{kind}_{n}"] > most * wider)) for kind, limits in (("top", TOP), ("dup", DUP)) for n, most in limits.items()]
 
 
 def repetition(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_words: int = MIN_WORDS, min_lines: int = MIN_LINES) -> DataFrame:
