@@ -1,6 +1,7 @@
 """Best-fit packing (4): linear grouping, few-size configurations, actual documents, then best fit.
 
-Documents become sequences of at most ``capacity`` tokens; a longer one is cut into full pieces and a rest. Pieces of
+Documents become sequences of at most ``capacity`` units; a longer one is cut into full pieces and a rest. A unit is
+what ``length`` counts: by default 4 UTF-8 bytes (``token_estimate``), which is no count of real tokens. Pieces of
 more than ``capacity / small`` tokens are *large*. Large pieces, ranked by length from the longest, are split into
 ``groups`` groups of equal cardinality and each length is rounded up to its group's largest. For those few sizes the
 cutting-stock linear programme is solved by column generation (dense simplex and an unbounded-knapsack dynamic
@@ -164,7 +165,7 @@ def best_fit(gaps: list[tuple[int, int]], pieces: list[int], capacity: int, fres
 
 
 def pack(docs: DataFrame, length: Column | None = None, key: str = "doc_id", capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL, shard: int = SHARD) -> DataFrame:
-    """``bin_id``, id (as ``key``), ``piece`` (0 ..), ``start`` and ``length`` in tokens: one row per piece."""
+    """``bin_id``, id (as ``key``), ``piece`` (0 ..), ``start`` and ``length`` in units of ``length``: one row per piece."""
     length = token_estimate(F.col("`text`")) if length is None else length
     spark, kind = docs.sparkSession, docs.schema[key].dataType
     lengths = docs.select(F.col(f"`{key}`").alias("id"), length.cast("bigint").alias("n"))
