@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zipfile
 from collections import Counter
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from variorum.llm import bpe, exact, html, langid, licenses, packing, repetition, simhash, urlfilter, warc
 from variorum.llm.common import text_buffers
@@ -171,7 +173,59 @@ def brute_groups(prints, limit):
     return {ids[k]: least[find(k)] for k in range(len(ids))}, d
 
 
-@pytest.mark.parametrize("bucket,recall", [(1024, 1.0), (32, 0.9)])
+def test_block_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 5, 64, 65, 700, 3]
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    f = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)[rng.integers(0, 40, len(block))]
+    sketch = rng.integers(1, 256, (60, simhash.BINS)).astype(np.uint8)[rng.integers(0, 60, len(block))]
+    for _ in range(14):
+        f[np.arange(len(f)), rng.integers(0, 2, len(f))] ^= np.uint64(1) << rng.integers(0, 64, len(f)).astype(np.uint64)
+    near = (np.bitwise_count(f[:, None] ^ f[None]).sum(2) <= simhash.MAX_BITS) & (block[:, None] == block[None])
+    agree = ((sketch[:, None] == sketch[None]) & (sketch > 0)[None]).sum(2)
+    want = near & (agree >= int(simhash.BINS * simhash.HINT))
+    got_i, got_j = simhash.block_forest(block, f, sketch.view(np.uint64))
+    assert want[got_i, got_j].all()
+    one, two = (joined(len(f), np.column_stack(p)) for p in ((got_i, got_j), np.nonzero(want)))
+    assert one == two and len(got_i) == len(f) - len(set(one))
+
+
+def joined(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+def test_a_dense_block_is_no_square():
+    m, rng = 16_000, np.random.default_rng(6)
+    f = np.tile(rng.integers(0, 1 << 63, 2, dtype=np.uint64), (m, 1))
+    for _ in range(10):
+        f[np.arange(m), rng.integers(0, 2, m)] ^= np.uint64(1) << rng.integers(0, 64, m).astype(np.uint64)
+    sketch = np.tile(rng.integers(1, 256, simhash.BINS).astype(np.uint8), (m, 1))
+    sketch[rng.random(sketch.shape) < 0.3] = 7
+    began = time.perf_counter()
+    assert len(simhash.block_forest(np.zeros(m, np.int64), f, sketch.view(np.uint64))[0]) == m - 1
+    assert time.perf_counter() - began < 5
+
+
+def test_ids_of_other_types(spark, docs):
+    named = docs.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"), "text")
+    want = {f"d{r.doc_id:09}": [f"d{x:09}" for x in r.doc_ids] for r in simhash.near_groups(docs).collect()}
+    assert {r.name: r.doc_ids for r in simhash.near_groups(named, key="name").collect()} == want
+    assert {r.name for r in simhash.near_dedup(named, key="name").collect()} == set(want)
+    kept = {r.name for r in exact.exact_groups(named, key="name").collect()}
+    assert kept == {f"d{r.doc_id:09}" for r in exact.exact_groups(docs).collect()} == {r.name for r in exact.exact_dedup(named, key="name").collect()}
+
+
+@pytest.mark.parametrize("bucket,recall", [(16_384, 1.0), (32, 0.9)])
 def test_near_roots_against_all_pairs(spark, bucket, recall):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     prints = [(r.id, r.f1, r.f2) for r in simhash.with_fingerprints(d).collect()]

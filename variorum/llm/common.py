@@ -9,6 +9,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,11 +22,15 @@ from pyspark.sql import types as T
 SLICE_BYTES = 1 << 20
 #: Rows times row bytes up to which a side is broadcast on request; beyond it the join shuffles.
 BROADCAST_BYTES = 48 << 20
+_PATHS: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one is set only where none is named."""
+    """The folder named in ``spark.checkpoint.dir``. Where none is named a temporary one is set if the session runs in
+    this one process, as tests do; on a cluster, whose executors don't share this machine's folders, it raises."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     if not named:
         named = tempfile.mkdtemp(prefix="variorum-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
@@ -43,7 +48,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table that ``written`` returned as ``df``; nothing may read it any more."""
+    if path := _PATHS.get(id(df)):
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
