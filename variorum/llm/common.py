@@ -67,6 +67,22 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def free(names: list[str], taken: list[str]) -> list[str]:
+    """Output names that clash with no name taken: such a one gets underscores. Case doesn't distinguish names."""
+    low, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in low:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def besides(df: DataFrame, outputs: list[str]) -> list[str]:
+    """The columns that pass through beside the outputs: one that has an output's name is replaced by it."""
+    low = {n.lower() for n in outputs}
+    return [c for c in df.columns if c.lower() not in low]
+
+
 def schema_with(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(n, t, True) for n, t in fields]])
 
