@@ -15,7 +15,8 @@ once, exactly. What proves it:
 
 Edge cases. A null text has null tokens; an empty one, none. Special tokens' strings are ordinary text. Characters that
 can't be encoded (lone surrogates) can't occur in Spark's strings. Repeated rows and null ids give as many rows as they
-are; rows of one id with other texts are kept apart by the text's hash. Empty in, empty out. Extra columns are ignored.
+are; rows of one id with other texts are kept apart by the text's hash. Empty in, empty out. ``encode`` reads id and text
+alone; an id named ``tokens`` gives ``tokens_``. ``decode`` passes columns through; one named like its output is replaced.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variorum.llm.common import map_arrow
+from variorum.llm.common import besides, free, map_arrow
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PART, LONG_BYTES = 16_384, 65_536
+PART, LONG_BYTES = 4096, 16_384
 WINDOW = 8
 _CLASSES = [regex.compile(c) for c in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")]
 _BREAK = regex.compile(r"\S(?=\s)")
@@ -187,17 +188,20 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary:
     spread = map_arrow(unique, cut, f"id {kind}, h1 bigint, h2 bigint, n bigint, i int, p string").repartition("h1", "i")
     tokens = map_arrow(spread, encoded, f"id {kind}, h1 bigint, h2 bigint, n bigint, i int, tokens array<int>")
     many = tokens.groupBy("id", "h1", "h2").applyInArrow(joined, f"id {kind}, tokens array<int>")
-    return few.unionByName(many).select(F.col("id").alias(key), "tokens")
+    return few.unionByName(many).select(F.col("id").alias(key), F.col("tokens").alias(*free(["tokens"], [key])))
 
 
 def decode(rows: DataFrame, tokens: str = "tokens", out: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
     """The rows with ``out``, their tokens' text; null for null. No shuffle."""
-    names, at = rows.columns, rows.columns.index(tokens)
+    names = besides(rows, [out])
+    if tokens not in names:
+        names.append(tokens)  # the output is named like its source and takes its place
+    rows, at, given = rows.select(*[F.col(f"`{c}`") for c in names]), names.index(tokens), [c for c in names if c.lower() != out.lower()]
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         bpe, col = codec(vocabulary).bpe, b.column(at)
         ends, flat, valid = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False), col.is_valid().to_pylist()
         texts = [bpe.decode_bytes(flat[x:y].tolist()).decode("utf-8", "replace") if ok else None for x, y, ok in zip(ends, ends[1:], valid)]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*names, out])
+        return pa.RecordBatch.from_arrays([*(b.column(i) for i, c in enumerate(names) if c in given), pa.array(texts, pa.string())], names=[*given, out])
 
-    return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType(), True)]))
+    return map_arrow(rows, run, T.StructType([*(rows.schema[c] for c in given), T.StructField(out, T.StringType(), True)]))

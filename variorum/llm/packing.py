@@ -1,48 +1,48 @@
 """Best-fit packing (4): linear grouping, few-size configurations, actual documents, then best fit.
 
-Documents become sequences of at most ``capacity`` units; a longer one is cut into full pieces and a rest. A unit is
-what ``length`` counts: by default 4 UTF-8 bytes (``token_estimate``), which is no count of real tokens. Pieces of
-more than ``capacity / small`` tokens are *large*. Large pieces, ranked by length from the longest, are split into
-``groups`` groups of equal cardinality and each length is rounded up to its group's largest. For those few sizes the
-cutting-stock linear programme is solved by column generation (dense simplex and an unbounded-knapsack dynamic
-programme, both of a size that depends on ``groups`` and ``capacity`` only); its solution is rounded down and the rest
-packed best-fit decreasing. The configurations number the bins' slots; a piece's rank in its group is its slot, so the
-actual, smaller documents take the places by a range join with that small table. Last, small pieces go, longest first,
-to the fullest bin that holds them, in shards of bins and small pieces of bounded size.
-
-Only (id, piece, length) rows are shuffled. What reaches the driver is one count per length (at most ``capacity``
-rows) and a row count. A piece's rank comes from counts per (length, salt) and a row number inside, so neither a hot
-length nor the whole table is sorted in one task.
-
-Edge cases. A null or empty text has length 0: it gets one row with a null ``bin_id`` and ``length`` 0. Rows that repeat
-an id are packed as often as they occur. Ties of length are broken by id and piece (identical rows are
-interchangeable). A null id is packed like any other. Extra columns are ignored. Empty in, empty out.
+Documents, encoded by operator 3, become sequences of at most ``capacity`` tokens; a longer one is cut into full pieces
+and a rest. Pieces of more than ``capacity / small`` tokens are *large*. Large pieces, ranked by length from the
+longest, are split into ``groups`` groups of equal cardinality and each length is rounded up to its group's largest.
+For those few sizes the cutting-stock linear programme is solved by column generation (dense simplex and an
+unbounded-knapsack dynamic programme, both of a size that depends on ``groups`` and ``capacity`` only); its solution is
+rounded down and the rest packed best-fit decreasing. The configurations number the bins' slots; a piece's rank in its
+group is its slot, so the actual, smaller documents take the places by a range join with that small table. Last, small
+pieces go, longest first, to the fullest bin that holds them.
+
+That best fit is exact and global, whatever the number of pieces: it depends only on how many bins have which room and
+how many pieces which length. Of the fullest bins that hold a length each takes as many pieces in a row as it can, for
+after the first it is the fullest still. So the driver runs it on counts per room and length, whole runs of bins at a
+time, and gets a table of which ranks of pieces go to which ranks of bins, whose size depends on ``capacity`` and
+``groups`` only; the pieces take their places by join.
+
+The pieces are written with their tokens under a number of their own; ranks, slots and bins are found on (number,
+length) rows. What reaches the driver is one count per length and per room (at most ``capacity`` rows each). A rank
+comes from counts per (length, salt) and a row number inside, so neither a hot length nor the whole table is sorted in
+one task. At the end the pieces' tokens are joined to their bins by number: the bins are broadcast while their counted
+size allows, and beyond that the tokens are shuffled once.
+
+Edge cases. A null or empty text has length 0: it gets one row with a null ``bin_id``, ``length`` 0 and null or no
+``tokens``. Rows that repeat an id are packed as often as they occur. Ties of length are broken by the pieces' numbers,
+which of equal pieces goes where isn't defined. A null id is packed like any other. Extra columns are ignored; an output
+column whose name the id has gets an underscore. Empty in, empty out.
 """
 
 from __future__ import annotations
 
-import bisect
-from collections import defaultdict
-from collections.abc import Iterator
+import warnings
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from variorum.llm.common import written
+from variorum.llm import bpe
+from variorum.llm.common import broadcast_if_small, free, written
 
 CAPACITY, GROUPS, SMALL = 2048, 48, 16
-SHARD = 100_000
 SALT_ROWS = 200_000
-
-
-def token_estimate(text: Column) -> Column:
-    """A quarter of the UTF-8 bytes, rounded up; 0 of null and empty texts."""
-    return F.coalesce(F.ceil(F.octet_length(text) / 4), F.lit(0)).cast("int")
+#: Origin of the bins that small pieces open.
+FRESH = -1
 
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -67,15 +67,19 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[int, np.ndarray]]:
-    """(bins, pieces of each size in such a bin) that hold the demand. Sizes are distinct and within the capacity."""
+def configurations(sizes: list[int], demand: list[int], capacity: int, patience: int = 1000) -> list[tuple[int, np.ndarray]]:
+    """(bins, pieces of each size in such a bin) that hold the demand. Sizes are distinct and within the capacity. Column
+    generation goes on until no configuration improves the solution; should it stand still for ``patience`` rounds (the
+    programme is degenerate), it warns and takes the solution it has, which holds the demand too."""
     s, d = np.array(sizes, np.int64), np.array(demand, np.float64)
     m = len(s)
     if not m:
         return []
     basis = np.diag(capacity // s).astype(np.float64)
-    for _ in range(rounds):
+    least, idle = np.inf, 0
+    while idle < patience:
         x = np.linalg.solve(basis, d)
+        least, idle = (x.sum(), 0) if x.sum() < least - 1e-9 else (least, idle + 1)
         duals = np.linalg.solve(basis.T, np.ones(m))
         value, column = knapsack(s, duals, capacity)
         if value <= 1 + 1e-7:
@@ -85,6 +89,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         if not np.isfinite(ratio).any():
             break
         basis[:, int(ratio.argmin())] = column
+    else:
+        warnings.warn(f"column generation ended after {patience} rounds without progress; its last configurations are used", stacklevel=2)
     x = np.linalg.solve(basis, d)
     out, left = [], d.astype(np.int64)
     for n, column in zip(np.floor(x + 1e-9).astype(np.int64), basis.T.round().astype(np.int64)):
@@ -139,76 +145,102 @@ def slot_table(each: int, sizes: list[int], demand: list[int], capacity: int) ->
     return rows, bins
 
 
-def best_fit(gaps: list[tuple[int, int]], pieces: list[int], capacity: int, fresh: Iterator[int]) -> list[int]:
-    """The bin of each piece, in the given order: the bin with least room that holds it, the least number of equals;
-    a new one of ``fresh`` where none does. ``gaps`` are (room, bin)."""
-    by = defaultdict(list)
-    for room, b in sorted(gaps, key=lambda g: (g[0], -g[1])):
-        by[room].append(b)
-    rooms = sorted(by)
-    out = []
-    for n in pieces:
-        k = bisect.bisect_left(rooms, n)
-        if k == len(rooms):
-            room, b = capacity, next(fresh)
-        else:
-            room = rooms[k]
-            b = by[room].pop()
-            if not by[room]:
-                del by[room], rooms[k]
-        out.append(b)
-        if room > n:
-            if room - n not in by:
-                bisect.insort(rooms, room - n)
-            bisect.insort(by[room - n], b, key=lambda v: -v)
-    return out
-
-
-def pack(docs: DataFrame, length: Column | None = None, key: str = "doc_id", capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL, shard: int = SHARD) -> DataFrame:
-    """``bin_id``, id (as ``key``), ``piece`` (0 ..), ``start`` and ``length`` in units of ``length``: one row per piece."""
-    length = token_estimate(F.col("`text`")) if length is None else length
-    spark, kind = docs.sparkSession, docs.schema[key].dataType
-    lengths = docs.select(F.col(f"`{key}`").alias("id"), length.cast("bigint").alias("n"))
-    piece = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("int")))
-    pieces = lengths.select("id", "n", piece.alias("piece")).select("id", "piece", (F.col("piece").cast("bigint") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("piece").cast("bigint") * capacity).cast("int").alias("len"))
-    pieces = written(pieces, "pieces")
-    counts = {r["len"]: r["n"] for r in pieces.groupBy("len").agg(F.count("*").alias("n")).collect()}
+def best_fit(rooms: dict[int, int], need: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """Best-fit decreasing of ``need`` (pieces per length) into bins counted by room. Rows (length, first rank, end of
+    ranks, room the bins had at first, first of those bins, pieces each), and the number of bins opened."""
+    by = {r: [(r, 0, n)] for r, n in rooms.items()}
+    rows, opened = [], 0
+    for n in sorted(need, reverse=True):
+        at, end = 0, need[n]
+        for room in sorted(r for r in by if r >= n):
+            runs = by.pop(room)
+            while runs and at < end:
+                origin, a, z = runs.pop()
+                each = room // n
+                full = min(z - a, (end - at) // each)
+                for bins, per in ((full, each), (1, (end - at) - full * each)):
+                    if bins and per and a < z and at < end:
+                        rows.append((n, at, at + bins * per, origin, a, per))
+                        by.setdefault(room - per * n, []).append((origin, a, a + bins))
+                        at, a = at + bins * per, a + bins
+                if a < z:
+                    runs.append((origin, a, z))
+            if runs:
+                by[room] = [*runs, *by.get(room, [])]
+            if at == end:
+                break
+        each = capacity // n
+        for bins, per in (((end - at) // each, each), (1, (end - at) % each)):
+            if bins and per:
+                rows.append((n, at, at + bins * per, FRESH, opened, per))
+                by.setdefault(capacity - per * n, []).append((FRESH, opened, opened + bins))
+                at, opened = at + bins * per, opened + bins
+    return rows, opened
+
+
+def ranked(rows: DataFrame, by: str, order: str, most: int) -> DataFrame:
+    """``rank``, from 0, among the rows of equal ``by``, of which none has more than ``most``: from counts per salt."""
+    salts = max(1, most // SALT_ROWS)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy(by).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy(by, "salt").agg(F.count("*").alias("m")).select(by, "salt", before.alias("first"))
+    own = F.row_number().over(Window.partitionBy(by, "salt").orderBy(order)) - 1
+    return rows.withColumn("k", own).join(starts, [by, "salt"]).withColumn("rank", F.col("first") + F.col("k")).drop("salt", "first", "k")
+
+
+def place(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> DataFrame:
+    """``pid``, ``bin_id`` of the pieces (``pid``, a number of their own, and ``len``) that aren't empty."""
+    spark = pieces.sparkSession
+    counts = {r["len"]: r["n"] for r in pieces.where("len > 0").groupBy("len").agg(F.count("*").alias("n")).collect()}
     cut = capacity // small
     large = {x: n for x, n in counts.items() if x > cut}
     each, sizes, demand = linear_groups(large, groups)
     rows, bins = slot_table(each, sizes, demand, capacity)
+    ranks = written(ranked(pieces.where("len > 0").select("pid", "len"), "len", "pid", max(counts.values(), default=0)), "ranks")
 
-    # global rank, longest first: pieces longer, pieces as long in lesser salts, and the place among the salt's own
-    base, seen = {}, 0
-    for x in sorted(large, reverse=True):
-        base[x], seen = seen, seen + large[x]
-    salts = max(1, max(large.values(), default=0) // SALT_ROWS)
-    big = pieces.where(F.col("len") > cut).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("len").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = big.groupBy("len", "salt").agg(F.count("*").alias("m")).select("len", "salt", before.alias("first"))
-    ranked = big.withColumn("k", F.row_number().over(Window.partitionBy("len", "salt").orderBy("id", "piece")) - 1).join(starts, ["len", "salt"])
     # per length, the slots that its ranks take: at most lengths + slots rows, whatever the input
-    where = [(x, base[x], *r) for x in large for r in rows if r[0] < base[x] + large[x] and r[1] > base[x]]
-    slots = spark.createDataFrame(where, "len int, base bigint, a bigint, z bigint, bin0 bigint, per bigint")
-    rank = F.col("first") + F.col("k") + F.col("base")
-    placed = ranked.join(F.broadcast(slots), (ranked["len"] == slots["len"]) & (rank >= F.col("a")) & (rank < F.col("z")))
-    placed = placed.select((F.col("bin0") + F.floor((rank - F.col("a")) / F.col("per"))).cast("bigint").alias("bin_id"), "id", "piece", "start", ranked["len"])
-    placed = written(placed, "placed")
-
-    shards = max(1, -(-(bins + sum(n for x, n in counts.items() if 0 < x <= cut)) // shard))
-    gaps = placed.groupBy("bin_id").agg((F.lit(capacity) - F.sum("len")).cast("int").alias("len")).where("len > 0")
-    gaps = gaps.select(F.pmod("bin_id", F.lit(shards)).cast("int").alias("shard"), "bin_id", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("int").alias("piece"), F.lit(None).cast("bigint").alias("start"), "len")
-    little = pieces.where(F.col("len").between(1, cut)).select(F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("bigint").alias("bin_id"), "id", "piece", "start", "len")
-
-    def fill(t: pa.Table) -> pa.Table:
-        number = t.column("shard")[0].as_py()
-        bin_id, n = t.column("bin_id").to_pylist(), t.column("len").to_pylist()
-        loose = t.filter(pa.compute.is_null(t.column("bin_id"))).sort_by([("len", "descending"), ("id", "ascending"), ("piece", "ascending")])
-        fresh = iter(range(bins + number, 1 << 62, shards))
-        found = best_fit([(r, b) for b, r in zip(bin_id, n) if b is not None], loose.column("len").to_pylist(), capacity, fresh)
-        return loose.drop_columns(["shard", "bin_id"]).add_column(0, "bin_id", pa.array(found, pa.int64()))
-
-    schema = T.StructType([T.StructField("bin_id", T.LongType()), T.StructField("id", kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("len", T.IntegerType())])
-    filled = gaps.unionByName(little).groupBy("shard").applyInArrow(fill, schema)
-    none = pieces.where("len <= 0").select(F.lit(None).cast("bigint").alias("bin_id"), "id", "piece", F.lit(0).cast("bigint").alias("start"), F.lit(0).alias("len"))
-    return placed.unionByName(filled).unionByName(none).select("bin_id", F.col("id").alias(key), "piece", "start", F.col("len").alias("length"))
+    where, seen = [], 0
+    for x in sorted(large, reverse=True):
+        where += [(x, max(a, seen) - seen, min(z, seen + large[x]) - seen, seen - a, bin0, per) for a, z, bin0, per in rows if a < seen + large[x] and z > seen]
+        seen += large[x]
+    slots = spark.createDataFrame(where, "len int, a bigint, z bigint, off bigint, bin0 bigint, per bigint")
+    here = (F.col("rank") >= F.col("a")) & (F.col("rank") < F.col("z"))
+    big = ranks.where(F.col("len") > cut).join(broadcast_if_small(slots, len(where), 48), "len").where(here)
+    big = written(big.select("pid", "len", (F.col("bin0") + F.floor((F.col("rank") + F.col("off")) / F.col("per"))).cast("bigint").alias("bin_id")), "large")
+
+    gaps = big.groupBy("bin_id").agg((F.lit(capacity) - F.sum("len")).cast("int").alias("room")).where("room > 0")
+    gaps = written(gaps, "gaps")
+    rooms = {r["room"]: r["n"] for r in gaps.groupBy("room").agg(F.count("*").alias("n")).collect()}
+    fits, _ = best_fit(rooms, {x: n for x, n in counts.items() if x <= cut}, capacity)
+    plan = spark.createDataFrame(fits, "len int, a bigint, z bigint, room int, bin0 bigint, per bigint")
+    little = ranks.where(F.col("len") <= cut).join(broadcast_if_small(plan, len(fits), 48), "len").where(here)
+    little = little.select("pid", "room", (F.col("bin0") + F.floor((F.col("rank") - F.col("a")) / F.col("per"))).cast("bigint").alias("rank"))
+    numbered = ranked(gaps, "room", "bin_id", max(rooms.values(), default=0))
+    filled = little.where(F.col("room") != FRESH).join(numbered, ["room", "rank"]).select("pid", "bin_id")
+    opened = little.where(F.col("room") == FRESH).select("pid", (F.col("rank") + bins).alias("bin_id"))
+    return big.select("pid", "bin_id").unionByName(filled).unionByName(opened)
+
+
+def pieces_of(tokens: DataFrame, capacity: int) -> DataFrame:
+    """``id``, ``piece`` (0 ..), ``start``, ``len`` and ``tokens`` of each piece of the rows of ``id`` and ``tokens``."""
+    last = F.greatest(F.ceil(F.coalesce(F.size("tokens"), F.lit(0)) / capacity) - 1, F.lit(0)).cast("int")
+    cut = tokens.select("id", "tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    part = F.slice("tokens", F.col("piece") * capacity + 1, F.lit(capacity))
+    return cut.select("id", "piece", (F.col("piece").cast("bigint") * capacity).alias("start"), F.greatest(F.coalesce(F.size(part), F.lit(0)), F.lit(0)).alias("len"), part.alias("tokens"))
+
+
+def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str = bpe.VOCABULARY, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> DataFrame:
+    """``bin_id``, id (as ``key``), ``piece`` (0 ..), ``start`` and ``length`` in tokens, ``tokens``: one row per piece. The
+    pieces of a bin are one training sequence."""
+    body = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    return pack_tokens(bpe.encode(body, "text", "id", vocabulary), key, capacity, groups, small)
+
+
+def pack_tokens(encoded: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> DataFrame:
+    """The same from rows of ``id`` and ``tokens``."""
+    pieces = written(pieces_of(encoded, capacity).withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    placed = written(place(pieces, capacity, groups, small), "placed")
+    whole = pieces.join(broadcast_if_small(placed, placed.count(), 24), "pid", "left")
+    names = free(["bin_id", "piece", "start", "length", "tokens"], [key])
+    columns: list[Column] = [F.col(c).alias(n) for c, n in zip(["bin_id", "piece", "start", "len", "tokens"], names)]
+    return whole.select(columns[0], F.col("id").alias(key), *columns[1:])
