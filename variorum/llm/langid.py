@@ -1,8 +1,8 @@
 """Language ID (7): multinomial naive Bayes over hashed character n-grams.
 
-Training counts the n-grams (1 to 3 characters, of lower-cased text, hashed to ``BUCKETS``) of labelled rows, at most
-``max_train`` of them per language - the one documented bound, on training alone - chosen by a hash of their id, whole
-texts. The counts are summed by Spark; what comes to the driver is bounded by buckets x languages. The smoothed
+Training counts the n-grams (1 to 3 characters, of lower-cased text, hashed to ``BUCKETS``) of labelled texts, at most
+``max_train`` of them per language - the one documented bound, on training alone - chosen by a hash of id and text,
+whole texts. Rows equal in both are one. The counts are summed by Spark; what comes to the driver is bounded by buckets x languages. The smoothed
 log-probability matrix is broadcast and every document is scored over its whole text in numpy: its n-grams' rows are
 gathered and summed. Only n-grams of letters count: digits, signs and spaces tell no language.
 
@@ -16,7 +16,9 @@ and little is rejected. To the driver come two numbers a training row for it.
 Edge cases. A null or empty text and one without any letter has no language: ``lang_pred`` is null, ``score`` 0 and
 ``keep`` false. Equal scores go to the language first in alphabetical order. Labels that are null are not learned from.
 With no labelled row at all there is no model, and training raises ``ValueError`` - except over an empty table, which
-gives an empty result. Rows are scored one by one, so repeated rows get equal rows.
+gives an empty result. Rows are scored one by one, so repeated rows get equal rows. Null ids are ids like others. ``identify``
+returns the columns ``keep`` and its own, which get an underscore where a column kept has their name;
+``language_filter`` returns rows as they are.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from variorum.llm.common import map_arrow
+from variorum.llm.common import free, map_arrow, written
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -118,8 +121,8 @@ def score(model_logp: np.ndarray, points: np.ndarray, lengths: np.ndarray, lette
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", max_train: int = MAX_TRAIN) -> Model | None:
     """The model, or None over an empty table. ``max_train`` bounds the labelled rows of each language."""
-    rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{label}`").cast("string").alias("l"), F.xxhash64(F.col(f"`{key}`")).alias("h")).where("l is not null and t is not null")
-    # The bound is met by a hash threshold per language, not by a sort: the share that leaves about max_train rows.
+    rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{label}`").cast("string").alias("l"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h")).where("l is not null and t is not null")
+    # A hash threshold per language leaves about max_train rows without a sort; what is over goes by rank among these few.
     sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         if docs.isEmpty():
@@ -127,7 +130,9 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
         raise ValueError(f"no row has a label in {label}")
     langs = tuple(sorted(sizes))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, max_train / n)))])
-    taken = rows.where(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("l")) * (1 << 20)).select("t", "l")
+    some = rows.where(F.pmod("h", F.lit(1 << 40)) < F.element_at(share, F.col("l")) * (1 << 40)).groupBy("l", "h").agg(F.first("t").alias("t"))
+    least = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    taken = written(some.withColumn("n", least).where(F.col("n") <= max_train).select("t", "l"), "training")
     index = {k: i for i, k in enumerate(langs)}
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -200,12 +205,13 @@ def verdicts(model: Model, col: pa.Array, allowed: tuple[str, ...] | None, min_p
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), allowed: tuple[str, ...] | None = None, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """``keep`` columns, ``lang_pred``, ``score`` (posterior of that language) and ``keep``."""
     body = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in body.schema.fields[:-1]), "lang_pred string, score double, keep boolean"])
+    names = free(["lang_pred", "score", "keep"], list(keep))
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in body.schema.fields[:-1]), *(f"`{n}` {k}" for n, k in zip(names, ("string", "double", "boolean")))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         pred, post, good = verdicts(shared.value, b.column(len(keep)), allowed, min_posterior)
-        return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(pred, pa.string()), pa.array(post), pa.array(good)], names=[*keep, "lang_pred", "score", "keep"])
+        return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(pred, pa.string()), pa.array(post), pa.array(good)], names=[*keep, *names])
 
     return map_arrow(body, run, fields)
 

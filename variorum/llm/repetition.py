@@ -11,13 +11,13 @@ over the characters, 1 at most, and 0 where no n-gram occurs twice. ``dup_line``
 equal an earlier one, ``dup_line_chars`` those lines' characters over all characters. ``lines`` counts non-blank lines.
 
 Edge cases. A null or empty text, and one of white space only, has 0 everywhere, no words, and is rejected
-(``reason`` = 'empty'). Texts of fewer than ``min_words`` words are too short for the n-gram and line-character rules, and texts of fewer than
-``min_lines`` lines for the line rule: one repeated line or phrase is no sign of junk there. But at any length a text is
-rejected of which over ``HALF`` lies in repeated n-grams (``dup_n``) or repeated lines (``dup_line``, ``dup_line_chars``): a
-passage said twice reaches half at most, so more is said at least three times. Up to ``FULL_WORDS`` words
-the n-gram limits are wider, by FULL_WORDS / words, since one sentence said twice is a larger share of a short text. Any
-length is scanned whole. Rows are judged one by one, so repeated rows get equal rows and an empty table gives an
-empty one. All input columns but those named like an output column are ignored by the operator.
+(``reason`` = 'empty'). No length is exempt from a rule. One phrase said twice is a larger share of a short text, so under
+``FULL_WORDS`` words (``FULL_LINES`` lines for ``dup_line``) a limit rises with the inverse of the length, without a
+step: limit x FULL_WORDS / words. For ``dup_n`` and the line rules it rises to ``HALF`` and no further: a passage said
+twice reaches half at most, so where more is covered something is said at least three times. Any length is scanned
+whole. Rows are judged one by one, so repeated rows get equal rows and an empty table gives an empty one. ``repetition``
+returns the columns ``keep`` and its own, which get an underscore where a column kept has their name; other columns are
+ignored. ``quality_filter`` returns rows as they are.
 """
 
 from __future__ import annotations
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variorum.llm.common import byte_hashes, map_arrow, mix64, prefix_hash, runs_of, slices, sub_hash, text_buffers
+from variorum.llm.common import byte_hashes, free, map_arrow, mix64, prefix_hash, runs_of, slices, sub_hash, text_buffers
 
 TOP = {2: 0.20, 3: 0.18, 4: 0.16}
 DUP = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-LINE, LINE_CHARS, MIN_WORDS, MIN_LINES = 0.30, 0.20, 50, 10
-FULL_WORDS = 100
+LINE, LINE_CHARS = 0.30, 0.20
+FULL_WORDS, FULL_LINES = 100, 10
 HALF = 0.5
 METRICS = [*(f"top_{n}" for n in TOP), *(f"dup_{n}" for n in DUP), "dup_line", "dup_line_chars"]
 
@@ -119,40 +119,41 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
 
-def broken(m: dict[str, np.ndarray], min_words: int = MIN_WORDS, min_lines: int = MIN_LINES) -> list[tuple[str, np.ndarray]]:
+def broken(m: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray]]:
     """The rules in the order in which they give the reason, with the texts that break them."""
-    long = m["words"] >= min_words
-    wider = np.maximum(1.0, FULL_WORDS / np.maximum(m["words"], 1))
-    half = {x: m[x] > HALF for x in METRICS if x.startswith("dup_")}
-    rules = [("empty", m["words"] == 0), ("dup_line", half["dup_line"] | (m["lines"] >= min_lines) & (m["dup_line"] > LINE)), ("dup_line_chars", half["dup_line_chars"] | long & (m["dup_line_chars"] > LINE_CHARS))]
-    return rules + [(f"{kind}_{n}", half.get(f"{kind}_{n}", False) | long & (m[f"{kind}_{n}"] > most * wider)) for kind, limits in (("top", TOP), ("dup", DUP)) for n, most in limits.items()]
+    wider, lines = (np.maximum(1.0, full / np.maximum(m[n], 1)) for n, full in (("words", FULL_WORDS), ("lines", FULL_LINES)))
+    limits = [("dup_line", np.minimum(HALF, LINE * lines)), ("dup_line_chars", np.minimum(HALF, LINE_CHARS * wider))]
+    limits += [(f"top_{n}", most * wider) for n, most in TOP.items()] + [(f"dup_{n}", np.minimum(HALF, most * wider)) for n, most in DUP.items()]
+    return [("empty", m["words"] == 0)] + [(name, m[name] > most) for name, most in limits]
 
 
-def repetition(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_words: int = MIN_WORDS, min_lines: int = MIN_LINES) -> DataFrame:
+def repetition(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, counts, metrics, ``keep`` and ``reason`` (null where kept; else the first rule broken)."""
     body = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in body.schema.fields[:-1]), "words bigint, lines bigint", *(f"{m} double" for m in METRICS), "keep boolean", "reason string"])
+    names = free(["words", "lines", *METRICS, "keep", "reason"], list(keep))
+    kinds = ["bigint", "bigint", *["double"] * len(METRICS), "boolean", "string"]
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in body.schema.fields[:-1]), *(f"`{n}` {k}" for n, k in zip(names, kinds))])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets, _ = text_buffers(b.column(len(keep)))
         m = measured(data, offsets)
         reason = np.full(b.num_rows, None, object)
-        for name, hit in reversed(broken(m, min_words, min_lines)):
+        for name, hit in reversed(broken(m)):
             reason[hit] = name
         columns = [b.column(i) for i in range(len(keep))] + [pa.array(m["words"]), pa.array(m["lines"])] + [pa.array(np.round(m[x], 9)) for x in METRICS]
         columns += [pa.array([r is None for r in reason], pa.bool_()), pa.array(reason, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, names=[*keep, "words", "lines", *METRICS, "keep", "reason"])
+        return pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     return map_arrow(body, run, fields)
 
 
-def quality_filter(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, min_lines: int = MIN_LINES) -> DataFrame:
+def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged and with all their columns, that break no rule. No shuffle: the verdict is made where the row is."""
     at = docs.columns.index(text)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets, _ = text_buffers(b.column(at))
-        bad = np.logical_or.reduce([hit for _, hit in broken(measured(data, offsets), min_words, min_lines)])
+        bad = np.logical_or.reduce([hit for _, hit in broken(measured(data, offsets))])
         return b.filter(pa.array(~bad))
 
     return map_arrow(docs, run, docs.schema)
