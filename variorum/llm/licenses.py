@@ -7,15 +7,20 @@ one notice that touch are merged, and the regex library's bounded-error matching
 them and reports span and edits. Every occurrence that a search of the whole text would find lies in some window, so
 the result is that of the whole search.
 
-Comparison ignores case (lower case, character by character, so that positions stay). Occurrences of one notice don't
-overlap, leftmost first; different notices may overlap.
+Comparison ignores case (lower case, character by character, so that positions stay) and how a notice is laid out: any
+run of white space counts as one space, as does a line break with the comment sign that begins the next line, so a
+wrapped notice costs no edits. Spans are places in the text as it stands. Occurrences of one notice don't overlap,
+leftmost first; different notices may overlap.
 
 Edge cases. Null and empty texts have no hits and so no rows. Any length is scanned whole. Repeated rows give repeated
-hits. Empty in, empty out. Only the id and the text are read; extra columns are ignored.
+hits. Empty in, empty out. Only the id and the text are read; extra columns are ignored. An output column whose name the
+id has gets an underscore.
 """
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variorum.llm.common import map_arrow
+from variorum.llm.common import free, map_arrow
 
 #: (id, license, notice, permitted edits). Edits leave seeds of 5 characters at least.
 NOTICES = [
@@ -40,6 +45,22 @@ NOTICES = [
     ("cc-by-sa", "copyleft", "creative commons attribution-sharealike", 3),
     ("public-domain", "permissive", "released into the public domain", 2),
     ("reserved", "reserved", "all rights reserved", 2),
+    ("confidential", "reserved", "this document is proprietary and confidential", 3),
+    ("apache-warranty", "permissive", "on an \"as is\" basis, without warranties or conditions of any kind", 5),
+    ("mit-warranty", "permissive", "the software is provided \"as is\", without warranty of any kind", 4),
+    ("zlib", "permissive", "this software is provided 'as-is', without any express or implied warranty", 4),
+    ("bsd-names", "permissive", "nor the names of its contributors may be used to endorse or promote products", 5),
+    ("boost", "permissive", "boost software license - version 1.0", 2),
+    ("unlicense", "permissive", "this is free and unencumbered software released into the public domain", 4),
+    ("cc0", "permissive", "cc0 1.0 universal", 1),
+    ("cc-by-4.0", "permissive", "licensed under a creative commons attribution 4.0 international license", 4),
+    ("cc-by-nc", "noncommercial", "creative commons attribution-noncommercial", 3),
+    ("cc-by-nd", "noderivatives", "creative commons attribution-noderivatives", 3),
+    ("gpl-grant", "copyleft", "redistribute it and/or modify it under the terms of the gnu general public license", 5),
+    ("gpl-later", "copyleft", "either version 2 of the license, or (at your option) any later version", 4),
+    ("gfdl", "copyleft", "gnu free documentation license", 2),
+    ("epl", "copyleft", "eclipse public license", 1),
+    ("artistic", "permissive", "under the artistic license 2.0", 2),
     ("spdx", "tag", "spdx-license-identifier:", 2),
 ]
 
@@ -50,6 +71,21 @@ def lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
+_LAYOUT = re.compile(r"\s*\n\s*(?:(?:[#*;%]+|//+|--+)\s+)?|\s{2,}|[^\S ]")
+
+
+def flat(low: str) -> tuple[str, list[int], list[int]]:
+    """The text with each run of white space as one space, and places in it with the places in ``low`` that they stand for."""
+    parts, at, here, there, n = [], 0, [0], [0], 0
+    for m in _LAYOUT.finditer(low):
+        parts += (low[at : m.start()], " ")
+        n += m.start() - at + 1
+        at = m.end()
+        here.append(n)
+        there.append(at)
+    return "".join(parts) + low[at:], here, there
+
+
 def seeds(notice: str, errors: int) -> list[tuple[str, int]]:
     """errors + 1 pieces of about equal length, and where each begins."""
     k, n = errors + 1, len(notice)
@@ -95,18 +131,22 @@ class Scanner:
 
     def scan(self, text: str) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(notice, start, end, substitutions, insertions, deletions) in characters."""
-        low = lower(text)
+        low, here, there = flat(lower(text))
         for i, spans in sorted(self.windows(low).items()):
             for a, b in spans:
                 for m in self.patterns[i].finditer(low, a, b):
-                    yield i, m.start(), m.end(), *m.fuzzy_counts
+                    yield i, *(there[k] + p - here[k] for p in m.span() for k in [bisect.bisect_right(here, p) - 1]), *m.fuzzy_counts
 
     def whole(self, text: str) -> Iterator[tuple[int, int, int, int, int, int]]:
         """The same by search of the whole text, for tests."""
-        low = lower(text)
+        low, here, there = flat(lower(text))
+        place = [0] * (len(low) + 1)
+        for h, t, end in zip(here, there, [*here[1:], len(low) + 1]):
+            for p in range(h, end):
+                place[p] = t + p - h
         for i, p in enumerate(self.patterns):
             for m in p.finditer(low):
-                yield i, m.start(), m.end(), *m.fuzzy_counts
+                yield i, place[m.start()], place[m.end()], *m.fuzzy_counts
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", notices: list[tuple[str, str, str, int]] | None = None) -> DataFrame:
@@ -116,6 +156,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", notices: list
     body = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text")).where("__text is not null")
     kind = body.schema.fields[0].dataType.simpleString()
     held: list[Scanner] = []
+    names = free(NAMES, [key])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         if not held:
@@ -128,10 +169,11 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", notices: list
         if not rows:
             return None
         cols = list(zip(*rows))
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=[key, *NAMES])
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(cols, types))], names=[key, *names])
 
-    return map_arrow(body, run, f"`{key}` {kind}, notice string, license_class string, span_start bigint, span_end bigint, substitutions int, insertions int, deletions int, matched string")
+    kinds = ["string", "string", "bigint", "bigint", "int", "int", "int", "string"]
+    return map_arrow(body, run, ", ".join([f"`{key}` {kind}", *(f"`{n}` {k}" for n, k in zip(names, kinds))]))
 
 
 NAMES = ["notice", "license_class", "span_start", "span_end", "substitutions", "insertions", "deletions", "matched"]
