@@ -11,23 +11,25 @@ Not visible: head, script, style, template, noscript, iframe, object, svg, audio
 all of closed ``details`` but the summary; comments, declarations.
 
 Edge cases. Null HTML gives null text; empty HTML, and HTML without visible text, empty text. Unclosed tags, comments
-and attribute quotes are closed by the end of the text; a ``<`` that begins no tag is text. Elements nested deeper than
-``DEPTH`` are laid beside each other in that depth; no text is lost. Rows are rendered one by one: repeated rows give
-equal rows, empty tables empty ones, and other columns pass through. Pages of any length are rendered whole.
+and attribute quotes are closed by the end of the text; a ``<`` that begins no tag is text. Elements may be nested to any
+depth: neither the builder nor the renderer recurses. A cell spans 1000 columns and 65,534 rows at most and no row
+beyond its table, as the HTML standard rules. Rows are rendered one by one: repeated rows give equal rows, empty tables
+empty ones. Other columns pass through, but one named like the output (in any case) is replaced by it. Pages of any
+length are rendered whole.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Generator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variorum.llm.common import map_arrow
-
-DEPTH = 200
+from variorum.llm.common import besides, map_arrow
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -78,11 +80,15 @@ class Node:
 def build(source: str) -> Node:
     root = Node("#root")
     stack, pos, n = [root], 0, len(source)
+    many: Counter[str] = Counter()  # open elements of each tag, so that what isn't open isn't searched for
 
     def close(upto: int) -> None:
+        many.subtract(x.tag for x in stack[upto:])
         del stack[upto:]
 
     def find(names, scope) -> int:
+        if not any(many[t] for t in names):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
                 return i
@@ -131,8 +137,9 @@ def build(source: str) -> Node:
             inner = source[pos : end.start()] if end else source[pos:]
             node.children.append(entities.unescape(inner) if tag in ("textarea", "title") else inner)
             pos = end.end() if end else n
-        elif tag not in _VOID and not (rest.endswith("/") and tag not in _BLOCK) and len(stack) < DEPTH:
+        elif tag not in _VOID and not (rest.endswith("/") and tag not in _BLOCK):
             stack.append(node)
+            many[tag] += 1
     return root
 
 
@@ -204,7 +211,24 @@ def hidden(node: Node) -> bool:
     return "display" in low and bool(_HIDE.search(node.attr("style") or ""))
 
 
-def inside(node: Node, out: Lines, pre: bool, seen: bool, depth: int) -> None:
+#: A renderer's step: it yields the steps that it waits for and returns their results to the one that waits for it.
+Step = Generator["Step", list[str] | None, list[str] | None]
+
+
+def completed(step: Step) -> list[str] | None:
+    """The result of a step and of all it waits for, on a stack of our own, however deep."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def inside(node: Node, out: Lines, pre: bool, seen: bool) -> Step:
     shut = node.tag == "details" and node.attr("open") is None
     count = node.number("start", 1, 1 << 30) if node.tag == "ol" else 0
     for c in node.children:
@@ -223,33 +247,33 @@ def inside(node: Node, out: Lines, pre: bool, seen: bool, depth: int) -> None:
             if c.tag == "li" and node.tag in ("ul", "ol", "menu", "dir"):
                 if node.tag == "ol":
                     count = c.number("value", count, 1 << 30)
-                    item(c, out, f"{count}. ", pre, seen, depth)
+                    yield item(c, out, f"{count}. ", pre, seen)
                     count += not hidden(c)
                 else:
-                    item(c, out, "- ", pre, seen, depth)
+                    yield item(c, out, "- ", pre, seen)
             elif node.tag == "li" and c.tag in ("ul", "ol", "menu", "dir") and not hidden(c):
-                out.add(sub(c, pre, seen, depth + 1), 1)
+                out.add((yield sub(c, pre, seen)), 1)
             else:
-                render(c, out, pre, seen, depth)
+                yield render(c, out, pre, seen)
 
 
-def sub(node: Node, pre: bool, seen: bool, depth: int) -> list[str]:
+def sub(node: Node, pre: bool, seen: bool) -> Step:
     inner = Lines()
-    inside(node, inner, pre, seen, depth)
+    yield inside(node, inner, pre, seen)
     return inner.done()
 
 
-def item(node: Node, out: Lines, mark: str, pre: bool, seen: bool, depth: int) -> None:
+def item(node: Node, out: Lines, mark: str, pre: bool, seen: bool) -> Step:
     if hidden(node):
         return
     if m := _VISIBILITY.search(node.attr("style") or ""):
         seen = m[1].lower() == "visible"
-    lines = sub(node, pre, seen, depth + 1)
+    lines = yield sub(node, pre, seen)
     if lines:
         out.add([mark + lines[0], *(" " * len(mark) + x if x else x for x in lines[1:])], 1)
 
 
-def table(node: Node, out: Lines, pre: bool, seen: bool, depth: int) -> None:
+def table(node: Node, out: Lines, pre: bool, seen: bool) -> Step:
     rows: list[Node] = []
     for c in node.children:
         if isinstance(c, str):
@@ -268,11 +292,11 @@ def table(node: Node, out: Lines, pre: bool, seen: bool, depth: int) -> None:
                     if seen:
                         out.text(r)
                 else:
-                    render(r, out, pre, seen, depth + 1)
+                    yield render(r, out, pre, seen)
         else:
-            render(c, out, pre, seen, depth + 1)
+            yield render(c, out, pre, seen)
     out.block(1)
-    taken: dict[tuple[int, int], bool] = {}
+    busy: dict[int, int] = {}  # per column, the row at which the last cell that reaches down into it ends
     cells: list[tuple[int, int, int, list[str], bool]] = []
     for y, r in enumerate(rows):
         x = 0
@@ -282,20 +306,19 @@ def table(node: Node, out: Lines, pre: bool, seen: bool, depth: int) -> None:
                     out.text(c)
                 continue
             if c.tag not in ("td", "th"):
-                render(c, out, pre, seen, depth + 1)
+                yield render(c, out, pre, seen)
                 continue
             if hidden(c):
                 continue
-            while taken.get((y, x)):
+            while busy.get(x, 0) > y:
                 x += 1
-            wide, high = max(1, c.number("colspan", 1, 100)), max(1, min(len(rows) - y, c.number("rowspan", 1, 1000)))
-            for dy in range(high):
-                for dx in range(wide):
-                    taken[y + dy, x + dx] = True
+            wide, high = max(1, c.number("colspan", 1, 1000)), max(1, min(len(rows) - y, c.number("rowspan", 1, 65_534)))
+            for dx in range(wide if high > 1 else 0):
+                busy[x + dx] = y + high
             shown = seen
             if m := _VISIBILITY.search(c.attr("style") or ""):
                 shown = m[1].lower() == "visible"
-            cells.append((y, x, wide, sub(c, pre, shown, depth + 1), (c.attr("align") or "").lower() == "right"))
+            cells.append((y, x, wide, (yield sub(c, pre, shown)), (c.attr("align") or "").lower() == "right"))
             x += wide
     width: dict[int, int] = {}
     for _, x, wide, lines, _ in cells:
@@ -324,7 +347,7 @@ def table(node: Node, out: Lines, pre: bool, seen: bool, depth: int) -> None:
     out.add(done, 2)
 
 
-def render(node: Node, out: Lines, pre: bool, seen: bool, depth: int) -> None:
+def render(node: Node, out: Lines, pre: bool, seen: bool) -> Step:
     tag = node.tag
     if tag == "br":
         if seen:
@@ -336,23 +359,23 @@ def render(node: Node, out: Lines, pre: bool, seen: bool, depth: int) -> None:
         seen = m[1].lower() == "visible"
     if tag == "table":
         out.block(2)
-        table(node, out, pre, seen, depth + 1)
+        yield table(node, out, pre, seen)
         return
     if tag == "input":
         if seen and (node.attr("type") or "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url"):
             out.text(f" {node.attr('value') or ''} ".rstrip() + " ")
         return
     if tag == "pre" or tag == "textarea":
-        lines = sub(node, True, seen, depth + 1)
+        lines = yield sub(node, True, seen)
         out.add(lines, 2 if tag == "pre" else 1)
         return
     if tag == "blockquote" or tag == "dd":
-        out.add(["    " + x if x else x for x in sub(node, pre, seen, depth + 1)], 2 if tag == "blockquote" else 1)
+        out.add(["    " + x if x else x for x in (yield sub(node, pre, seen))], 2 if tag == "blockquote" else 1)
         return
     gap = 2 if tag in _APART else 1 if tag in _BLOCK else 0
     if gap:
         out.block(gap)
-    inside(node, out, pre, seen, depth + 1)
+    yield inside(node, out, pre, seen)
     if gap:
         out.block(gap)
 
@@ -361,12 +384,12 @@ def extract_text(source: str | None) -> str | None:
     """The visible text; lines apart by newlines, without any at the ends."""
     if source is None:
         return None
-    return "\n".join(sub(build(source), False, True, 0))
+    return "\n".join(completed(sub(build(source), False, True)))
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """The pages' other columns and ``out``. No shuffle."""
-    names = [c for c in pages.columns if c not in (html, out)]
+    names = besides(pages, [html, out])
     body = pages.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{html}`").alias("__html"))
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in body.schema.fields[:-1]), f"`{out}` string"])
 

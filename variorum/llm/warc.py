@@ -2,15 +2,23 @@
 
 A package is a ZIP file with WARC files stored (not compressed by ZIP) under ``archive/`` and CDXJ indexes under
 ``indexes/``. The reader parses the end record, its ZIP64 form and the central directory by range reads of the file's
-end, finds each member's data behind its local header, reads the index members for the records' places and then the
-records themselves, neighbouring ones in one read. No member is ever extracted. The unit of work is a byte range, so
-one package of any size is read by many tasks, and only paths and ranges are shuffled.
+end, finds each member's data behind its local header, streams the index members for the records' places and then reads
+the records themselves, neighbouring ones in one read. No member is ever extracted. The unit of work is a byte range,
+so one package of any size is read by many tasks, and only paths and ranges are shuffled.
+
+What no index line covers - a whole member, or gaps between the places named - is cut into pieces of ``PIECE_BYTES``.
+One task a piece looks for the first place in it where a record may begin and walks from there, record by record, to
+the first border in the next piece; nothing is kept but the borders. Then the pieces of a gap are chained: each must
+begin where the one before it ended, and where one doesn't (what looked like a record lay inside another) the walk is
+taken from the proven border. So the pieces that are read in the end consist of whole records, whatever these contain.
 
 Edge cases. A member that isn't stored (or is encrypted) can't be range-read: archives of that kind are listed by
-``members`` and have no records; indexes are inflated. An archive without index lines is read from end to end. Index
-lines that name no member or hold no place are ignored. A path that is null is ignored; one that holds no ZIP, or a
-directory or record that is cut short, raises with its place: data are never dropped silently. HTTP 204 has a null
-payload, an empty body an empty one. Repeated paths give repeated records; an empty table of paths gives no rows.
+``members`` and have no records; indexes are inflated. Bytes of an archive that no index line covers are read like an
+archive without an index. An index line that is broken, or names no member of the package or a place outside it,
+raises, as does a path that holds no ZIP, a directory or record that is cut short, or a place where no record begins,
+each with its place: data are never dropped silently. Blank lines, comments (``!``, ``#``) and the header of a CDX file are
+no lines. A null path is ignored. HTTP 204 has a null payload, an empty body an empty one. Repeated paths give repeated
+records; an empty table of paths gives no rows. Columns other than the path are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +28,16 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import zipfile
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -33,12 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variorum.llm.common import new_path, written
+from variorum.llm.common import map_arrow, new_path, written
 
 READ_BYTES = 8 << 20
 #: Archive bytes that one reading task takes.
 TASK_BYTES = 64 << 20
 PACKAGE_BYTES = 64 << 20
+#: Bytes of a piece of an archive part without an index.
+PIECE_BYTES = 32 << 20
+RANGE = "path string, member string, offset bigint, length bigint"
 RECORD = "path string, member string, offset bigint, length bigint, warc_type string, record_id string, target_uri string, warc_date string, status int, content_type string, payload binary, digest_ok boolean"
 
 
@@ -123,43 +138,201 @@ def is_archive(name: str) -> bool:
     return name.endswith((".warc", ".warc.gz"))
 
 
-def index_lines(f, m: Member, what: str) -> Iterator[dict]:
-    data = read_at(f, m.offset, m.packed, what)
+def inflated(f, m: Member, what: str) -> Iterator[bytes]:
+    """The member's bytes, inflated where ZIP or gzip (of any number of parts) packed them, a block at a time."""
+    blocks: Iterator[bytes] = (read_at(f, m.offset + p, min(READ_BYTES, m.packed - p), what) for p in range(0, m.packed, READ_BYTES))
     if m.method == 8:
-        data = zlib.decompress(data, -15)
-    if m.name.endswith(".gz"):
-        data = gzip.decompress(data)
-    for line in data.decode("utf-8", "replace").splitlines():
-        at = line.find("{")
-        if at >= 0:
-            try:
-                yield json.loads(line[at:])
-            except ValueError:
+        blocks = _inflate(blocks, -15, what)
+    return _inflate(blocks, 31, what) if m.name.endswith(".gz") else blocks
+
+
+def _inflate(blocks: Iterator[bytes], bits: int, what: str) -> Iterator[bytes]:
+    d = zlib.decompressobj(bits)
+    for data in blocks:
+        while data:
+            if d.eof:
+                d = zlib.decompressobj(bits)
+            yield d.decompress(data, READ_BYTES)
+            data = d.unconsumed_tail or d.unused_data
+    yield d.flush()
+    if not d.eof:
+        raise ValueError(f"{what}: compressed data are cut short")
+
+
+def index_lines(f, m: Member, what: str) -> Iterator[tuple[str, int, int]]:
+    """(file name, offset, length) of each line of an index."""
+    rest, number = b"", 0
+    for block in chain(inflated(f, m, what), [b"\n"]):
+        *lines, rest = (rest + block).split(b"\n")
+        for line in lines:
+            number += 1
+            text = line.decode("utf-8", "replace").strip()
+            if not text or text[0] in "!#" or text.startswith("CDX "):
                 continue
-
-
-def places(path: str) -> Iterator[tuple[str, int, int]]:
-    """(member, offset in the package, length) of each record an index names; whole members where none does (length < 0)."""
+            try:
+                if (at := text.find("{")) >= 0:
+                    x = json.loads(text[at:])
+                    yield str(x["filename"]), int(x["offset"]), int(x["length"])
+                else:  # CDX of eleven fields, the last three of which are length, offset and file
+                    *_, length, offset, name = text.split(" ")
+                    yield name, int(offset), int(length)
+            except (KeyError, TypeError, ValueError) as e:
+                raise ValueError(f"{what}: broken line {number} of {m.name}: {text[:200]}") from e
+
+
+def places(path: str) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Members, offsets in the package and lengths of the records that the indexes name, and of the gaps between (length < 0)."""
     fs, p = open_fs(path)
     with fs.open_input_file(p) as f:
         found = directory(f, f.size(), path)
-        stores = {m.name: m for m in found if is_archive(m.name) and m.method == 0 and not m.flags & 1}
-        by_name = {n.rpartition("/")[2]: m for n, m in stores.items()} | stores
-        seen: dict[str, set[int]] = {}
+        archives = {m.name: m for m in found if is_archive(m.name)}
+        stores = {n: m for n, m in archives.items() if m.method == 0 and not m.flags & 1}
+        by_name = {n.rpartition("/")[2]: m for n, m in archives.items()} | archives
+        named: dict[str, tuple[array, array]] = {n: (array("q"), array("q")) for n in stores}
         for m in found:
             if m.name.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")) and m.method in (0, 8) and not m.flags & 1:
-                for x in index_lines(f, m, path):
-                    s = by_name.get(str(x.get("filename", "")))
-                    try:
-                        offset, length = int(x["offset"]), int(x["length"])
-                    except (KeyError, TypeError, ValueError):
-                        continue
-                    if s and 0 <= offset and 0 < length and offset + length <= s.size and offset not in seen.setdefault(s.name, set()):
-                        seen[s.name].add(offset)
-                        yield s.name, s.offset + offset, length
-        for s in stores.values():
-            if s.name not in seen and s.size:
-                yield s.name, s.offset, -s.size
+                for name, offset, length in index_lines(f, m, path):
+                    s = by_name.get(name)
+                    if s is None or offset < 0 or length <= 0 or s.name in stores and offset + length > s.size:
+                        raise ValueError(f"{path}: {m.name} names {name} at {offset}, {length} bytes, which aren't there")
+                    if s.name in named:
+                        named[s.name][0].append(offset)
+                        named[s.name][1].append(length)
+        for name, s in stores.items():
+            at, n = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in named[name])
+            order = np.lexsort((n, at))
+            at, n = at[order], n[order]
+            new = np.append(at[1:] != at[:-1], True)[: len(at)]  # of lines with one offset the longest
+            at, n = at[new], n[new]
+            a, z = np.concatenate([[0], np.maximum.accumulate(at + n)]), np.append(at, s.size)
+            gap = np.flatnonzero(z > a)
+            at, n = np.concatenate([at, a[gap]]) + s.offset, np.concatenate([n, (a - z)[gap]])
+            order = np.argsort(at, kind="stable")
+            for x in range(0, len(at), 100_000):
+                part = order[x : x + 100_000]
+                yield [name] * len(part), at[part], n[part]
+
+
+class Tape:
+    """A stretch of a package, read in blocks as it is walked."""
+
+    def __init__(self, f, end: int, what: str) -> None:
+        self.f, self.end, self.what, self.base, self.data = f, end, what, 0, b""
+
+    def bytes(self, at: int, n: int) -> bytes:
+        """Up to n bytes from there on, fewer at the end."""
+        n = min(n, self.end - at)
+        if n <= 0:
+            return b""
+        if at < self.base or at + n > self.base + len(self.data):
+            self.base, self.data = at, read_at(self.f, at, min(max(n, READ_BYTES >> 3), self.end - at), self.what)
+        return self.data[at - self.base : at - self.base + n]
+
+    def next(self, at: int) -> int:
+        """The end of the record that begins there, and of the line ends behind it."""
+        if self.bytes(at, 2) == b"\x1f\x8b":
+            d, p, head = zlib.decompressobj(31), at, b""
+            while not d.eof:
+                block = self.bytes(p, 1 << 16)
+                if not block:
+                    raise ValueError(f"{self.what}: the record at {at} is cut short")
+                plain = d.decompress(block)
+                head = (head + plain)[:5] if len(head) < 5 else head
+                p += len(block)
+            if head != b"WARC/":
+                raise ValueError(f"{self.what}: no WARC record at {at}")
+            return p - len(d.unused_data)
+        n = 1 << 12
+        while (e := (head := self.bytes(at, n)).find(b"\r\n\r\n")) < 0:
+            if len(head) < n:
+                raise ValueError(f"{self.what}: no WARC record at {at}")
+            n *= 4
+        version, h = headers(head[:e])
+        if not version.startswith("WARC/") or not h.get("content-length", "").isdigit():
+            raise ValueError(f"{self.what}: no WARC record at {at}")
+        p = at + e + 4 + int(h["content-length"])
+        if p > self.end:
+            raise ValueError(f"{self.what}: the record at {at} is cut short")
+        return self.skip(p)
+
+    def skip(self, at: int) -> int:
+        while self.bytes(at, 2) == b"\r\n":
+            at += 2
+        return at
+
+    def first(self, at: int, end: int) -> int | None:
+        """The first place from there on, before the end, where a record may begin."""
+        while at < end:
+            block = self.bytes(at, 1 << 20)
+            for m in _MAYBE.finditer(block):
+                p = at + (m.end() if m[0] == b"\r\n\r\n" else m.start())
+                if p < end and (p == at + m.end() or self.begins(p)):
+                    return p
+            if len(block) < 1 << 20:
+                return None
+            at += len(block) - 9
+        return None
+
+    def begins(self, at: int) -> bool:
+        try:
+            return zlib.decompressobj(31).decompress(self.bytes(at, 1 << 12), 5) == b"WARC/"
+        except zlib.error:
+            return False
+
+    def walk(self, at: int, least: int) -> int:
+        """The first border at or behind ``least``, from a border."""
+        while at < min(least, self.end):
+            at = self.next(at)
+        return at
+
+
+_MAYBE = re.compile(rb"\r\n\r\n(?=WARC/)|\x1f\x8b\x08", re.S)
+_PIECE = pa.schema([("path", pa.string()), ("member", pa.string()), ("gap", pa.int64()), ("size", pa.int64()), ("piece", pa.int32()), ("first", pa.int64()), ("last", pa.int64())])
+
+
+def chained(gaps: DataFrame, piece_bytes: int) -> DataFrame:
+    """Ranges of whole records (``path``, ``member``, ``offset``, ``length`` < 0) that make up the gaps."""
+    last = F.expr(f"cast((-length - 1) div {piece_bytes} as int)")
+    pieces = gaps.select("path", "member", F.col("offset").alias("gap"), (-F.col("length")).alias("size"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = pieces.repartition(pieces.sparkSession.sparkContext.defaultParallelism * 4, "path", "gap", "piece")
+
+    def tape(f, t: pa.RecordBatch | pa.Table, k: int) -> Tape:
+        gap, size = t.column("gap")[k].as_py(), t.column("size")[k].as_py()
+        return Tape(f, gap + size, f"{t.column('path')[k].as_py()}, {t.column('member')[k].as_py()}")
+
+    def look(b: pa.RecordBatch) -> pa.RecordBatch:
+        ends = []
+        for k in range(b.num_rows):
+            fs, name = open_fs(b.column("path")[k].as_py())
+            with fs.open_input_file(name) as f:
+                t, gap, i = tape(f, b, k), b.column("gap")[k].as_py(), b.column("piece")[k].as_py()
+                at, end = gap + i * piece_bytes, min(gap + (i + 1) * piece_bytes, t.end)
+                first = t.first(at, end) if i else t.skip(at)
+                try:
+                    ends.append((first, t.walk(first, end) if first is not None else None))
+                except ValueError:
+                    if not i:
+                        raise
+                    ends.append((None, None))  # no border after all; the chain walks over it
+        return pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in zip(*ends))], schema=_PIECE)
+
+    def proven(t: pa.Table) -> pa.Table:
+        t = t.sort_by("piece")
+        fs, name = open_fs(t.column("path")[0].as_py())
+        out, at, gap = [], t.column("first")[0].as_py(), t.column("gap")[0].as_py()
+        with fs.open_input_file(name) as f:
+            walker = tape(f, t, 0)
+            for i, first, last in zip(*(t.column(c).to_pylist() for c in ("piece", "first", "last"))):
+                end = min(gap + (i + 1) * piece_bytes, walker.end)
+                if at < end:
+                    border = last if first == at else walker.walk(at, end)
+                    out.append((at, at - border))
+                    at = border
+        both = t.slice(0, 1).select(["path", "member"]).take(pa.array([0] * len(out), pa.int64()))
+        return both.append_column("offset", pa.array([x for x, _ in out], pa.int64())).append_column("length", pa.array([n for _, n in out], pa.int64()))
+
+    found = map_arrow(pieces, look, "path string, member string, gap bigint, size bigint, piece int, first bigint, last bigint")
+    return found.groupBy("path", "member", "gap").applyInArrow(proven, RANGE)
 
 
 def dechunked(body: bytes) -> bytes:
@@ -210,18 +383,26 @@ def parse(record: bytes, what: str) -> tuple[tuple, int]:
 
 def records(data: bytes, what: str) -> Iterator[tuple[int, int, tuple]]:
     """(offset, length, fields) of the records that follow each other in the bytes, each gzipped or plain."""
-    p = 0
-    while p < len(data):
+    view, p = memoryview(data), 0
+    while True:
+        while data[p : p + 2] == b"\r\n":
+            p += 2
+        if p >= len(data):
+            return
         if data[p : p + 2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-            plain = d.decompress(memoryview(data)[p:]) + d.flush()
-            if not d.eof:
-                raise ValueError(f"{what}: the record at {p} is cut short")
-            n = len(data) - p - len(d.unused_data)
-            fields, _ = parse(plain, what)
+            d, q, plain = zlib.decompressobj(31), p, []
+            while not d.eof:
+                if q >= len(data):
+                    raise ValueError(f"{what}: the record at {p} is cut short")
+                plain.append(d.decompress(view[q : q + 65_536]))
+                q = min(q + 65_536, len(data))
+            n = q - len(d.unused_data) - p
+            fields, _ = parse(b"".join(plain), what)
         else:
-            fields, n = parse(data[p:] if p else data, what)
-            n = min(n, len(data) - p)
+            e = data.find(b"\r\n\r\n", p)
+            told = headers(data[p:e])[1].get("content-length", "") if e >= 0 else ""
+            n = e + 4 + int(told) - p if told.isdigit() else len(data) - p
+            fields, _ = parse(data[p : p + n], what)
         yield p, n, fields
         p += n
 
@@ -246,15 +427,14 @@ def members(paths: DataFrame, path: str = "path") -> DataFrame:
 _ARROW = pa.schema([("path", pa.string()), ("member", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("warc_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("status", pa.int32()), ("content_type", pa.string()), ("payload", pa.binary()), ("digest_ok", pa.bool_())])
 
 
-def read(paths: DataFrame, path: str = "path") -> DataFrame:
+def read(paths: DataFrame, path: str = "path", piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """All records of the packages; ``offset`` is that in the package."""
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in b.column(0).to_pylist():
-                if rows := list(places(p)):
-                    m, o, n = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows)), pa.array(m), pa.array(o), pa.array(n)], names=["path", "member", "offset", "length"])
+                for m, o, n in places(p):
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(m), pa.string()), pa.array(m, pa.string()), pa.array(o, pa.int64()), pa.array(n, pa.int64())], names=["path", "member", "offset", "length"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, f = None, None
@@ -271,9 +451,8 @@ def read(paths: DataFrame, path: str = "path") -> DataFrame:
                 part = data[o - a : o - a + abs(n)]
                 for q, length, fields in records(part, f"{p} at {o}"):
                     rows.append((p, m, o + q, length, *fields))
-                    if n > 0:
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
 
         span: list[tuple[str, str, int, int]] = []
         for b in batches:
@@ -286,9 +465,13 @@ def read(paths: DataFrame, path: str = "path") -> DataFrame:
             yield from flush(span)
 
     listed = paths.select(F.col(f"`{path}`").alias("path")).where("path is not null")
-    ranges = listed.mapInArrow(plan, "path string, member string, offset bigint, length bigint")
+    # a repeated path is planned once; its ranges are given as often as it occurs
+    times = listed.groupBy("path").agg(F.count("*").cast("int").alias("times"))
+    ranges = written(listed.distinct().mapInArrow(plan, RANGE), "ranges")
+    if not ranges.where("length < 0").isEmpty():
+        ranges = written(ranges.where("length > 0").unionByName(chained(ranges.where("length < 0"), piece_bytes)), "chained")
+    ranges = ranges.join(times, "path").select("path", "member", "offset", "length", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
     # the ranges are small and what they name is large: a counted number of partitions, which isn't coalesced by size
-    ranges = written(ranges, "ranges")
     total = ranges.agg(F.coalesce(F.sum(F.abs("length")), F.lit(0))).first()[0]
     tasks = max(ranges.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     ranges = ranges.repartition(tasks, "path", F.expr(f"offset div {READ_BYTES}")).sortWithinPartitions("path", "offset")
