@@ -283,44 +283,91 @@ def test_no_document_goes_as_a_copy_of_an_unrelated_one(spark):
 
 
 # 4 ----------------------------------------------------------------------------------------------------------------
-def plain_pack(rows, capacity, groups, small):
-    """The same scheme in one place: bins from the slot table, then best fit."""
-    pieces = [(min(capacity, n - p * capacity), i, p) for i, n in rows for p in range(max(1, -(-n // capacity)))]
-    big = sorted((x for x in pieces if x[0] > capacity // small), key=lambda x: -x[0])
-    counts = Counter(x[0] for x in big)
-    each, sizes, demand = packing.linear_groups(counts, groups)
-    table, bins = packing.slot_table(each, sizes, demand, capacity)
-    fill = Counter()
-    for rank, (n, _, _) in enumerate(big):
-        a, z, b, per = next(r for r in table if r[0] <= rank < r[1])
-        fill[b + (rank - a) // per] += n
-    loose = sorted((x for x in pieces if 0 < x[0] <= capacity // small), key=lambda x: (-x[0], x[1], x[2]))
-    room = {b: capacity - n for b, n in fill.items()}
-    for n, _, _ in loose:
-        fits = [b for b in room if room[b] >= n]
-        b = min(fits, key=lambda q: (room[q], q)) if fits else bins
-        bins += not fits
-        room[b] = room.get(b, capacity) - n
-    return Counter(room.values())
-
-
-@pytest.mark.parametrize("seed,n,capacity,groups,small", [(1, 400, 64, 6, 8), (2, 30, 100, 48, 16), (3, 1000, 256, 12, 16), (4, 3, 10, 4, 2)])
-def test_packing_like_one_process(spark, seed, n, capacity, groups, small):
+def plain_best_fit(rooms, pieces, capacity):
+    """Piece by piece, longest first, into the bin with least room that holds it."""
+    rooms = list(rooms)
+    for n in sorted(pieces, reverse=True):
+        fits = [k for k, r in enumerate(rooms) if r >= n]
+        if fits:
+            rooms[min(fits, key=lambda k: rooms[k])] -= n
+        else:
+            rooms.append(capacity - n)
+    return Counter(rooms)
+
+
+def rounded_up(lengths, groups):
+    """Each length, from the longest, as the longest of its group of equal cardinality."""
+    lengths = sorted(lengths, reverse=True)
+    each = max(1, -(-len(lengths) // groups))
+    return [lengths[i - i % each] for i in range(len(lengths))]
+
+
+@pytest.mark.parametrize("seed,n,capacity,groups,small", [(1, 400, 64, 6, 8), (2, 30, 100, 48, 16), (3, 1000, 256, 12, 16), (4, 3, 10, 4, 2), (5, 900, 32, 3, 4)])
+def test_packing_like_one_process(spark, monkeypatch, seed, n, capacity, groups, small):
+    monkeypatch.setattr(packing, "SALT_ROWS", 20)  # several salts a length
     rng = random.Random(seed)
-    rows = [(i, max(0, int(rng.lognormvariate(3, 1.2)))) for i in range(n)]
-    d = spark.createDataFrame(rows, "doc_id bigint, n int")
-    out = packing.pack(d, d["n"], capacity=capacity, groups=groups, small=small).collect()
-    got = Counter()
-    for r in out:
-        if r.bin_id is not None:
-            got[r.bin_id] += r.length
-    assert max(got.values()) <= capacity
-    whole = Counter()
+    rows = [(i, [i * 7 + k for k in range(max(0, int(rng.lognormvariate(3, 1.2))))]) for i in range(n)] + [(None, None), (7, [1, 2, 3])]
+    d = spark.createDataFrame(rows, "id bigint, tokens array<int>")
+    out = packing.pack_tokens(d, "doc_id", capacity, groups, small).collect()
+    # the pieces, rejoined, are the encodings
+    whole, bins = {}, {}
+    for r in sorted(out, key=lambda r: r.piece):
+        assert r.length == len(r.tokens or []) and (r.bin_id is None) == (r.length == 0)
+        if r.doc_id not in (None, 7):
+            assert r.start == len(whole.setdefault(r.doc_id, []))
+            whole[r.doc_id] += r.tokens
+        if r.length:
+            bins.setdefault(r.bin_id, []).append(r.length)
+    assert whole == {i: t for i, t in rows[:-2] if i != 7}
+    assert max(map(sum, bins.values())) <= capacity
+    # small pieces lie where a best fit of one process leaves as much room everywhere
+    cut = capacity // small
+    lengths = [x for b in bins.values() for x in b]
+    gaps = [capacity - sum(x for x in b if x > cut) for b in bins.values() if max(b) > cut]
+    assert plain_best_fit(gaps, [x for x in lengths if x <= cut], capacity) == Counter(capacity - sum(b) for b in bins.values())
+    # large pieces: no fewer bins than their volume, no more than best fit needs for the rounded lengths, and a few
+    bound = sum(plain_best_fit([], rounded_up([x for x in lengths if x > cut], groups), capacity).values())
+    assert -(-sum(x for x in lengths if x > cut) // capacity) <= len(gaps) <= bound + groups
+
+
+def test_rounded_pieces_fit_their_slots():
+    rng = random.Random(9)
+    for _ in range(20):
+        lengths = [rng.randint(5, 60) for _ in range(rng.randint(1, 300))]
+        each, sizes, demand = packing.linear_groups(Counter(lengths), 7)
+        want = rounded_up(lengths, 7)
+        assert [x for s, n in zip(sizes, demand) for x in [s] * n] == want
+        table, bins = packing.slot_table(each, sizes, demand, 64)
+        fill = Counter()
+        for rank, size in enumerate(want):
+            (a, _, b, per), = [t for t in table if t[0] <= rank < t[1]]
+            fill[b + (rank - a) // per] += size
+        assert max(fill.values()) <= 64 and max(fill) < bins
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 5), max_size=6), st.dictionaries(st.integers(1, 12), st.integers(1, 30), max_size=5))
+def test_best_fit_on_counts_is_best_fit(rooms, need):
+    rows, opened = packing.best_fit(rooms, need, 40)
+    left = {(r, k): r for r, n in rooms.items() for k in range(n)} | {(packing.FRESH, k): 40 for k in range(opened)}
+    for n, a, z, origin, first, per in rows:
+        for rank in range(a, z):
+            left[origin, first + (rank - a) // per] -= n
+    assert min(left.values(), default=0) >= 0
+    assert sorted((n, x) for n, a, z, *_ in rows for x in range(a, z)) == sorted((n, x) for n, c in need.items() for x in range(c))
+    assert Counter(left.values()) == plain_best_fit([r for r, n in rooms.items() for _ in range(n)], [x for x, n in need.items() for _ in range(n)], 40)
+
+
+def test_sequences_of_documents(spark, docs, texts):
+    c, out = bpe.codec(bpe.VOCABULARY), packing.pack(docs).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: r.piece):
+        got.setdefault(r.doc_id, []).extend(r.tokens or [])
+    assert got == {r.doc_id: c.encode(r.text or "").tolist() for r in docs.collect()}
+    fill = Counter()
     for r in out:
-        whole[r.doc_id] += r.length
-    assert whole == Counter(dict(rows)) or {k: v for k, v in whole.items() if v} == {k: v for k, v in rows if v}
-    assert Counter(capacity - v for v in got.values()) == plain_pack(rows, capacity, groups, small)
-    assert len(got) <= -(-sum(x for _, x in rows) // capacity) * 1.25 + groups
+        fill[r.bin_id] += r.length
+    assert max(n for b, n in fill.items() if b is not None) <= packing.CAPACITY
 
 
 def test_configurations_meet_the_demand():
@@ -382,6 +429,8 @@ def test_scan_reports_spans(spark):
     assert ("reserved", "All rights reserved") in got
     d = spark.createDataFrame([(1, "İ x Relased under the MIT License.")], "doc_id bigint, text string")
     assert [(r.notice, r.substitutions + r.insertions + r.deletions) for r in licenses.scan(d).collect()] == [("mit", 1)]
+    d = spark.createDataFrame([(1, "x\n * Licensed  under the Apache\n * License,\tVersion 2.0\n */")], "notice bigint, text string")
+    assert [(r.notice, r.notice_, r.deletions + r.insertions + r.substitutions, r.matched) for r in licenses.scan(d, key="notice").collect()] == [(1, "apache-2.0", 0, "Licensed  under the Apache\n * License,\tVersion 2.0")]
 
 
 # 6 ----------------------------------------------------------------------------------------------------------------
@@ -421,7 +470,103 @@ def test_all_visible_characters_come_out(tree):
 
 
 def test_deep_nesting():
-    assert html.extract_text("<div>" * 5000 + "x") == "x"
+    assert html.extract_text("<div>" * 50_000 + "x") == "x"
+    assert html.extract_text("<div>" * 250 + "<b hidden>secret</b><div style='display:none'>sec2</div>x") == "x"
+    assert html.extract_text("<ul><li>" * 300 + "x").endswith("- x")
+    assert html.extract_text("<table><tr><td>" * 400 + "x") == "x"
+
+
+TREES = st.recursive(
+    st.text("ab ", min_size=1, max_size=4).map(lambda t: ("#", t)),
+    lambda inner: st.tuples(st.sampled_from(["div", "p", "b", "span", "blockquote", "ul", "ol", "section"]), st.lists(inner, max_size=4)),
+    max_leaves=20,
+)
+
+
+def plain_layout(node):
+    """The same rules written as recursion over (gap, line) pairs, for trees of blocks, lists and inline elements."""
+    lines, state = [], {"cur": "", "space": False, "gap": 0}
+
+    def end(gap):
+        if state["cur"]:
+            lines.append((state["before"], state["cur"]))
+            state["gap"] = 0
+        state.update(cur="", space=False)
+        if lines:
+            state["gap"] = max(state["gap"], gap)
+
+    def put(tag, gap, inner):
+        end(gap)
+        first = True
+        for g, line in inner:
+            lines.append((state["gap"] if first and lines else g, line))
+            state["gap"], first = 0, False
+        if inner:
+            state["gap"] = gap
+
+    def walk(n, kind):
+        if kind == "#":
+            for c in n:
+                if c == " ":
+                    state["space"] = state["space"] or bool(state["cur"])
+                else:
+                    if not state["cur"]:
+                        state["before"], state["gap"] = state["gap"], 0
+                    state["cur"] += (" " if state["space"] and state["cur"] else "") + c
+                    state["space"] = False
+            return
+        if kind == "blockquote":
+            return put(kind, 2, [(g, "    " + x) for g, x in plain_layout(("div", n))])
+        gap = 2 if kind in ("p", "ul", "ol") else 1 if kind in ("div", "section") else 0
+        if gap:
+            end(gap)
+        for i, (k, m) in enumerate(n):
+            if kind in ("ul", "ol"):
+                mark = "- " if kind == "ul" else f"{i + 1}. "
+                inner = plain_layout(("li", [(k, m)]))
+                if inner:
+                    put("li", 1, [(inner[0][0], mark + inner[0][1])] + [(g, " " * len(mark) + x) for g, x in inner[1:]])
+            else:
+                walk(m, k)
+        if gap:
+            end(gap)
+
+    tag, children = node
+    for k, m in children:
+        if tag == "li" and k in ("ul", "ol"):
+            put(k, 1, plain_layout(("div", [(k, m)])))
+        else:
+            walk(m, k)
+    end(0)
+    return [(0 if i == 0 else g, x) for i, (g, x) in enumerate(lines)]
+
+
+def listed(node):
+    """Markup in which children of lists are items and paragraphs hold no blocks."""
+    tag, inner = node
+    if tag == "#":
+        return inner
+    return f"<{tag}>{''.join(f'<li>{listed(c)}</li>' if tag in ('ul', 'ol') else listed(c) for c in inner)}</{tag}>"
+
+
+def flat_paragraphs(node):
+    tag, inner = node
+    if tag == "#":
+        return node
+    inner = [flat_paragraphs(c) for c in inner]
+    return (tag, [c for c in inner if c[0] in ("#", "b", "span") and not holds_block(c)] if tag == "p" else inner)
+
+
+def holds_block(node):
+    return node[0] != "#" and (node[0] not in ("b", "span") or any(map(holds_block, node[1])))
+
+
+@settings(max_examples=300, deadline=None)
+@given(TREES)
+def test_layout_like_a_recursion(tree):
+    tree = flat_paragraphs(tree)
+    want = "".join(("\n" * g if i else "") + x for i, (g, x) in enumerate(plain_layout(("body", [tree]))))
+    assert html.extract_text(listed(tree)) == want, listed(tree)
 
 
 # 2 ----------------------------------------------------------------------------------------------------------------
@@ -445,6 +590,17 @@ def test_packages(spark, tmp_path, monkeypatch, big):
     assert {(r.member, r.kind) for r in warc.members(d).collect()} == {("archive/data.warc.gz", "archive"), ("indexes/index.cdxj", "index"), ("datapackage.json", "other")}
 
 
+def plain_record(n, body=b"abc"):
+    return b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %d\r\n\r\n" % (n, len(body)) + body + b"\r\n\r\n"
+
+
+def zipped(path, **members):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in members.items():
+            z.writestr(name.replace("__", "/").replace("_", "."), data)
+    return str(path)
+
+
 def test_package_without_index_and_broken(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.wacz", "w") as z:
         z.writestr("archive/x.warc.gz", b"".join(warc.record(i, "http://e.org", "x") for i in range(5)))
@@ -457,6 +613,34 @@ def test_package_without_index_and_broken(spark, tmp_path):
         warc.read(spark.createDataFrame([(str(tmp_path / "b.wacz"),)], "path string")).collect()
 
 
+def test_records_that_no_index_names(spark, tmp_path):
+    parts = [warc.record(i, "http://e.org", "x" * i) for i in range(6)]
+    at = [sum(map(len, parts[:i])) for i in range(6)]
+    line = lambda i: f'org,e)/ 2024 {{"filename": "data.warc.gz", "offset": "{at[i]}", "length": "{len(parts[i])}"}}\n'
+    for number, named in enumerate(([0], [2], [1, 4], [0, 1, 2, 3, 4, 5], [5], [3, 3])):
+        p = zipped(tmp_path / f"{number}.wacz", archive__data_warc_gz=b"".join(parts), indexes__i_cdxj="!meta {}\n" + "".join(map(line, named)))
+        got = warc.read(spark.createDataFrame([(p,)], "path string")).collect()
+        assert sorted(r.record_id for r in got) == [f"<urn:page:{i}>" for i in range(6)]
+    for number, broken in enumerate(('x {"filename": "data.warc.gz", "offset": 1', 'x {"filename": "data.warc.gz", "offset": "0", "length": "99999"}', 'x {"filename": "other.warc.gz", "offset": "0", "length": "9"}', "no place")):
+        p = zipped(tmp_path / f"b{number}.wacz", archive__data_warc_gz=b"".join(parts), indexes__i_cdxj=line(0) + broken)
+        with pytest.raises(Exception, match="broken line 2|aren't there"):
+            warc.read(spark.createDataFrame([(p,)], "path string")).collect()
+
+
+def test_pieces_of_an_archive_without_index(spark, tmp_path):
+    import gzip
+
+    inner = b"".join(plain_record(100 + i) for i in range(3)) + b"".join(gzip.compress(plain_record(200 + i)) for i in range(3))
+    stored = lambda b: gzip.compress(b, 0)  # noqa: E731  what lies inside stands there as it is
+    some = [plain_record(i, b"y" * (i * 37 % 400)) for i in range(40)] + [plain_record(40, inner * 5), plain_record(41)]
+    for name, data in (("a_warc", b"".join(some)), ("b_warc_gz", b"".join(map(stored, some))), ("c_warc_gz", b"".join(gzip.compress(x) for x in some)), ("d_warc", b"\r\n\r\n".join(some))):
+        p = zipped(tmp_path / f"{name}.wacz", **{f"archive__{name}": data})
+        for piece in (64, 300, 1 << 20):
+            got = warc.read(spark.createDataFrame([(p,)], "path string"), piece_bytes=piece).collect()
+            assert sorted(int(r.record_id[5:-1]) for r in got) == list(range(42)), (name, piece)
+            assert [r.payload for r in got if r.record_id == "<urn:40>"] == [inner * 5]
+
+
 # 1 ----------------------------------------------------------------------------------------------------------------
 def test_urls_like_a_loop(spark):
     rng = random.Random(8)

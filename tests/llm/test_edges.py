@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from variorum.llm import bpe, exact, html, langid, licenses, packing, repetition, simhash, urlfilter, warc
+from variorum.llm import bpe, common, exact, html, langid, licenses, packing, repetition, simhash, urlfilter, warc
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, r string, t string, i int, d1 string, salt int, f1 int, len string, `__text` string, bin_id string"
 LONG = " ".join(f"word{i} the of" for i in range(40_000))
@@ -82,13 +82,84 @@ def test_results_of_edge_rows(spark):
     assert back == Counter((r[0], r[1]) for r in ROWS)
     bins = RESULTS["pack"](d).collect()
     assert all((r.bin_id is None) == (r.length == 0) for r in bins)
-    assert sum(r.length for r in bins) == sum(-(-len((r[1] or "").encode()) // 4) for r in ROWS)
+    c = bpe.codec(bpe.VOCABULARY)
+    assert sum(r.length for r in bins) == sum(len(c.encode(r[1] or "")) for r in ROWS)
     assert {(r.doc_id, r.reason) for r in RESULTS["repetition"](d).collect()} >= {(3, "empty"), (4, "empty"), (5, "empty"), (1, None)}
     assert {(r.doc_id, r.lang_pred) for r in RESULTS["identify"](d).collect()} >= {(3, None), (4, None), (5, None), (1, "en")}
     groups = {r.doc_id: r.doc_ids for r in RESULTS["near_groups"](d).where("doc_id is not null").collect()}
     assert groups[1] == [1, 2] and groups[3] == [3]
 
 
+def written_names(spark, d, tmp_path_factory):
+    path = f"file://{tmp_path_factory.mktemp('names')}/t"
+    d.write.parquet(path)
+    return spark.read.parquet(path).columns
+
+
+def test_names_that_clash(spark, tmp_path_factory):
+    names = lambda d: written_names(spark, d, tmp_path_factory)
+    day = F.lit("2024-02-01").cast("date")
+    entries = spark.createDataFrame([("l", "a.b", "2024-01-01", "add")], "list string, pattern string, day string, action string")
+    pages = spark.createDataFrame([(1, "http://a.b/c", "<p>x")], "page_id bigint, url string, html string")
+    odd = pages.withColumns({"day": day, "lists": F.lit(1), "BLOCKED": F.lit(2), "pattern": F.lit(3), "since": F.lit(4), "u": F.lit(5), "d": F.lit(6), "best": F.lit(7)})
+    got = urlfilter.filter_urls(odd, entries)
+    assert names(got) == ["page_id", "url", "html", "day", "u", "d", "best", "blocked", "lists", "pattern", "since"]
+    assert [(r.blocked, r.lists, r.u, r.best) for r in got.collect()] == [(True, "l", 5, 7)]
+    assert names(html.extract(pages.withColumn("Text", F.lit("old")))) == ["page_id", "url", "text"]
+    docs = frame(spark).withColumn("decoded", F.lit(1))
+    tokens = bpe.encode(docs).withColumn("decoded", F.lit(1))
+    assert names(bpe.decode(tokens)) == ["doc_id", "tokens", "decoded"]
+    assert names(bpe.decode(tokens, out="tokens")) == ["doc_id", "decoded", "tokens"]
+    keyed = {
+        "tokens": lambda d, k: bpe.encode(d, key=k),
+        "notice": lambda d, k: licenses.scan(d, key=k),
+        "Piece": lambda d, k: packing.pack(d, key=k),
+        "n_copies": lambda d, k: exact.exact_groups(d, key=k),
+        "list_part": lambda d, k: simhash.near_groups(d, key=k),
+        "reason": lambda d, k: repetition.repetition(d, keep=(k,)),
+        "score": lambda d, k: langid.identify(d, langid.train(d, key=k), keep=(k,)),
+    }
+    for key, f in keyed.items():
+        out = names(f(frame(spark, ROWS[:4]).select(F.col("doc_id").alias(key), "text", "lang"), key))
+        assert key in out and key.lower() + "_" in out
+
+
+def test_exact_without_broadcast(spark, monkeypatch):
+    want = Counter(exact.exact_groups(frame(spark)).collect())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert Counter(exact.exact_groups(frame(spark)).collect()) == want
+    assert Counter(r.text for r in exact.exact_dedup(frame(spark)).collect())[ROWS[0][1]] == 1
+
+
+def test_training_is_bounded_whatever_the_ids(spark):
+    d = spark.range(3000).selectExpr("cast(null as bigint) as doc_id", "concat('word ', if(id % 3 = 0, 'same', string(id))) as text", "'en' as lang")
+    seen = []
+
+    def keep(df, tag):
+        out = common.written(df, tag)
+        if tag == "training":
+            seen.append((out.count(), out.distinct().count()))
+        return out
+
+    old, langid.written = langid.written, keep
+    try:
+        langid.train(d, max_train=100)
+    finally:
+        langid.written = old
+    assert 50 < seen[0][0] <= 100 and seen[0][0] == seen[0][1]
+
+
+def test_no_folder_on_a_cluster():
+    class Spark:
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+            getConf = staticmethod(dict)
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Spark)
+
+
 def test_pages_edges(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c", "<p>x", "k"), (1, "http://a.b/c", "<p>x", "k"), (2, None, None, "k"), (None, "nonsense", "", "k"), (3, "HTTP://u:p@A.B.:80/c/d?q#f", "<" * 3000 + "<div " * 3000, "k")], "page_id bigint, url string, html string, text2 string")
     out = html.extract(pages).collect()
