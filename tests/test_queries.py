@@ -37,5 +37,5 @@ def test_like_the_sql(spark, con, name):
 
 def test_entry(spark):
     d = __spark_entry__.entry(spark)
-    assert d.columns == ["doc_id", "k", "side", "text", "witnesses", "editors", "qualifiers"] and d.count() > 0
+    assert d.columns == ["doc_id", "page_index", "k", "side", "text", "witnesses", "editors", "qualifiers"] and d.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

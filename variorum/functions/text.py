@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variorum.kernels import matching
+from variorum.kernels import folds, matching
 from variorum.kernels.labels import LAYER_OF
 from variorum.kernels.matching import LETTER
 
@@ -122,16 +122,15 @@ def lemma_follows(lemma: pd.Series, before: pd.Series) -> pd.Series:
     return pd.Series([x is not None and y is not None and matching.follows(x, y) for x, y in zip(lemma, before)])
 
 
-#: Named folds of the comparators. They differ on purpose and aren't to be merged.
-PROFILES = {
-    "golden": lambda s: matching.fold(s).translate(str.maketrans("", "", "[]<>⟨⟩")),
-    "line": lambda s: matching.fold(s.replace("-\n", "")).replace("v", "u").replace("j", "i"),
-    "verse": lambda s: "".join(c for c in matching.fold(s) if c.isalnum() or c.isspace()),
-    "real": lambda s: " ".join(matching.fold(s.replace("-\n", "").replace("’", "'")).split()),
-    "scholastic": lambda s: matching.fold(s).replace("ae", "e").replace("oe", "e").replace("v", "u"),
-}
+def fold_with(profile: str):
+    """A comparator's fold of strings, and of each string of an array, as an Arrow UDF."""
+    return F.pandas_udf(lambda s: s.map(lambda x: folds.fold(profile, x), na_action="ignore"), T.StringType())
 
 
-def fold_with(profile: str):
-    f = PROFILES[profile]
-    return F.pandas_udf(lambda s: s.map(f, na_action="ignore"), T.StringType())
+def fold_each_with(profile: str):
+    return F.pandas_udf(lambda s: s.map(lambda xs: [None if x is None else folds.fold(profile, x) for x in xs], na_action="ignore"), T.ArrayType(T.StringType()))
+
+
+def folded_words(folded: Column) -> Column:
+    """Words of a text that the golden fold has been through."""
+    return F.filter(F.split(folded, "[\\s!(),.:;?\\[\\]«·»]+"), lambda w: w != "")

@@ -61,17 +61,17 @@ def _sides(items: list[Item]) -> list[dict]:
 # Convention: verse.
 EDITIONS = {
     "ECM": "Editio Critica Maior",
-    "Greeven": "Huck-Greeven, Synopse",
-    "Holmes": "Holmes, The Greek New Testament: SBL Edition",
-    "JJM": "Griesbach",
-    "NA": "Nestle-Aland",
-    "NIV": "A Reader's Greek New Testament",
-    "RP": "Robinson-Pierpont, Byzantine Textform",
-    "SBL": "The Greek New Testament: SBL Edition",
+    "Greeven": "Huck–Greeven, Synopse der drei ersten Evangelien (1981)",
+    "Holmes": "Michael W. Holmes, The Greek New Testament: SBL Edition (2010)",
+    "JJM": "J. J. Griesbach (apud SBLGNT apparatus)",
+    "NA": "Nestle–Aland, Novum Testamentum Graece",
+    "NIV": "Goodrich–Lukaszewski, A Reader's Greek New Testament (2003)",
+    "RP": "Robinson–Pierpont, The New Testament in the Original Greek: Byzantine Textform (2005)",
+    "SBL": "The Greek New Testament: SBL Edition (Holmes 2010)",
     "TR": "Textus Receptus",
-    "Treg": "Tregelles",
-    "WH": "Westcott-Hort",
-    "WHspur": "Westcott-Hort, within double brackets",
+    "Treg": "Tregelles, The Greek New Testament (1857–1879)",
+    "WH": "Westcott–Hort, The New Testament in the Original Greek (1881)",
+    "WHspur": "Westcott–Hort, passages printed within double brackets (deemed spurious)",
 }
 _EDITION = "(?:" + "|".join(sorted(set(EDITIONS) - {"WHspur"}, key=len, reverse=True)) + ")"
 _SIGLUM = re.compile(f"{_EDITION}(?:app|ed|marg|spur|txt)?")

@@ -40,7 +40,7 @@ def _by_verse(item: Item, a: Anchor, texts: list[tuple[int, str]]) -> str:
                 if span := verse_span(text[x:y], form):
                     _put(a, b, x + span[1])
                     resolved = text[x + span[0] : x + span[1]]
-                    item.parse["lemma"] = resolved
+                    item.parse["lemma"] = resolved if "§" in form else form  # a form with optional spaces isn't a lemma
                     return resolved
     return ""
 

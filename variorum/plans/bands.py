@@ -1,7 +1,8 @@
 """Generated bands: printed apparatus made from words of documents, with an independent SQL form of what went in.
 
-A document's first six eligible words become one band per convention. What the parser returns must be the words that
-went in; the generator builds strings and knows nothing of the grammars. Documents with fewer words have no band.
+All eligible words of a document, six by six, become pages: the page's index is the group's number, and it has one band
+of a convention. What the parser returns must be the words that went in; the generator builds strings and knows nothing
+of the grammars. Words left over (five at most) and documents of fewer words have no page; ``bands_left_over`` counts them.
 """
 
 from __future__ import annotations
@@ -21,20 +22,27 @@ SPLIT = "[ \\n\\t]+"
 
 WORDS_SQL = f"""words AS (
     SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda w: regexp_full_match(w, '[a-z]{{4,}}')
-        AND NOT regexp_matches(w, '{STORY}') AND NOT list_contains([{", ".join(f"'{w}'" for w in TAKEN)}], w))[1:6] AS w,
-        substr('{FIRST}', CAST(doc_id % 5 + 1 AS INT), 1) AS s, substr('{SECOND}', CAST(doc_id % 5 + 1 AS INT), 1) AS t
-    FROM documents),
-six AS (SELECT doc_id, w[1] AS w1, w[2] AS w2, w[3] AS w3, w[4] AS w4, w[5] AS w5, w[6] AS w6, s, t FROM words WHERE len(w) = 6)"""
+        AND NOT regexp_matches(w, '{STORY}') AND NOT list_contains([{", ".join(f"'{w}'" for w in TAKEN)}], w)) AS w FROM documents),
+grouped AS (SELECT doc_id, w, CAST(unnest(range(len(w) // 6)) AS INT) AS page_index FROM words),
+six AS (SELECT doc_id, page_index, {", ".join(f"w[page_index * 6 + {i}] AS w{i}" for i in range(1, 7))},
+    substr('{FIRST}', CAST((doc_id + page_index) % 5 + 1 AS INT), 1) AS s, substr('{SECOND}', CAST((doc_id + page_index) % 5 + 1 AS INT), 1) AS t FROM grouped)"""
 
 
-def six(spark: SparkSession, sf_dir: str) -> DataFrame:
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id`` and its eligible words ``w``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     fine = F.filter(F.split("text", SPLIT), lambda w: w.rlike("^[a-z]{4,}$") & ~w.rlike(STORY) & ~w.isin(TAKEN))
-    at = (F.col("doc_id") % 5 + 1).cast("int")
-    pick = lambda letters: F.substring(F.lit(letters), at, F.lit(1))
     # a generator, so that the filter isn't copied into each of the columns made of it
-    d = spread(docs).select("doc_id", F.explode(F.array(F.slice(fine, 1, 6))).alias("w"), pick(FIRST).alias("s"), pick(SECOND).alias("t")).where(F.size("w") == 6)
-    return d.select("doc_id", *[F.element_at("w", i).alias(f"w{i}") for i in range(1, 7)], "s", "t")
+    return spread(docs).select("doc_id", F.explode(F.array(fine)).alias("w"))
+
+
+def six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``page_index``, ``w1`` .. ``w6`` and two witnesses: a row per group of six words."""
+    at = ((F.col("doc_id") + F.col("page_index")) % 5 + 1).cast("int")
+    pick = lambda letters: F.substring(F.lit(letters), at, F.lit(1))
+    groups = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 6).cast("int") - 1), lambda i: F.slice("w", i * 6 + 1, 6))
+    d = words(spark, sf_dir).where(F.size("w") >= 6).select("doc_id", F.posexplode(groups).alias("page_index", "w"))
+    return d.select("doc_id", "page_index", *[F.element_at("w", i).alias(f"w{i}") for i in range(1, 7)], pick(FIRST).alias("s"), pick(SECOND).alias("t"))
 
 
 #: Format strings over w1 .. w6, s and t (words and witnesses of a document); {c1} .. are capitalised words.
@@ -86,9 +94,9 @@ def fill_sql(template: str) -> str:
 
 
 def pages(d: DataFrame, convention: str) -> DataFrame:
-    """A page per document: a text block and one apparatus band."""
+    """A text block and one apparatus band for each row."""
     block = lambda layer, text: F.struct(F.lit(layer).alias("layer"), text.alias("text"))
-    return d.select("doc_id", F.lit(0).alias("page_index"), F.array(block("text", fill(TEXTS[convention])), block("apparatus", fill(BANDS[convention]))).alias("blocks"))
+    return d.select("doc_id", "page_index", F.array(block("text", fill(TEXTS[convention])), block("apparatus", fill(BANDS[convention]))).alias("blocks"))
 
 
 #: (entry, side, text, witnesses, editors, qualifiers) of each convention's band; side 0 is the lemma.
@@ -108,5 +116,5 @@ def expected_sql(convention: str) -> str:
         half = f"CASE WHEN len({x}) % 2 = 0 AND ({x})[:len({x}) // 2] = ({x})[len({x}) // 2 + 1:] THEN ({x})[:len({x}) // 2] ELSE {x} END"
         return half if convention == "verse" and side == 0 else x
 
-    rows = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, {side} AS side, {text(side, t)} AS text, {fill_sql(w)} AS witnesses, {fill_sql(e)} AS editors, {fill_sql(q)} AS qualifiers FROM six" for k, side, t, w, e, q in EXPECTED[convention])
+    rows = " UNION ALL ".join(f"SELECT doc_id, page_index, {k} AS k, {side} AS side, {text(side, t)} AS text, {fill_sql(w)} AS witnesses, {fill_sql(e)} AS editors, {fill_sql(q)} AS qualifiers FROM six" for k, side, t, w, e, q in EXPECTED[convention])
     return f"WITH {WORDS_SQL} {rows}"

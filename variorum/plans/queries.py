@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from variorum.functions import text as X
 from variorum.kernels.attribution import nobody
 from variorum.operators import apparatus as A
 from variorum.operators import evidence as E
+from variorum.operators import golden as G
 from variorum.plans import bands
 from variorum.plans.bands import WORDS_SQL
 from variorum.sinks import documents as D
-from variorum.sources import conspectus, layers, ocr
+from variorum.sources import conspectus, layers, ocr, tei
 
 Query = Callable[[SparkSession, str], DataFrame]
 Q: dict[str, Query] = {}
@@ -43,9 +45,9 @@ def entries_of(spark: SparkSession, sf_dir: str, convention: str) -> DataFrame:
 
 def golden(convention: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sides = A.readings(entries_of(spark, sf_dir, convention), "doc_id")
+        sides = A.readings(entries_of(spark, sf_dir, convention), "doc_id", "page_index")
         joined = [F.array_join(f"attribution.{k}", ",").alias(k) for k in ("witnesses", "editors", "qualifiers")]
-        return sides.select("doc_id", "k", "side", "text", *joined)
+        return sides.select("doc_id", "page_index", "k", "side", "text", *joined)
 
     return run
 
@@ -65,12 +67,12 @@ REFUSED = {
 
 
 def mixed(spark: SparkSession, sf_dir: str, refused: bool) -> DataFrame:
-    """Entries of a page per document whose convention is its id modulo 6."""
+    """Entries of pages whose convention changes from page to page."""
     d = bands.six(spark, sf_dir)
-    which = lambda by: F.element_at(F.array(*by), (F.col("doc_id") % 6 + 1).cast("int"))
+    which = lambda by: F.element_at(F.array(*by), ((F.col("doc_id") + F.col("page_index")) % 6 + 1).cast("int"))
     band = which([bands.fill(REFUSED[c][0] if refused else bands.BANDS[c]) for c in CONVENTIONS])
     block = lambda layer, text: F.struct(F.lit(layer).alias("layer"), text.alias("text"))
-    p = d.select("doc_id", F.lit(0).alias("page_index"), F.array(block("text", which([bands.fill(bands.TEXTS[c]) for c in CONVENTIONS])), block("apparatus", band)).alias("blocks"))
+    p = d.select("doc_id", "page_index", F.array(block("text", which([bands.fill(bands.TEXTS[c]) for c in CONVENTIONS])), block("apparatus", band)).alias("blocks"))
     return A.entries(p, bands.REGISTRY)
 
 
@@ -78,7 +80,7 @@ _N = {"bude": 3, "teubner": 2, "paragraph": 3, "line": 3, "verse": 3, "marker":
 _NAMES = "[" + ", ".join(f"'{c}'" for c in CONVENTIONS) + "]"
 
 
-@query(f"WITH {WORDS_SQL} SELECT {_NAMES}[CAST(doc_id % 6 + 1 AS INT)] AS grammar, CAST(sum({list(_N.values())}[CAST(doc_id % 6 + 1 AS INT)]) AS BIGINT) AS entries, CAST(sum({list(_N.values())}[CAST(doc_id % 6 + 1 AS INT)]) AS BIGINT) AS parsed FROM six GROUP BY 1")
+@query(f"WITH {WORDS_SQL} SELECT {_NAMES}[CAST((doc_id + page_index) % 6 + 1 AS INT)] AS grammar, CAST(sum({list(_N.values())}[CAST((doc_id + page_index) % 6 + 1 AS INT)]) AS BIGINT) AS entries, CAST(sum({list(_N.values())}[CAST((doc_id + page_index) % 6 + 1 AS INT)]) AS BIGINT) AS parsed FROM six GROUP BY 1")
 def dispatch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, sf_dir, False).groupBy("grammar").agg(F.count("*").alias("entries"), F.count("parsed").alias("parsed"))
 
@@ -86,19 +88,19 @@ def dispatch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REASONS = "[" + ", ".join("'" + (f"{c} convention gate refused band: " + REFUSED[c][1]).replace("'", "''") + "'" for c in CONVENTIONS) + "]"
 
 
-@query(f"WITH {WORDS_SQL} SELECT {_REASONS}[CAST(doc_id % 6 + 1 AS INT)] AS reason, CAST(sum({[REFUSED[c][2] for c in CONVENTIONS]}[CAST(doc_id % 6 + 1 AS INT)]) AS BIGINT) AS n FROM six GROUP BY 1")
+@query(f"WITH {WORDS_SQL} SELECT {_REASONS}[CAST((doc_id + page_index) % 6 + 1 AS INT)] AS reason, CAST(sum({[REFUSED[c][2] for c in CONVENTIONS]}[CAST((doc_id + page_index) % 6 + 1 AS INT)]) AS BIGINT) AS n FROM six GROUP BY 1")
 def gate_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.refusal_tally(mixed(spark, sf_dir, True))
 
 
-_COVER = f"""WITH {WORDS_SQL}, x AS (SELECT doc_id, w3, w5, w1 || ' ' || w3 || ' ' || w5 AS t FROM six),
+_COVER = f"""WITH {WORDS_SQL}, x AS (SELECT doc_id, page_index, w3, w5, w1 || ' ' || w3 || ' ' || w5 AS t FROM six),
 p AS (SELECT *, instr(t[2:], w3) + 1 AS p3 FROM x), q AS (SELECT *, instr(t[p3 + 1:], w5) + p3 AS p5 FROM p),
-f AS (SELECT doc_id, doc_id % 2 = 0 AS ok, 1 + CAST(t[p3 - 1] = ' ' AS INT) + CAST(t[p5 - 1] = ' ' AS INT) AS a FROM q),
-e AS (SELECT doc_id, CASE WHEN ok THEN 3 ELSE 2 END AS entries, CASE WHEN ok THEN 3 ELSE 0 END AS parsed, CASE WHEN ok THEN 0 ELSE 2 END AS refused, 0 AS unparsed,
+f AS (SELECT doc_id, page_index, doc_id % 2 = 0 AS ok, 1 + CAST(t[p3 - 1] = ' ' AS INT) + CAST(t[p5 - 1] = ' ' AS INT) AS a FROM q),
+e AS (SELECT doc_id, page_index, CASE WHEN ok THEN 3 ELSE 2 END AS entries, CASE WHEN ok THEN 3 ELSE 0 END AS parsed, CASE WHEN ok THEN 0 ELSE 2 END AS refused, 0 AS unparsed,
     CASE WHEN ok THEN a ELSE 0 END AS attached, CASE WHEN ok THEN 3 - a ELSE 0 END AS end_only, CASE WHEN ok THEN 0 ELSE 2 END AS unanchored FROM f)
 SELECT doc_id, page_index, CAST(sum(entries) AS BIGINT) AS entries, CAST(sum(parsed) AS BIGINT) AS parsed, CAST(sum(refused) AS BIGINT) AS refused, CAST(sum(unparsed) AS BIGINT) AS unparsed,
     CAST(sum(attached) AS BIGINT) AS attached, CAST(sum(end_only) AS BIGINT) AS end_only, CAST(sum(unanchored) AS BIGINT) AS unanchored
-FROM (SELECT *, 0 AS page_index FROM e) GROUP BY GROUPING SETS ((doc_id, page_index), (doc_id))"""
+FROM e GROUP BY GROUPING SETS ((doc_id, page_index), (doc_id))"""
 
 
 @query(_COVER)
@@ -106,7 +108,7 @@ def coverage_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = bands.six(spark, sf_dir)
     good, bad = d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")
     block = lambda layer, text: F.struct(F.lit(layer).alias("layer"), text.alias("text"))
-    no = bad.select("doc_id", F.lit(0).alias("page_index"), F.array(block("text", bands.fill(bands.TEXTS["bude"])), block("apparatus", bands.fill(REFUSED["bude"][0]))).alias("blocks"))
+    no = bad.select("doc_id", "page_index", F.array(block("text", bands.fill(bands.TEXTS["bude"])), block("apparatus", bands.fill(REFUSED["bude"][0]))).alias("blocks"))
     return A.coverage(A.entries(bands.pages(good, "bude").unionByName(no), bands.REGISTRY))
 
 
@@ -140,40 +142,40 @@ def source_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
-    """``labels`` as a review file of the first entry of each Budé page: quality 1 corrects it, toxic 1 refuses it."""
-    d = bands.six(spark, sf_dir).select("doc_id", bands.fill("5 {w1} {s} : {w2} {t}").alias("slice"))
+    """``labels`` as a review file of one entry of each Budé page: quality 1 corrects it, toxic 1 refuses it."""
+    d = bands.six(spark, sf_dir).select("doc_id", "page_index", bands.fill("5 {w1} {s} : {w2} {t}").alias("slice"))
     action = F.when(F.col("toxic") == 1, "verbatim").when(F.col("quality") == 1, "parse")
     attr = F.struct(*[F.array().cast("array<string>").alias(k) for k in nobody()])
     fix = F.struct(F.lit("corrected").alias("lemma"), attr.alias("a"), F.array().cast("array<struct<text:string,attribution:" + A.ATTRIBUTION + ">>").alias("r"), F.array().cast("array<string>").alias("c"))
-    return table(spark, sf_dir, "labels").join(d, "doc_id").select("doc_id", F.lit(key).alias("entry_key"), action.alias("action"), X.source_digest(F.col("slice")).alias("source_sha"), fix.alias("reviewed")).where("action is not null")
+    return table(spark, sf_dir, "labels").join(d, "doc_id").select("doc_id", F.concat(F.lit("p"), F.col("page_index"), F.lit("-" + key)).alias("entry_key"), action.alias("action"), X.source_digest(F.col("slice")).alias("source_sha"), fix.alias("reviewed")).where("action is not null")
 
 
-_REVIEW = f"WITH {WORDS_SQL}, r AS (SELECT l.doc_id, CASE WHEN toxic = 1 THEN 'verbatim' WHEN quality = 1 THEN 'parse' END AS action FROM labels l JOIN six USING (doc_id))"
+_REVIEW = f"WITH {WORDS_SQL}, r AS (SELECT l.doc_id, page_index, CASE WHEN toxic = 1 THEN 'verbatim' WHEN quality = 1 THEN 'parse' END AS action FROM labels l JOIN six USING (doc_id))"
 
 
-@query(f"""{_REVIEW}, e AS (SELECT doc_id, unnest([0, 1, 2]) AS k, w1, w3, w5 FROM six)
-SELECT doc_id, k, CASE WHEN k = 1 THEN w3 WHEN k = 2 THEN w5 WHEN action = 'verbatim' THEN NULL WHEN action = 'parse' THEN 'corrected' ELSE w1 END AS lemma,
-    CASE WHEN k = 0 THEN action END AS action, CASE WHEN k = 0 AND action = 'verbatim' THEN 'refused' ELSE 'parsed' END AS structure FROM e LEFT JOIN r USING (doc_id)""")
+@query(f"""{_REVIEW}, e AS (SELECT doc_id, page_index, unnest([0, 1, 2]) AS k, w1, w3, w5 FROM six)
+SELECT doc_id, page_index, k, CASE WHEN k = 1 THEN w3 WHEN k = 2 THEN w5 WHEN action = 'verbatim' THEN NULL WHEN action = 'parse' THEN 'corrected' ELSE w1 END AS lemma,
+    CASE WHEN k = 0 THEN action END AS action, CASE WHEN k = 0 AND action = 'verbatim' THEN 'refused' ELSE 'parsed' END AS structure FROM e LEFT JOIN r USING (doc_id, page_index)""")
 def override_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = A.flags(A.apply_overrides(entries_of(spark, sf_dir, "bude"), reviews(spark, sf_dir, "p0-e0")))
-    return done.select("doc_id", "k", F.col("parsed.lemma").alias("lemma"), F.col("override_action").alias("action"), "structure")
+    done = A.flags(A.apply_overrides(entries_of(spark, sf_dir, "bude"), reviews(spark, sf_dir, "e0")))
+    return done.select("doc_id", "page_index", "k", F.col("parsed.lemma").alias("lemma"), F.col("override_action").alias("action"), "structure")
 
 
-@query(f"{_REVIEW} SELECT doc_id, 'p0-e3' AS entry_key FROM r WHERE action IS NOT NULL")
+@query(f"{_REVIEW} SELECT doc_id, 'p' || page_index || '-e3' AS entry_key FROM r WHERE action IS NOT NULL")
 def override_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.unmatched(entries_of(spark, sf_dir, "bude"), reviews(spark, sf_dir, "p0-e3"))
+    return A.unmatched(entries_of(spark, sf_dir, "bude"), reviews(spark, sf_dir, "e3"))
 
 
-@query(f"{_REVIEW} SELECT doc_id, 'p0-e1' AS entry_key FROM r WHERE action IS NOT NULL")
+@query(f"{_REVIEW} SELECT doc_id, 'p' || page_index || '-e1' AS entry_key FROM r WHERE action IS NOT NULL")
 def override_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.drifted(entries_of(spark, sf_dir, "bude"), reviews(spark, sf_dir, "p0-e1")).select("doc_id", "entry_key")
+    return A.drifted(entries_of(spark, sf_dir, "bude"), reviews(spark, sf_dir, "e1")).select("doc_id", "entry_key")
 
 
-@query(f"WITH {WORDS_SQL} SELECT doc_id, CAST(3 AS BIGINT) AS entries, CAST(1 AS BIGINT) AS anchored, CAST(2 AS BIGINT) AS unanchored, CAST(1 AS BIGINT) AS ambiguous FROM six")
+@query(f"WITH {WORDS_SQL} SELECT doc_id, 3 * count(*) AS entries, count(*) AS anchored, 2 * count(*) AS unanchored, count(*) AS ambiguous FROM six GROUP BY doc_id")
 def marker_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = bands.six(spark, sf_dir)
     block = lambda layer, text: F.struct(F.lit(layer).alias("layer"), text.alias("text"))
-    p = d.select("doc_id", F.lit(0).alias("page_index"), F.array(block("text", bands.fill("{c1}1 and {c3}2 and {c3}2 end")), block("apparatus", bands.fill(bands.BANDS["marker"]))).alias("blocks"))
+    p = d.select("doc_id", "page_index", F.array(block("text", bands.fill("{c1}1 and {c3}2 and {c3}2 end")), block("apparatus", bands.fill(bands.BANDS["marker"]))).alias("blocks"))
     return A.anchor_counters(A.entries(p, bands.REGISTRY), "doc_id")
 
 
@@ -279,17 +281,17 @@ def quality_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").agg(E.rate(q.isNotNull()).alias("anchoring"), E.rate(q == 1, q.isNotNull()).alias("parse"), E.rate(F.col("toxic") == 1, F.col("toxic").isNotNull()).alias("toxic"))
 
 
-@query(f"""WITH {WORDS_SQL}, e AS (SELECT doc_id, 0 AS k, w1 AS l, s AS lw, w2 AS r, t AS rw, '' AS re FROM six UNION ALL SELECT doc_id, 1, w3, s || ',' || t, w4, '', 'Otto' FROM six UNION ALL SELECT doc_id, 2, w5, '', 'om.', t, '' FROM six),
+@query(f"""WITH {WORDS_SQL}, e AS (SELECT doc_id, page_index, 0 AS k, w1 AS l, s AS lw, w2 AS r, t AS rw, '' AS re FROM six UNION ALL SELECT doc_id, page_index, 1, w3, s || ',' || t, w4, '', 'Otto' FROM six UNION ALL SELECT doc_id, page_index, 2, w5, '', 'om.', t, '' FROM six),
 n AS (SELECT *, l <> r AS two FROM e)
-SELECT doc_id, k, 'count' AS type, l AS subject, '1' AS gold FROM n
-UNION ALL SELECT doc_id, k, 'lemma_vs_variant', l, 'constituted text' FROM n UNION ALL SELECT doc_id, k, 'lemma_vs_variant', r, 'rejected variant' FROM n WHERE two
-UNION ALL SELECT doc_id, k, 'editor_attribution', r, re FROM n WHERE re <> ''
-UNION ALL SELECT doc_id, k, 'witness_of_reading', l, CASE WHEN two OR rw = '' THEN lw ELSE lw || ',' || rw END FROM n WHERE lw <> ''
-UNION ALL SELECT doc_id, k, 'witness_of_reading', r, rw FROM n WHERE rw <> '' AND two
-UNION ALL SELECT doc_id, k, 'reading_of_witness', unnest(string_split(lw, ',')), l FROM n WHERE lw <> ''
-UNION ALL SELECT doc_id, k, 'reading_of_witness', rw, r FROM n WHERE rw <> ''""")
+SELECT doc_id, page_index, k, 'count' AS type, l AS subject, '1' AS gold FROM n
+UNION ALL SELECT doc_id, page_index, k, 'lemma_vs_variant', l, 'constituted text' FROM n UNION ALL SELECT doc_id, page_index, k, 'lemma_vs_variant', r, 'rejected variant' FROM n WHERE two
+UNION ALL SELECT doc_id, page_index, k, 'editor_attribution', r, re FROM n WHERE re <> ''
+UNION ALL SELECT doc_id, page_index, k, 'witness_of_reading', l, CASE WHEN two OR rw = '' THEN lw ELSE lw || ',' || rw END FROM n WHERE lw <> ''
+UNION ALL SELECT doc_id, page_index, k, 'witness_of_reading', r, rw FROM n WHERE rw <> '' AND two
+UNION ALL SELECT doc_id, page_index, k, 'reading_of_witness', unnest(string_split(lw, ',')), l FROM n WHERE lw <> ''
+UNION ALL SELECT doc_id, page_index, k, 'reading_of_witness', rw, r FROM n WHERE rw <> ''""")
 def qa_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.questions(A.readings(entries_of(spark, sf_dir, "bude"), "doc_id"), "doc_id", "k")
+    return E.questions(A.readings(entries_of(spark, sf_dir, "bude"), "doc_id", "page_index"), "doc_id", "page_index", "k")
 
 
 @query("WITH q AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('20260804:' || CAST(doc_id AS VARCHAR)), doc_id) AS r FROM documents) SELECT doc_id, lang FROM q WHERE r <= CASE lang WHEN 'en' THEN 38 WHEN 'de' THEN 38 WHEN 'es' THEN 37 WHEN 'fr' THEN 37 END")
@@ -380,24 +382,26 @@ def hocr_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """md-ce and TEI of a page per document, its convention its id modulo 6, its band refused where the id is odd."""
+    """md-ce and TEI of each document, the convention changing from page to page, every second page's band refused."""
     d = bands.six(spark, sf_dir)
-    which = lambda by: F.element_at(F.array(*by), (F.col("doc_id") % 6 + 1).cast("int"))
-    band = F.when(F.col("doc_id") % 2 == 0, which([bands.fill(bands.BANDS[c]) for c in CONVENTIONS])).otherwise(which([bands.fill(REFUSED[c][0]) for c in CONVENTIONS]))
+    at = F.col("doc_id") + F.col("page_index")
+    which = lambda by: F.element_at(F.array(*by), (at % 6 + 1).cast("int"))
+    band = F.when(at % 2 == 0, which([bands.fill(bands.BANDS[c]) for c in CONVENTIONS])).otherwise(which([bands.fill(REFUSED[c][0]) for c in CONVENTIONS]))
     block = lambda layer, text: F.struct(F.lit(layer).alias("layer"), text.alias("text"))
     text = which([bands.fill(bands.TEXTS[c]) for c in CONVENTIONS])
     blocks = F.array(block("text", text), block("apparatus", band), block("translation", bands.fill("{w6} {w1}")), block("notes", bands.fill("# {w2}")))
-    return D.documents(d.select("doc_id", F.lit(0).alias("page_index"), F.col("doc_id").cast("string").alias("printed_page"), blocks.alias("blocks")), bands.REGISTRY)
+    return D.documents(d.select("doc_id", "page_index", (F.col("page_index") + 1).cast("string").alias("printed_page"), blocks.alias("blocks")), bands.REGISTRY)
 
 
 _KEPT = {c: (n if i % 2 == 0 else REFUSED[c][2]) for i, (c, n) in enumerate(_N.items())}
 
 
-@query(f"WITH {WORDS_SQL} SELECT doc_id, CAST({list(_KEPT.values())}[CAST(doc_id % 6 + 1 AS INT)] AS INT) AS entries, CASE WHEN doc_id % 2 = 0 THEN 'parsed' ELSE 'refused' END AS kept, 1 AS escaped FROM six")
+@query(f"""WITH {WORDS_SQL} SELECT doc_id, CAST(sum({list(_KEPT.values())}[CAST((doc_id + page_index) % 6 + 1 AS INT)]) AS INT) AS entries,
+    CAST(sum(CASE WHEN (doc_id + page_index) % 2 = 0 THEN 0 ELSE {list(_KEPT.values())}[CAST((doc_id + page_index) % 6 + 1 AS INT)] END) AS INT) AS refused, CAST(count(*) AS INT) AS escaped, CAST(count(*) AS INT) AS pages FROM six GROUP BY doc_id""")
 def mdce_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = emitted(spark, sf_dir)
     at = lambda p: F.regexp_extract("md", p, 1).cast("int")
-    return d.select("doc_id", at("coverage: ([0-9]+) entries").alias("entries"), F.when(at("([0-9]+) refused,") == 0, "parsed").otherwise("refused").alias("kept"), at("escaped-lines: ([0-9]+)").alias("escaped"))
+    return d.select("doc_id", at("coverage: ([0-9]+) entries").alias("entries"), at("([0-9]+) refused,").alias("refused"), at("escaped-lines: ([0-9]+)").alias("escaped"), F.regexp_count("md", F.lit("(?m)^## page ")).cast("int").alias("pages"))
 
 
 @query("SELECT doc_id, '' AS invariant FROM documents WHERE false")
@@ -405,9 +409,9 @@ def mdce_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.violations(emitted(spark, sf_dir)).select("doc_id", "invariant")
 
 
-@query(f"WITH {WORDS_SQL} SELECT doc_id, 'I1' AS invariant FROM six")
+@query(f"WITH {WORDS_SQL} SELECT doc_id, 'I1' AS invariant FROM six GROUP BY doc_id")
 def mdce_mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    broken = emitted(spark, sf_dir).withColumn("md", F.regexp_replace("md", "escaped-lines: 1", "escaped-lines: 2"))
+    broken = emitted(spark, sf_dir).withColumn("md", F.regexp_replace("md", "escaped-lines: ([0-9]+)", "escaped-lines: 1$1"))
     return D.violations(broken).select("doc_id", "invariant")
 
 
@@ -417,6 +421,104 @@ def roundtrip_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.multiset_difference(D.contents(d, "md"), D.contents(d, "tei")).select("doc_id", "layer", "only_in")
 
 
+_NOTE = "w6 || ' ' || w1"
+
+
+@query(f"""WITH {WORDS_SQL}, e AS (SELECT doc_id, page_index, unnest(['first', 'second']) AS only_in FROM six WHERE page_index = 0)
+SELECT doc_id, page_index, 'translation' AS layer, only_in FROM e""")
+def roundtrip_mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the first translated paragraph of each md-ce file changed: two rows of difference a document."""
+    d = emitted(spark, sf_dir)
+    changed = d.withColumn("md", F.regexp_replace("md", "^([\\s\\S]*?### translation [^\\n]*\\n\\n)", "$1CHANGED "))
+    return E.multiset_difference(D.contents(changed, "md"), D.contents(d, "tei")).select("doc_id", "page_index", "layer", "only_in")
+
+
+@query("SELECT doc_id, '' AS ref FROM documents WHERE false")
+def tei_idrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of the emitted TEI that point to nothing or name a target twice."""
+    return tei.bad_references(emitted(spark, sf_dir)).select("doc_id", "ref")
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, '#wit-WH' AS ref, 2 * count(*) AS n FROM six WHERE (doc_id + page_index) % 6 = {CONVENTIONS.index('verse')} GROUP BY doc_id")
+def tei_idrefs_mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with one edition's declaration taken away: each of its references is found."""
+    broken = emitted(spark, sf_dir).withColumn("tei", F.replace("tei", F.lit('"wit-WH"'), F.lit('"wit-none"')))
+    return tei.bad_references(broken).groupBy("doc_id", "ref").agg(F.count("*").alias("n"))
+
+
+def literal(rows: list[tuple]) -> str:
+    """Rows as SQL values."""
+    one = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+FOLDED = [
+    ("golden", "exem-\n  plum a—b “Q” ‘r’ ΛΌΓΟΣ", 'exemplum a b "q" \'r\' λογοσ'), ("golden", "[ante] ⲁ Ա", "[ante] � �"), ("golden", "æ œ Vv Jj", "æ œ vv jj"), ("golden", "", ""),
+    ("line", "cae-\nlum ⟨et⟩ [in] {ex} ◊ †crux† a, b… (c)", "caelum et in ex crux a b c"), ("line", "ﬁnis λόγος", "finis λογος"), ("line", "v u j i", "v u j i"),
+    ("verse", "⸀λόγος⟧ δ[ε] +των a—b c’d", "λογοσ δε + των a b c d"), ("verse", "Ἰησοῦς, Χριστός· τί;", "ιησουσ χριστοσ τι"),
+    ("real", "κατ’ αὐτόν | ⟨ἐν⟩ λό- γος; don't", "κατ αυτον εν λογοσ dont"), ("real", "a—b", "a—b"),
+    ("scholastic", "a … b .... c “d” (e) f-\ng", "a … b … c d e fg"), ("scholastic", "ae e oe v", "ae e oe v"), ("scholastic", "〈x〉 y†", "x y"),
+]
+
+
+@query(f"SELECT profile, text, folded FROM (VALUES {literal(FOLDED)}) t(profile, text, folded)")
+def fold_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame(FOLDED, "profile string, text string, folded string")
+    parts = [d.where(F.col("profile") == p).select("profile", "text", X.fold_with(p)("text").alias("folded")) for p in sorted({p for p, *_ in FOLDED})]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Printed pages as TEI, and what the golden edition says of them. Each number has one fault, or none.
+GOLDEN_TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><listWit><witness xml:id="wit-A"><abbr>A</abbr></witness><witness xml:id="wit-B"><abbr>B</abbr></witness></listWit><bibl xml:id="ed-O"><abbr>Otto</abbr></bibl>
+<div type="edition"><pb n="5"/><ab>so <anchor xml:id="s1"/>alpha<anchor xml:id="e1"/> and beta<anchor xml:id="e2"/> then gamma<anchor xml:id="e3"/> more delta<anchor xml:id="e9"/></ab>
+<app n="1" from="#s1" to="#e1"><lem wit="#wit-A">alpha</lem><rdg wit="#wit-B" source="#ed-O">omega</rdg><note type="verbatim">alpha A : omega B Otto</note></app>
+<app n="2" to="#e2"><lem wit="#wit-A">betta</lem><rdg wit="#wit-A">psi</rdg><note type="verbatim">beta A : psi B</note></app>
+<app n="3" to="#e2"><lem>gamma</lem><rdg wit="#wit-B">chi</rdg><note type="verbatim">gamma chi B</note></app>
+<app n="4"><lem>delta</lem><rdg wit="#wit-B">phi</rdg><rdg wit="#wit-A">tau</rdg><note type="verbatim">delta : phi B</note></app>
+<note type="apparatus" n="5" target="#e9">epsilon B</note><note type="apparatus" n="6">zeta rewritten</note>
+<app n="8" to="#gone"><lem>eta</lem><rdg wit="#wit-B">rho</rdg><note type="verbatim">eta : rho B</note></app>
+<pb n="6"/><ab>nothing</ab><note type="apparatus" n="1">never printed</note></div></TEI>"""
+_S = lambda text, wits="", eds="": (text, wits.split(), eds.split())
+GOLDEN = [
+    ("5", "1", _S("alpha", "A"), [_S("omega", "B", "Otto")], "1 alpha A : omega B Otto", "alpha"), ("5", "2", _S("beta", "A"), [_S("psi", "B")], "2 beta A : psi B", "beta"),
+    ("5", "3", _S("gamma"), [_S("chi", "B")], "3 gamma : chi B", "gamma"), ("5", "4", _S("delta"), [_S("phi", "B", "Otto")], "4 delta : phi B", "delta"),
+    ("5", "5", _S("epsilon"), [], "5 epsilon B", "epsilon"), ("5", "6", _S("zeta"), [], "6 zeta B", "zeta"), ("5", "7", _S("theta"), [], "7 theta B", "theta"),
+    ("5", "8", _S("eta"), [_S("rho", "B")], "8 eta : rho B", "eta"), ("7", "1", _S("iota"), [], "1 iota B", "iota"),
+]
+FINDINGS = [
+    ("5", "-", "ERROR_LOST", 1), ("5", "2", "ERROR_LEMMA", 1), ("5", "2", "ERROR_WIT", 1), ("5", "3", "ERROR_ANCHOR", 1), ("5", "3", "ERROR_VERBATIM", 1), ("5", "4", "ERROR_READING", 1), ("5", "4", "ERROR_EDITOR", 1), ("5", "4", "GAP_UNANCHORED", 1),
+    ("5", "5", "GAP_UNPARSED", 1), ("5", "6", "ERROR_VERBATIM", 1), ("5", "6", "GAP_UNANCHORED", 1), ("5", "7", "ERROR_LOST", 1), ("5", "8", "ERROR_ANCHOR", 1), ("7", "-", "ERROR_MISSING_PAGE", 1),
+]
+
+
+@query(f"SELECT folio, n, kind, times FROM (VALUES {literal(FINDINGS)}) t(folio, n, kind, times)")
+def golden_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = G.SIDE
+    golden = spark.createDataFrame([("g", *r) for r in GOLDEN], f"doc_id string, folio string, n string, lemma {side}, readings array<{side}>, band string, anchor_word string")
+    emitted_ = G.items(spark.createDataFrame([("g", GOLDEN_TEI)], "doc_id string, tei string"))
+    return G.compare(golden, emitted_).groupBy("folio", "n", "kind").agg(F.count("*").alias("times"))
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, 'GAP_UNANCHORED' AS kind, count(*) AS n FROM six WHERE false GROUP BY doc_id")
+def golden_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a whole build of marker pages against what went into them: none."""
+    d = bands.six(spark, sf_dir)
+    golden = []
+    for k, (_, template) in enumerate(zip(range(3), bands.BANDS["marker"].split("  "))):
+        said = {side: F.struct(bands.fill(text).alias("text"), *(F.filter(F.split(bands.fill(v), ","), lambda x: x != "").alias(n) for n, v in (("wits", w), ("editors", e)))) for e_, side, text, w, e, _ in bands.EXPECTED["marker"] if e_ == k}
+        golden.append(F.struct(F.lit(str(k + 1)).alias("n"), said[0].alias("lemma"), F.array(*[said[i] for i in sorted(said) if i]).cast(f"array<{G.SIDE}>").alias("readings"), bands.fill(template).alias("band"), bands.fill(f"{{c{2 * k + 1}}}").alias("anchor_word")))
+    rows = d.select("doc_id", (F.col("page_index") + 1).cast("string").alias("folio"), F.explode(F.array(*golden)).alias("g")).select("doc_id", "folio", "g.*")
+    p = bands.pages(d, "marker").withColumn("printed_page", (F.col("page_index") + 1).cast("string"))
+    return G.compare(rows, G.items(D.documents(p, bands.REGISTRY))).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {WORDS_SQL} SELECT CAST(count(*) FILTER (len(w) < 6) AS BIGINT) AS documents, CAST(sum(len(w) % 6) AS BIGINT) AS words FROM words")
+def bands_left_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that make no band, and eligible words beyond the last whole group."""
+    n = F.size("w")
+    return bands.words(spark, sf_dir).agg(F.count_if(n < 6).alias("documents"), F.sum(n % 6).cast("bigint").alias("words"))
+
+
 def queries() -> dict[str, Query]:
     return dict(Q)
 

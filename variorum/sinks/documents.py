@@ -16,7 +16,7 @@ from variorum.kernels.registry import Registry
 
 COUNTS = ("entries", "parsed", "refused", "unparsed", "attached", "end_only", "unanchored")
 TOOL = "variorum 0.1"
-_FRAGMENT = pa.schema([("page_index", pa.int32()), ("md", pa.string()), ("tei", pa.string()), ("translation", pa.string()), *((c, pa.int32()) for c in COUNTS), ("reasons", pa.list_(pa.string())), ("editors", pa.list_(pa.string())), ("generative", pa.int32()), ("escaped", pa.int32())])
+_FRAGMENT = pa.schema([("page_index", pa.int32()), ("md", pa.string()), ("tei", pa.string()), ("translation", pa.string()), *((c, pa.int32()) for c in COUNTS), ("reasons", pa.list_(pa.string())), ("editors", pa.list_(pa.string())), ("editions", pa.list_(pa.string())), ("generative", pa.int32()), ("escaped", pa.int32())])
 
 
 def fragments(pages: DataFrame, registry: Registry | None) -> DataFrame:
@@ -34,18 +34,19 @@ def fragments(pages: DataFrame, registry: Registry | None) -> DataFrame:
                 md, escaped = emit.markdown(r["page_index"], r["printed_page"], blocks, es)
                 tei, translation = emit.tei(r["page_index"], r["printed_page"], blocks, es)
                 sides = [a for e in es if e["parsed"] for a in (e["parsed"]["lemma_attribution"], *(x["attribution"] for x in e["parsed"]["readings"]))]
-                rows.append({"doc_id": r["doc_id"], "page_index": r["page_index"], "md": md, "tei": tei, "translation": translation, **emit.counts(es), "reasons": [emit.reason_of(e) for e in es if not e["parsed"] and e["refusal_evidence"]], "editors": sorted({x for a in sides for x in a["editors"]}), "generative": sum(bool(x.get("generative")) and x["layer"] not in emit.FURNITURE for x in blocks), "escaped": escaped})
+                verse = [a for e in es if e["parsed"] and e["grammar"] == "verse" for a in (e["parsed"]["lemma_attribution"], *(x["attribution"] for x in e["parsed"]["readings"]))]
+                rows.append({"doc_id": r["doc_id"], "page_index": r["page_index"], "md": md, "tei": tei, "translation": translation, **emit.counts(es), "reasons": [emit.reason_of(e) for e in es if not e["parsed"] and e["refusal_evidence"]], "editors": sorted({x for a in sides for x in a["editors"]}), "editions": sorted({x for a in verse for x in a["witnesses"]}), "generative": sum(bool(x.get("generative")) and x["layer"] not in emit.FURNITURE for x in blocks), "escaped": escaped})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([b.schema.field("doc_id"), *_FRAGMENT]))
 
-    fields = f"doc_id {kind}, page_index int, md string, tei string, translation string, " + ", ".join(f"{c} int" for c in COUNTS) + ", reasons array<string>, editors array<string>, generative int, escaped int"
+    fields = f"doc_id {kind}, page_index int, md string, tei string, translation string, " + ", ".join(f"{c} int" for c in COUNTS) + ", reasons array<string>, editors array<string>, editions array<string>, generative int, escaped int"
     return p.select("doc_id", "page_index", "printed_page", "blocks").mapInArrow(run, fields)
 
 
 def documents(pages: DataFrame, registry: Registry | None = None, ingest: str = "layered") -> DataFrame:
     """``doc_id``, ``md``, ``tei``: each document's two files."""
     parts = F.array_sort(F.collect_list(F.struct("page_index", "md", "tei", "translation")))
-    d = fragments(pages, registry).groupBy("doc_id").agg(parts.alias("p"), *(F.sum(c).alias(c) for c in (*COUNTS, "generative", "escaped")), F.flatten(F.collect_list("reasons")).alias("reasons"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("editors")))).alias("editors"))
+    d = fragments(pages, registry).groupBy("doc_id").agg(parts.alias("p"), *(F.sum(c).alias(c) for c in (*COUNTS, "generative", "escaped")), F.flatten(F.collect_list("reasons")).alias("reasons"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("editors", "editions")))
     tally = F.transform(F.array_distinct("reasons"), lambda r: F.struct((-F.size(F.filter("reasons", lambda x: x == r))).alias("m"), r.alias("r")))
     line = F.array_join(F.transform(F.array_sort(tally), lambda t: F.concat((-t["m"]).cast("string"), F.lit("× "), t["r"])), "; ")
     say = F.format_string("%d entries — %d parsed, %d refused, %d unparsed; %d anchored (%d attached, %d end-only), %d unanchored", "entries", "parsed", "refused", "unparsed", F.col("attached") + F.col("end_only"), "attached", "end_only", "unanchored")
@@ -58,11 +59,11 @@ def documents(pages: DataFrame, registry: Registry | None = None, ingest: str =
 
         for b in batches:
             md_ = [unicodedata.normalize("NFC", x) for x in b.column("md").to_pylist()]
-            tei_ = [emit.tei_document(str(i), e, t, registry, eds, n > 0) for i, e, t, eds, n in zip(*(b.column(c).to_pylist() for c in ("doc_id", "edition", "translation", "editors", "parsed")))]
+            tei_ = [emit.tei_document(str(i), e, t, registry, eds, n > 0, printed) for i, e, t, eds, n, printed in zip(*(b.column(c).to_pylist() for c in ("doc_id", "edition", "translation", "editors", "parsed", "editions")))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(md_, pa.string()), pa.array(tei_, pa.string())], names=["doc_id", "md", "tei"])
 
     join = lambda c: F.array_join(F.filter(F.transform("p", lambda x: x[c]), lambda x: x != ""), "\n")
-    body = d.select("doc_id", md.alias("md"), join("tei").alias("edition"), join("translation").alias("translation"), "editors", "parsed")
+    body = d.select("doc_id", md.alias("md"), join("tei").alias("edition"), join("translation").alias("translation"), "editors", "parsed", "editions")
     return body.mapInArrow(wrap, f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, md string, tei string")
 
 
