@@ -32,10 +32,12 @@ _ENTRY = [("block", pa.int32()), ("k", pa.int32()), ("grammar", pa.string()), ("
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it comes from fewer files than there are cores: Python stages must not run in the one
-    task of a small file. Larger inputs have tasks enough and aren't moved."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if len(df.inputFiles()) < n else df
+    """``df`` over all cores where it is too small to fill a split for each: Python stages must not run in the one task of a
+    small file. What is moved is bounded by cores times split size; larger inputs have tasks enough and aren't moved."""
+    spark = df.sparkSession
+    n = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(n) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < n * split else df
 
 
 def pages_of(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_index")) -> DataFrame:

@@ -1,19 +1,25 @@
 """The evidence layer: correlations, ledgers, samples and scores over entries and pages, as joins and aggregations.
 
-Sides are broadcast only where Spark's own size estimate allows it (no hints here): what grows with the corpus is
-shuffled on its key.
+A side is broadcast only under a counted size or where Spark's own estimate allows it; what grows with the corpus is
+shuffled on its key, and a hot key is split in blocks.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from variorum.functions import text as X
+from variorum.operators.sizes import BLOCK, BROADCAST_BYTES, block_of, blocked_number, small
 
 
 def dangling(refs: DataFrame, declared: DataFrame, ref: str, target: str) -> DataFrame:
@@ -39,11 +45,18 @@ def carry_forward(df: DataFrame, value: str, partition: str, order: str) -> Data
     return df.withColumn("carried", F.last(value, ignorenulls=True).over(Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def ranges(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Runs of consecutive numbers of each group, as rows (``first``, ``last``)."""
-    d = df.select(group, value).distinct()
-    island = F.col(value) - F.row_number().over(Window.partitionBy(group).orderBy(value))
-    return d.withColumn("__i", island).groupBy(group, "__i").agg(F.min(value).alias("first"), F.max(value).alias("last")).drop("__i")
+def ranges(df: DataFrame, group: str, value: str, block: int = BLOCK) -> DataFrame:
+    """Runs of consecutive numbers of each group, as rows (``first``, ``last``). Runs are found in blocks of values; only
+    those that touch a block's border, two a block at most, are then joined over the group."""
+    d = df.select(group, value).distinct().withColumn("__b", block_of(F.col(value), block))
+    island = F.col(value) - F.row_number().over(Window.partitionBy(group, "__b").orderBy(value))
+    runs = d.withColumn("__i", island).groupBy(group, "__b", "__i").agg(F.min(value).alias("first"), F.max(value).alias("last"))
+    at_border = (F.col("first") == F.col("__b") * block) | (F.col("last") == (F.col("__b") + 1) * block - 1)
+    w = Window.partitionBy(group).orderBy("first")
+    fresh = F.coalesce(F.col("first") != F.lag("last").over(w) + 1, F.lit(True)).cast("int")
+    border = runs.where(at_border).select(group, "first", "last", fresh.alias("__n"))
+    border = border.withColumn("__g", F.sum("__n").over(w)).groupBy(group, "__g").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.where(~F.coalesce(at_border, F.lit(False))).select(group, "first", "last").unionByName(border.select(group, "first", "last"))
 
 
 def range_text(df: DataFrame, group: str) -> DataFrame:
@@ -53,9 +66,14 @@ def range_text(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.array_join(F.transform(s, lambda x: x["s"]), ",").alias("pages"))
 
 
-def fill_gaps(df: DataFrame, group: str, value: str, most: int) -> DataFrame:
-    """The hits and all numbers between two hits at most ``most`` apart."""
-    d = df.select(group, value).distinct().withColumn("__n", F.lead(value).over(Window.partitionBy(group).orderBy(value)))
+def fill_gaps(df: DataFrame, group: str, value: str, most: int, block: int = BLOCK) -> DataFrame:
+    """The hits and all numbers between two hits at most ``most`` apart. A hit's successor is sought in its block of
+    values; the last hit of a block has the least of the next block that holds any."""
+    d = df.select(group, value).distinct().withColumn("__b", block_of(F.col(value), block))
+    least = d.groupBy(group, "__b").agg(F.min(value).alias("__f"))
+    after = least.select(F.col(group).alias("__g"), F.col("__b").alias("__c"), F.lead("__f").over(Window.partitionBy(group).orderBy("__b")).alias("__f"))
+    d = d.withColumn("__n", F.lead(value).over(Window.partitionBy(group, "__b").orderBy(value)))
+    d = d.join(after, F.col(group).eqNullSafe(F.col("__g")) & F.col("__b").eqNullSafe(F.col("__c")), "left").withColumn("__n", F.coalesce("__n", "__f"))
     end = F.when(F.col("__n") - F.col(value) <= most, F.col("__n") - 1).otherwise(F.col(value))
     return d.select(group, F.explode(F.sequence(F.col(value), end)).alias(value))
 
@@ -73,21 +91,25 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, start: str, valu
 def phrases(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", n: int = 3) -> DataFrame:
     """(doc, item) pairs where the document holds the item's words in a row. Candidates come from an equi-join on the
     item's first words (``n`` or all it has), hashed; each is verified over the whole text. Items of no word match
-    nothing. Documents go through as hashes; their texts are fetched again for candidates alone."""
+    nothing. No text is shuffled while the counted items, and the candidates that they find, fit into memory: both are
+    broadcast to the documents where they are."""
     words = lambda c: F.filter(F.split(X.normalise(c), " "), lambda w: w != "")
     it = items.select(item, words(F.col(text)).alias("w")).where(F.size("w") > 0)
     it = it.select(item, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("phrase"), F.xxhash64(F.slice("w", 1, n)).alias("h"), F.least(F.size("w"), F.lit(n)).alias("m"))
+    known = it.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("chars"), F.array_sort(F.collect_set("m")).alias("m")).first()
     d = docs.select(doc, F.explode(F.array(words(F.col(text)))).alias("w"))  # a generator: the words are made once
-    lengths = sorted(r.m for r in it.select("m").distinct().collect())  # n numbers at most
 
     def grams(m: int) -> Column:
         ends = F.sequence(F.lit(1), F.size("w") - (m - 1))
         return F.when(F.size("w") >= m, F.transform(ends, lambda i: F.xxhash64(F.slice("w", i, m)))).otherwise(F.array().cast("array<bigint>"))
 
-    each = F.array_distinct(F.concat(*map(grams, lengths))) if lengths else F.array().cast("array<bigint>")
-    near = d.select(doc, F.explode(each).alias("h")).join(it.select(item, "phrase", "h"), "h").select(doc, item, "phrase")
+    each = F.array_distinct(F.concat(*map(grams, known.m))) if known.m else F.array().cast("array<bigint>")
+    found = d.select(doc, F.explode(each).alias("h")).join(small(it.select(item, "h"), known.n, 64), "h").select(doc, item)
+    found = found.join(small(it.select(item, "phrase"), known.n, 64 + 4 * known.chars // max(1, known.n)), item).distinct()
+    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("chars")).first()
+    near = small(found, size.n, 64 + 4 * size.chars // max(1, size.n))
     whole = docs.select(doc, F.concat(F.lit(" "), X.normalise(F.col(text)), F.lit(" ")).alias("whole"))
-    return near.join(whole, doc).where(F.contains("whole", "phrase")).select(doc, item).distinct()
+    return whole.join(near, doc).where(F.contains("whole", "phrase")).select(doc, item).distinct()
 
 
 def floor_of(source: Column) -> Column:
@@ -97,17 +119,50 @@ def floor_of(source: Column) -> Column:
 
 def best(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", least: int = 6) -> DataFrame:
     """For each item the document that shares most of its words of ``least`` or more letters (10 + length, 120 at most,
-    points each); of equals the least id. An inverted join on words, then one combinable aggregation."""
+    points each); of equals the least id. While the items' counted words fit into memory each batch of documents is
+    scored against all of them where it is, and only its best document of each item is shuffled; beyond, words are
+    joined by shuffle."""
     terms = lambda c: F.array_distinct(F.filter(F.split(F.lower(X.normalise(c)), "[^a-z]+"), lambda w: F.length(w) >= least))
-    i = items.select(item, F.explode(terms(F.col(text))).alias("w"))
-    d = docs.select(doc, F.explode(terms(F.col(text))).alias("w"))
-    s = i.join(d, "w").groupBy(item, doc).agg(F.sum(F.least(F.lit(120), F.length("w") + 10)).alias("score"))
-    return s.groupBy(item).agg(F.max(F.struct("score", (-F.col(doc)).alias("d"))).alias("b")).select(item, (-F.col("b.d")).alias(doc), "b.score")
+    i = items.select(F.col(item).alias("item"), F.explode(terms(F.col(text))).alias("w"))
+    d = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("ws")).where("doc is not null")
+    if i.count() * 64 <= BROADCAST_BYTES:
+        rows = i.groupBy("w").agg(F.collect_list("item").alias("items")).collect()
+        known, number = [r.w for r in rows], sorted({x for r in rows for x in r["items"]})
+        place = {x: k for k, x in enumerate(number)}
+        start = np.cumsum([0, *(len(r["items"]) for r in rows)])
+        owner = np.array([place[x] for r in rows for x in r["items"]], np.int64)
+        points = np.array([min(120, len(w) + 10) for w in known], np.int64)
+        arrow = to_arrow_type(items.schema[item].dataType)
+        kind = {"item": items.schema[item].dataType.simpleString(), "doc": docs.schema[doc].dataType.simpleString()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values, names = pa.array(known, pa.string()), pa.array(number, arrow)
+            for b in batches:
+                ws = b.column("ws")
+                flat, ends = ws.flatten(), ws.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(b.num_rows), ends)
+                t = pc.index_in(flat, values)
+                hit = t.is_valid().to_numpy(zero_copy_only=False)
+                t, row = t.drop_null().to_numpy().astype(np.int64), row[hit]
+                size = start[t + 1] - start[t]
+                at = np.repeat(start[t] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(t) else np.zeros(0, np.int64)
+                pair, back = np.unique(np.repeat(row, size) * len(number) + owner[at], return_inverse=True)
+                if len(pair):
+                    score = np.bincount(back, np.repeat(points[t], size)).astype(np.int64)
+                    doc_id = b.column("doc").to_numpy(zero_copy_only=False)[pair // len(number)]
+                    order = np.lexsort((doc_id, -score, pair % len(number)))
+                    top = order[np.concatenate([[True], np.diff((pair % len(number))[order]) > 0])]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(pair[top] % len(number))), b.column("doc").take(pa.array(pair[top] // len(number))), pa.array(score[top])], names=["item", "doc", "score"])
+
+        s = d.mapInArrow(run, f"item {kind['item']}, doc {kind['doc']}, score bigint")
+    else:
+        s = i.join(d.select("doc", F.explode("ws").alias("w")), "w").groupBy("item", "doc").agg(F.sum(F.least(F.lit(120), F.length("w") + 10)).alias("score"))
+    return s.groupBy("item").agg(F.max(F.struct("score", (-F.col("doc")).alias("d"))).alias("b")).select(F.col("item").alias(item), (-F.col("b.d")).alias(doc), "b.score")
 
 
 def numbered(df: DataFrame, order: list[str], *partition: str) -> DataFrame:
-    """``ordinal`` in each partition, for a positional zip. Partition by a key: without one, one task sorts all."""
-    return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+    """``ordinal`` in each partition, for a positional zip; a hot partition is sorted in blocks of its first order column."""
+    return blocked_number(df, list(partition), order)
 
 
 def zip_sides(a: DataFrame, b: DataFrame, on: list[str], value: str) -> DataFrame:
@@ -156,7 +211,8 @@ def stratified(df: DataFrame, stratum: str, key: str, total: int, strata: list[s
     quota = F.create_map(*[x for i, s in enumerate(strata) for x in (F.lit(s), F.lit(base + (i < extra)))])
     h = F.sha2(F.concat(F.lit(seed), F.lit(":"), F.col(key).cast("string")), 256)
     d = df.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy(h, key)))
-    return d.where(F.col("__r") <= quota[F.col(stratum)]).drop("__r")
+    # the literal limit first: with it each task passes on no more than so many rows of a stratum
+    return d.where(F.col("__r") <= base + (extra > 0)).where(F.col("__r") <= quota[F.col(stratum)]).drop("__r")
 
 
 def evenly(count: int, most: int) -> list[int]:
@@ -203,8 +259,6 @@ def scores(df: DataFrame, iterations: int = 200, seed: int = 7) -> DataFrame:
 
     @F.pandas_udf("struct<low:double,high:double>")
     def interval(name: pd.Series, n: pd.Series, right: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
         rows = []
         for k, total, good in zip(name, n, right):
             if good in (0, total):
@@ -218,18 +272,22 @@ def scores(df: DataFrame, iterations: int = 200, seed: int = 7) -> DataFrame:
 
 
 def paginate(df: DataFrame, doc: str, order: str, cost: str, budget: int) -> DataFrame:
-    """``page``: a new one where the running cost would pass the budget; a sum with a reset is no window, so a fold over
-    each document's ordered costs."""
-    rows = df.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).alias("c")))).alias("r"))
-    start = F.struct(F.lit(0).alias("page"), F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<struct<o:{df.schema[order].dataType.simpleString()},page:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["used"] > 0) & (acc["used"] + x["c"] > budget)
-        page = F.when(over, acc["page"] + 1).otherwise(acc["page"])
-        used = F.when(over, x["c"].cast("bigint")).otherwise(acc["used"] + x["c"])
-        return F.struct(page.alias("page"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), page.alias("page")))).alias("out"))
-
-    return rows.select(doc, F.explode(F.aggregate("r", start, step, lambda a: a["out"])).alias("x")).select(doc, F.col("x.o").alias(order), "x.page")
+    """``page``: a new one where the running cost would pass the budget; a row over the budget has a page of its own. A
+    sum with a reset is no window, so one pass over each document's ordered costs."""
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (doc, order)}
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        page = used = 0
+        pages = []
+        for c in t.column(cost).to_pylist():
+            if used and used + (c or 0) > budget:
+                page, used = page + 1, 0
+            used += c or 0
+            pages.append(page)
+        return t.select([doc, order]).append_column("page", pa.array(pages, pa.int32()))
+
+    return df.select(doc, order, cost).groupBy(doc).applyInArrow(run, f"`{doc}` {kinds[doc]}, `{order}` {kinds[order]}, page int")
 
 
 def questions(sides: DataFrame, *keys: str) -> DataFrame:
