@@ -47,7 +47,7 @@ def unconsumed(items: list[Item]) -> float:
 
 def _left_over(items: list[Item], most: float) -> str:
     share = unconsumed(items)
-    return "trial parse left {:.1%} of tokens unconsumed (maximum {:.0%})".format(share, most) if share > most else ""
+    return f"trial parse left {share:.1%} of tokens unconsumed (maximum {most:.0%})" if share > most else ""
 
 
 def _foreign(text: str, marks: tuple[str, ...]) -> str:
@@ -193,10 +193,10 @@ def gate_verse(text: str, items: list[Item], reg: Registry | None) -> str:
     n = len(items)
     orphans = max(0, text.count("]") - n)
     if orphans > max(1, n // 5):
-        return f"{orphans} orphan ']' closer(s) beyond the {n} " + "split verse entries signal an unconsumed foreign structure"
+        return f"{orphans} orphan ']' closer(s) beyond the {n} split verse entries signal an unconsumed foreign structure"
     good = sum(i.parse is not None for i in items) / n
     if good < 0.6 and unconsumed(items) > 0.1:
-        return "trial parse left {:.1%} of tokens unconsumed".format(unconsumed(items)) + f" and only {good:.0%} of entries parsed"
+        return f"trial parse left {unconsumed(items):.1%} of tokens unconsumed and only {good:.0%} of entries parsed"
     sides = _sides(items)
     named = sum(bool(a["witnesses"]) for a in sides)
     share = named / max(1, len(sides))
@@ -547,10 +547,10 @@ def gate_paragraph(text: str, items: list[Item], reg: Registry | None) -> str:
         return reason
     orphans = max(0, text.count("]") - n)
     if orphans > max(1, n // 5):
-        return f"{orphans} orphan ']' closer(s) beyond the {n} " + "split boundaries signal an unconsumed foreign structure"
+        return f"{orphans} orphan ']' closer(s) beyond the {n} split boundaries signal an unconsumed foreign structure"
     head = "" if items[0].boundary else items[0].source
     if head and len(head.split()) < 7 and not any(map(str.isdigit, head)):
-        return "a short non-locus preamble signals a tier heading, " + "not a fontes tier"
+        return "a short non-locus preamble signals a tier heading, not a fontes tier"
     if reason := _left_over(own, 0.2):
         return reason
     loose = sum(bool(r["text"]) and is_empty(r["attribution"]) for i in own if i.parse for r in i.parse["readings"])
@@ -587,7 +587,7 @@ def gate_teubner(text: str, items: list[Item], reg: Registry | None) -> str:
     if not good:
         return "trial parse produced no structured entry"
     named = sum(not is_empty(r["attribution"]) for p in good for r in p["readings"])
-    return f"only {named} attributed reading(s) across {len(good)} " + "parsed entries — a negative apparatus still names who diverges" if named < len(good) else ""
+    return f"only {named} attributed reading(s) across {len(good)} parsed entries — a negative apparatus still names who diverges" if named < len(good) else ""
 
 
 # Convention: Budé.
@@ -646,7 +646,7 @@ def parse_bude(item: Item, reg: Registry) -> Parse | None:
 
 def gate_bude(text: str, items: list[Item], reg: Registry | None) -> str:
     if _CONTINUES.search(flat(text)):
-        return "foreign separator '||' precedes a LINE lemma] boundary " + "(paragraph continuation, not a Budé entry separator)"
+        return "foreign separator '||' precedes a LINE lemma] boundary (paragraph continuation, not a Budé entry separator)"
     if "||" not in text:
         return "band has no '||' entry separator"
     n, good = len(items), sum(i.parse is not None for i in items)
@@ -770,11 +770,10 @@ def gate_marker(text: str, items: list[Item], reg: Registry | None, resolved: in
         return reason
     good = [i.parse for i in own if i.parse]
     if 2 * len(good) < len(own):
-        return "only {}/{} marker entries parsed in trial (minimum 50%)".format(len(good), len(own))
+        return f"only {len(good)}/{len(own)} marker entries parsed in trial (minimum 50%)"
     said = [r["attribution"] for p in good for r in p["readings"]]
     if not any(a["witnesses"] or a["editors"] or a["sources"] for a in said):
-        who = f"no witness, editor or source is named on any of the {len(said)} "
-        return who + f"reading(s) proposed by {len(good)}/{len(own)} trial-parsed " + "entries — a numbered prose band, not a variant apparatus"
+        return f"no witness, editor or source is named on any of the {len(said)} reading(s) proposed by {len(good)}/{len(own)} trial-parsed entries — a numbered prose band, not a variant apparatus"
     return ""
 
 

@@ -11,7 +11,7 @@ from typing import Any
 VERSION = "0.3"
 _FIELDS = ["entries", "parsed", "refused", "unparsed", "anchored", "attached", "end_only", "unanchored"]
 _N = lambda f: f"(?P<{f}>[0-9]+)"
-_SENTENCE = f"{_N('entries')} entries — {_N('parsed')} parsed, {_N('refused')} refused, {_N('unparsed')} unparsed; " + f"{_N('anchored')} anchored [(]{_N('attached')} attached, {_N('end_only')} end-only[)], {_N('unanchored')} unanchored"
+_SENTENCE = f"{_N('entries')} entries — {_N('parsed')} parsed, {_N('refused')} refused, {_N('unparsed')} unparsed; {_N('anchored')} anchored [(]{_N('attached')} attached, {_N('end_only')} end-only[)], {_N('unanchored')} unanchored"
 _META = re.compile(r"<!-- md-ce/(?P<version>[.0-9]+) · (?P<tool>[^·]+) · ingest: (?P<ingest>\S+) · pages: " + _N("first") + "-" + _N("last") + " · coverage: " + _SENTENCE + " · refusals: (?P<tally>.*?) · generative-blocks: " + _N("gen") + " · escaped-lines: " + _N("esc") + " · tei: [^>]*? -->")
 _PAGE = re.compile(r"## page (?P<folio>\S+) [(]file index " + _N("index") + r"[)] \[markers=[0-9]+ entries=" + _N("entries") + " unresolved=" + _N("unresolved") + r"\]")
 _COVER = re.compile("<!-- md-ce page: " + _SENTENCE + " -->")

@@ -11,7 +11,7 @@ from variorum.kernels.grammars import MARKER, Grammar, Item, grammar_of, verse_c
 from variorum.kernels.matching import find_lemma, follows, lemma_start, markers, verse_span, verse_windows
 from variorum.kernels.registry import Registry
 
-HELD = "marker convention gate excluded entry: " + "it was not produced by a numeric-marker boundary"
+HELD = "marker convention gate excluded entry: it was not produced by a numeric-marker boundary"
 Anchor = dict[str, Any]
 
 
