@@ -35,7 +35,7 @@ from variorum.llm.common import besides, free, map_arrow
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PART, LONG_BYTES = 4096, 16_384
+PART, LONG_BYTES = 16_384, 32_768
 WINDOW = 8
 _CLASSES = [regex.compile(c) for c in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")]
 _BREAK = regex.compile(r"\S(?=\s)")
@@ -179,7 +179,9 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary:
 
     def joined(t: pa.Table) -> pa.Table:
         t = t.sort_by("i")
-        tokens = codec(vocabulary).tree([np.array(x, np.int32) for x in t.column("tokens").to_pylist()])
+        col = t.column("tokens").combine_chunks()
+        ends, flat = col.offsets.to_numpy(), col.values.to_numpy()
+        tokens = codec(vocabulary).tree([flat[x:y] for x, y in zip(ends, ends[1:])])
         n = t.column("n")[0].as_py()
         return pa.table({"id": t.column("id").slice(0, 1).take(pa.array([0] * n)), "tokens": _lists([tokens] * n)})
 

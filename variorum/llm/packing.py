@@ -223,10 +223,10 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, sma
 
 def pieces_of(tokens: DataFrame, capacity: int) -> DataFrame:
     """``id``, ``piece`` (0 ..), ``start``, ``len`` and ``tokens`` of each piece of the rows of ``id`` and ``tokens``."""
-    last = F.greatest(F.ceil(F.coalesce(F.size("tokens"), F.lit(0)) / capacity) - 1, F.lit(0)).cast("int")
+    n = F.greatest(F.coalesce(F.size("tokens"), F.lit(0)), F.lit(0))
+    last = F.greatest(F.ceil(n / capacity) - 1, F.lit(0)).cast("int")
     cut = tokens.select("id", "tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    part = F.slice("tokens", F.col("piece") * capacity + 1, F.lit(capacity))
-    return cut.select("id", "piece", (F.col("piece").cast("bigint") * capacity).alias("start"), F.greatest(F.coalesce(F.size(part), F.lit(0)), F.lit(0)).alias("len"), part.alias("tokens"))
+    return cut.select("id", "piece", (F.col("piece").cast("bigint") * capacity).alias("start"), F.least(F.lit(capacity), n - F.col("piece") * capacity).alias("len"), F.slice("tokens", F.col("piece") * capacity + 1, F.lit(capacity)).alias("tokens"))
 
 
 def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str = bpe.VOCABULARY, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> DataFrame:
