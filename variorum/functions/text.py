@@ -97,10 +97,6 @@ def has_marginal_numbers(c: Column) -> Column:
     return F.regexp_count(c, F.lit("(?:^|\\s)(?:5|10|15|20|25|30)(?=\\s|$)")) >= 3
 
 
-def normalise_answer(c: Column) -> Column:
-    return F.lower(normalise(F.regexp_replace(nfc(c), "^[\"'“”‘’«»]+|[\"'“”‘’«»]+$", "")))
-
-
 def crop(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:
     """A rectangle within the page, cut to whole pixels."""
     fit = lambda v, most: F.greatest(F.lit(0), F.least(v, most)).cast("int")
@@ -112,6 +108,15 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+_QUOTES = "\"'“”‘’«»"
+
+
+@F.pandas_udf(T.StringType())
+def normalise_answer(s: pd.Series) -> pd.Series:
+    """An answer as it is compared: composed, case-folded, white space collapsed, no quotes around it."""
+    return s.map(lambda x: " ".join(unicodedata.normalize("NFC", x).split()).strip(_QUOTES).strip().casefold(), na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def fold(s: pd.Series) -> pd.Series:
     return s.map(matching.fold, na_action="ignore")

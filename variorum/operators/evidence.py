@@ -290,6 +290,30 @@ def paginate(df: DataFrame, doc: str, order: str, cost: str, budget: int) -> Dat
     return df.select(doc, order, cost).groupBy(doc).applyInArrow(run, f"`{doc}` {kinds[doc]}, `{order}` {kinds[order]}, page int")
 
 
+def probe(blocks: DataFrame, most: int = 24, doc: str = "doc_id") -> DataFrame:
+    """What a sample of each document's pages suggests: ``pages`` (those that look like an edition, counted from 1, with small
+    gaps filled), ``text_lang`` and the ``command`` that would build them; null where no sampled page has both a body and
+    an apparatus or notes. The sample is that of ``evenly``; a gap is filled up to twice the sample's largest step, and
+    eight at least. Pages between two hits aren't read: the fill is a suggestion."""
+    pages = blocks.groupBy(doc, "page_index").agg(
+        F.bool_or(F.col("layer").isin("text", "translation")).alias("body"), F.bool_or(F.col("layer").isin("apparatus", "notes")).alias("notes"),
+        F.bool_or((F.col("layer") == "text") & X.is_greek(F.col("text"))).alias("greek"), F.bool_or((F.col("layer") == "translation") | (F.col("layer") == "text") & ~X.is_greek(F.col("text"))).alias("latin"),
+    )
+    count = pages.groupBy(doc).agg((F.max("page_index") + 1).cast("bigint").alias("n"))
+    sample = F.udf(lambda n: evenly(n, most), "array<int>", useArrow=True)
+    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size("s") - 1, F.lit(1))), lambda i: F.coalesce(F.get("s", i) - F.get("s", i - 1), F.lit(0)))
+    count = count.withColumn("s", sample("n")).withColumn("gap", F.greatest(F.lit(8), 2 * F.array_max(steps)))
+    seen = pages.join(count, doc).where(F.array_contains("s", F.col("page_index").cast("int")))
+    lang = seen.groupBy(doc).agg(F.when(F.count_if(F.col("latin") & ~F.col("greek")) > F.count_if("greek"), "la").otherwise("grc").alias("text_lang"))
+    hits = seen.where("body and notes").select(doc, "page_index", "gap")
+    after = F.lead("page_index").over(Window.partitionBy(doc).orderBy("page_index"))
+    end = F.when(F.col("after") - F.col("page_index") <= F.col("gap"), F.col("after") - 1).otherwise(F.col("page_index"))
+    filled = hits.withColumn("after", after).select(doc, F.explode(F.sequence("page_index", end)).alias("page_index"))
+    spec = range_text(ranges(filled.select(doc, (F.col("page_index") + 1).alias("page_index")), doc, "page_index"), doc)
+    command = F.concat(F.lit("variorum build "), F.col(doc).cast("string"), F.lit(" --pages "), F.col("pages"), F.lit(" --text-lang "), F.col("text_lang"))
+    return lang.join(spec, doc, "left").select(doc, "pages", "text_lang", command.alias("command"))
+
+
 def questions(sides: DataFrame, *keys: str) -> DataFrame:
     """(type, question subject, gold) candidates from readings (``text``, ``side``, ``attribution``): which witnesses
     read what, what a witness reads (only where that is one reading), lemma or variant, editors, and the count."""

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variorum.functions import text as X
+from variorum.kernels import emit
 from variorum.kernels.attribution import nobody
 from variorum.operators import apparatus as A
 from variorum.operators import evidence as E
 from variorum.operators import golden as G
-from variorum.plans import bands
+from variorum.plans import bands, vectors
 from variorum.plans.bands import WORDS_SQL
+from variorum.plans.vectors import literal
 from variorum.sinks import documents as D
 from variorum.sources import conspectus, layers, ocr, tei
 
@@ -365,20 +367,36 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.scores(d.select(F.col("lang").alias("condition"), F.col("source").alias("type"), (F.col("quality") == 1).alias("correct"))).drop("low", "high")
 
 
-@query("SELECT page_id, layer, CAST(n AS BIGINT) AS n FROM (SELECT page_id, 'text' AS layer, (len(html) - len(replace(html, '<p', ''))) // 2 AS n FROM pages UNION ALL SELECT page_id, 'heading', (len(html) - len(replace(html, '<h1', ''))) // 3 FROM pages UNION ALL SELECT page_id, 'page_number', (len(html) - len(replace(html, '<footer', ''))) // 7 FROM pages) WHERE n > 0")
-def html_ingest_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "pages", "page_id", "html")
-    tags = [("<p", "text"), ("<h1", "heading"), ("<footer", "page_number")]
-    counts = F.array(*[F.struct(F.lit(layer).alias("layer"), F.regexp_count("html", F.lit(tag)).cast("bigint").alias("n")) for tag, layer in tags])
-    return t.select("page_id", F.explode(counts).alias("c")).select("page_id", "c.layer", "c.n").where("n > 0")
+#: A page's own heading, paragraphs and footer, as the text up to the next tag.
+_PART = {"h1": ("ocr_title", "heading"), "p": ("", "unknown"), "footer": ("ocr_pageno", "page_number")}
+_SAID = "trim(regexp_replace(replace(replace(replace(regexp_replace({}, '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '\\s+', ' ', 'g'))"
+_PARTS_SQL = "parts AS (" + " UNION ALL ".join(f"SELECT page_id, '{layer}' AS layer, unnest(regexp_extract_all(html, '<{tag}>([^<]*)', 1)) AS t FROM pages" for tag, (_, layer) in _PART.items()) + f"), said AS (SELECT page_id, layer, {_SAID.format('t')} AS text FROM parts)"
 
 
-@query("SELECT page_id, 'text ' || CAST(page_id AS VARCHAR) AS text, 'apparatus' AS layer, CAST(0.9 AS DOUBLE) AS confidence FROM pages")
+def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' headings, paragraphs and footers as hOCR areas, read by the hOCR reader."""
+    html = F.col("html")
+
+    def area(tag: str, kind: str) -> Column:
+        said = F.regexp_extract_all(html, F.lit(f"<{tag}>([^<]*)"), F.lit(1))
+        return F.transform(said, lambda t: F.concat(F.lit(f"<div class='ocr_carea {kind}'><span class='ocr_line'>"), t, F.lit("</span></div>")))
+
+    areas = [area(tag, kind) for tag, (kind, _) in _PART.items()]
+    page = F.concat(F.lit("<html><body><div class='ocr_page'>"), F.array_join(F.concat(*areas), ""), F.lit("</div></body></html>"))
+    t = A.spread(table(spark, sf_dir, "pages", "page_id", "html"))
+    return ocr.hocr(t.select(F.col("page_id").cast("string").alias("path"), page.alias("content"))).select(F.col("path").cast("bigint").alias("page_id"), "layer", "text", "source", "confidence")
+
+
+@query(f"WITH {_PARTS_SQL} SELECT page_id, layer, text, CAST(0 AS DOUBLE) AS confidence FROM said WHERE text <> ''")
 def hocr_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "pages", "page_id")
-    page = F.concat(F.lit("<html><body><div class='ocr_page'><div class='ocr_carea ocr_footer'><span class='ocr_line ocr_title'></span></div><div class='ocr_carea ocr_appcrit'><span class='ocr_line'><span class='ocrx_word' title='x_wconf 90'>text</span> "), F.col("page_id").cast("string"), F.lit("</span></div></div></body></html>"))
-    b = ocr.hocr(t.select(F.col("page_id").cast("string").alias("path"), page.alias("content")), labels=("ocr_appcrit",))
-    return b.select(F.col("path").cast("bigint").alias("page_id"), "text", "layer", F.round("confidence", 6).alias("confidence"))
+    return web_pages(spark, sf_dir).select("page_id", "layer", "text", "confidence")
+
+
+@query(f"WITH {_PARTS_SQL} SELECT page_id, count(*) FILTER (layer <> 'page_number') AS kept, count(*) FILTER (layer = 'page_number') AS furniture FROM said WHERE text <> '' GROUP BY 1")
+def html_furniture_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that a page's declared layers let through, and those held back as furniture."""
+    off = F.col("layer").isin(*emit.FURNITURE)
+    return web_pages(spark, sf_dir).groupBy("page_id").agg(F.count_if(~off).alias("kept"), F.count_if(off).alias("furniture"))
 
 
 def emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,12 +464,6 @@ def tei_idrefs_mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tei.bad_references(broken).groupBy("doc_id", "ref").agg(F.count("*").alias("n"))
 
 
-def literal(rows: list[tuple]) -> str:
-    """Rows as SQL values."""
-    one = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
-
-
 FOLDED = [
     ("golden", "exem-\n  plum a—b “Q” ‘r’ ΛΌΓΟΣ", 'exemplum a b "q" \'r\' λογοσ'), ("golden", "[ante] ⲁ Ա", "[ante] � �"), ("golden", "æ œ Vv Jj", "æ œ vv jj"), ("golden", "", ""),
     ("line", "cae-\nlum ⟨et⟩ [in] {ex} ◊ †crux† a, b… (c)", "caelum et in ex crux a b c"), ("line", "ﬁnis λόγος", "finis λογος"), ("line", "v u j i", "v u j i"),
@@ -519,6 +531,10 @@ def bands_left_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.words(spark, sf_dir).agg(F.count_if(n < 6).alias("documents"), F.sum(n % 6).cast("bigint").alias("words"))
 
 
+for _name, (_f, _sql) in vectors.QUERIES.items():
+    Q[_name], SQL[_name] = _f, _sql
+
+
 def queries() -> dict[str, Query]:
     return dict(Q)
 

@@ -41,17 +41,31 @@ def declarations(lines: DataFrame, *keys: str) -> DataFrame:
     return d.groupBy(*keys, "token", "role").agg(F.max_by("description", "n").alias("description"))
 
 
-def conspectus_pages(pages: DataFrame, horizon: int = 8, least: int = 2, group: str = "doc_id") -> DataFrame:
-    """The page that opens the conspectus and those after it while half of their lines, and ``least``, declare."""
+def _declaring(pages: DataFrame, group: str, least: int) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     decl = F.size(F.filter(lines, lambda x: x.rlike(_EQUALS) | x.rlike(_BRACKETS)))
     head = F.split("text", "\n")[0].rlike(_HEAD) | F.substring("text", 1, 200).rlike(_HEAD) & F.col("text").rlike("[=\\[]")
-    p = pages.select(group, "page_index", head.alias("head"), ((decl >= least) & (2 * decl >= F.size(lines))).alias("goes_on"))
-    first = p.where("head").groupBy(group).agg(F.min("page_index").alias("first"))
+    return pages.select(group, "page_index", head.alias("head"), ((decl >= least) & (2 * decl >= F.size(lines))).alias("goes_on"))
+
+
+def _to_end(p: DataFrame, first: DataFrame, horizon: int, group: str) -> DataFrame:
     after = p.join(first, group).where(F.col("page_index").between(F.col("first") + 1, F.col("first") + horizon))
     stop = after.where("not goes_on").groupBy(group).agg(F.min("page_index").alias("stop"))
-    end = F.least(F.coalesce("stop", F.col("first") + horizon + 1), F.col("first") + horizon + 1)
-    return first.join(stop, group, "left").select(group, "first", (end - 1).alias("last"))
+    last = after.groupBy(group).agg(F.max("page_index").alias("there"))
+    end = F.least(F.coalesce("stop", F.col("first") + horizon + 1), F.coalesce("there", "first") + 1)
+    return first.join(stop, group, "left").join(last, group, "left").select(group, "first", (end - 1).alias("last"))
+
+
+def conspectus_pages(pages: DataFrame, horizon: int = 8, least: int = 2, group: str = "doc_id") -> DataFrame:
+    """The page that opens the conspectus and those after it while half of their lines, and ``least``, declare."""
+    p = _declaring(pages, group, least)
+    return _to_end(p, p.where("head").groupBy(group).agg(F.min("page_index").alias("first")), horizon, group)
+
+
+def conspectus_from(pages: DataFrame, page: int, horizon: int = 40, least: int = 2, group: str = "doc_id") -> DataFrame:
+    """The same from a page that the user names, whatever its heading: a long register is followed further."""
+    p = _declaring(pages, group, least)
+    return _to_end(p, p.where(F.col("page_index") == page).select(group, F.col("page_index").alias("first")), horizon, group)
 
 
 def builtin(spark) -> DataFrame:
