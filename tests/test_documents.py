@@ -61,6 +61,9 @@ def test_commands_and_micro_batches(spark, tmp_path):
     assert main(["validate", f"{tmp_path}/out", f"{tmp_path}/bad"]) == 0
     assert main(["inspect", f"{tmp_path}/pages", f"{tmp_path}/seen", "--pages", "1"]) == 0
     assert main(["inspect", f"{tmp_path}/pages", f"{tmp_path}/x", "--pages", "2-1"]) == 2
+    assert main(["probe", f"{tmp_path}/pages", f"{tmp_path}/hints"]) == 0
+    assert [(r.pages, r.text_lang) for r in spark.read.parquet(f"{tmp_path}/hints").collect()] == [("1", "la")]
+    assert main(["probe", f"{tmp_path}/out", f"{tmp_path}/z"]) == 3
     assert main(["build", f"{tmp_path}/none", f"{tmp_path}/y"]) == 2
     build(spark, f"{tmp_path}/pages", pages(spark).schema, f"{tmp_path}/stream", f"{tmp_path}/check", REG).awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/stream").count() == A.entries(pages(spark), REG).count() == 3

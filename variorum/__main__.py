@@ -1,6 +1,6 @@
-"""``python -m variorum build|validate|roundtrip|review IN OUT``: exit 0 if all went well, 1 on findings, 2 on a wrong
-input. IN is a parquet folder: of pages (doc_id, page_index, printed_page, blocks) for build and review, else of what
-build wrote."""
+"""``python -m variorum build|inspect|probe|review|roundtrip|validate IN OUT``: exit 0 if all went well, 1 on findings, 2 on
+a wrong input, 3 on a fault of our own. IN is a parquet folder: of pages (doc_id, page_index, printed_page, blocks), for
+roundtrip and validate of what build wrote."""
 
 from __future__ import annotations
 
@@ -17,8 +17,16 @@ from variorum.sources import conspectus
 
 
 def main(args: list[str] | None = None) -> int:
+    try:
+        return run(args)
+    except Exception as e:
+        print(f"internal fault: {type(e).__name__}: {e}", file=sys.stderr)
+        return 3
+
+
+def run(args: list[str] | None) -> int:
     p = argparse.ArgumentParser(prog="variorum")
-    p.add_argument("command", choices=["build", "inspect", "review", "roundtrip", "validate"])
+    p.add_argument("command", choices=["build", "inspect", "probe", "review", "roundtrip", "validate"])
     p.add_argument("source")
     p.add_argument("out")
     p.add_argument("--pages", help="such as 1,5-7")
@@ -41,6 +49,8 @@ def main(args: list[str] | None = None) -> int:
         out = documents.documents(d, reg)
     elif o.command == "inspect":
         out = apparatus.report(apparatus.coverage(apparatus.entries(d, reg)))
+    elif o.command == "probe":
+        out = evidence.probe(d.select("doc_id", "page_index", F.explode("blocks").alias("b")).select("doc_id", "page_index", "b.layer", "b.text"))
     elif o.command == "review":
         out = review.queue(apparatus.entries(d, reg))
     elif o.command == "validate":

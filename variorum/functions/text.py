@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variorum.kernels import folds, matching
+from variorum.kernels import folds, matching, reading
 from variorum.kernels.labels import LAYER_OF
 from variorum.kernels.matching import LETTER
 
@@ -108,13 +108,36 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-_QUOTES = "\"'“”‘’«»"
+@F.pandas_udf(T.StringType())
+def normalise_answer(s: pd.Series) -> pd.Series:
+    return s.map(reading.answer, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def answer_set(s: pd.Series) -> pd.Series:
+    return s.map(reading.answers, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def gold_set(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: sorted({reading.answer(x.removeprefix("#")) for x in xs if x is not None}), na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def normalise_answer(s: pd.Series) -> pd.Series:
-    """An answer as it is compared: composed, case-folded, white space collapsed, no quotes around it."""
-    return s.map(lambda x: " ".join(unicodedata.normalize("NFC", x).split()).strip(_QUOTES).strip().casefold(), na_action="ignore")
+def excerpt(text: pd.Series, around: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else reading.excerpt(t, a or "") for t, a in zip(text, around)])
+
+
+@F.pandas_udf(T.StringType())
+def lemma_window(text: pd.Series, lemma: pd.Series, radius: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or x is None else reading.window(t, x, r) for t, x, r in zip(text, lemma, radius)])
+
+
+@F.pandas_udf(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
+def line_span(lines: pd.Series, entry: pd.Series) -> pd.DataFrame:
+    """First and last of the lines that carry the entry; nulls where none does."""
+    found = [None if x is None or e is None else reading.line_span(x, e) for x, e in zip(lines, entry)]
+    return pd.DataFrame({"first": pd.array([f and f[0] for f in found], "Int32"), "last": pd.array([f and f[1] for f in found], "Int32")})
 
 
 @F.pandas_udf(T.StringType())

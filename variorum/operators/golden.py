@@ -13,7 +13,9 @@ from variorum.functions import text as X
 from variorum.kernels import golden as kernel
 
 SIDE = "struct<text:string,wits:array<string>,editors:array<string>>"
-ITEM = T.StructType.fromDDL(f"kind string, folio string, n string, number int, attached boolean, verbatim string, trouble string, lemma {SIDE}, readings array<{SIDE}>, before string, span string")
+_SIDE = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(n, T.ArrayType(T.StringType())) for n in ("wits", "editors"))])
+_KINDS = {"number": T.IntegerType(), "attached": T.BooleanType(), "lemma": _SIDE, "readings": T.ArrayType(_SIDE)}
+ITEM = T.StructType([T.StructField(n, _KINDS.get(n, T.StringType())) for n in ("kind", "folio", "n", "number", "attached", "verbatim", "trouble", "lemma", "readings", "before", "span")])
 
 
 def items(docs: DataFrame, text: str = "tei") -> DataFrame:

@@ -14,6 +14,7 @@ from variorum.kernels.attribution import nobody
 from variorum.operators import apparatus as A
 from variorum.operators import evidence as E
 from variorum.operators import golden as G
+from variorum.operators import qa
 from variorum.plans import bands, vectors
 from variorum.plans.bands import WORDS_SQL
 from variorum.plans.vectors import literal
@@ -361,10 +362,10 @@ def conspectus_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conspectus.declarations(spark.createDataFrame(list(enumerate(said)), "n int, text string")).select("token", "role", "description")
 
 
-@query("SELECT lang AS condition, coalesce(source, 'overall') AS type, count(*) AS n, CAST(sum(CAST(quality = 1 AS INT)) AS BIGINT) AS correct, sum(CAST(quality = 1 AS INT)) / count(*) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang, source), (lang))")
+@query("SELECT lang AS condition, coalesce(source, 'overall') AS type, count(*) AS n, CAST(sum(CAST(quality = 1 AS INT)) AS BIGINT) AS correct, sum(CAST(quality = 1 AS INT)) / count(*) AS accuracy, true AS covered FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang, source), (lang))")
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    return E.scores(d.select(F.col("lang").alias("condition"), F.col("source").alias("type"), (F.col("quality") == 1).alias("correct"))).drop("low", "high")
+    return E.scores(d.select(F.col("lang").alias("condition"), F.col("source").alias("type"), (F.col("quality") == 1).alias("correct"))).withColumn("covered", F.col("accuracy").between(F.col("low"), F.col("high")) & (F.col("low") >= 0) & (F.col("high") <= 1)).drop("low", "high")
 
 
 #: A page's own heading, paragraphs and footer, as the text up to the next tag.
@@ -524,6 +525,36 @@ def golden_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.compare(rows, G.items(D.documents(p, bands.REGISTRY))).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
+@query("""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([!.;?·])(\\s)', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(unnest(range(len(s))) AS INT) AS n, unnest(s) AS sentence FROM p""")
+def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of the documents, put together from their lines first: a sentence may run over a line's end."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
+    pieces = d.select("doc_id", F.posexplode(F.split("text", "(?<=\n)")).alias("line", "text"))
+    return qa.segments(pieces, "doc_id", "line")
+
+
+@query("WITH l AS (SELECT unnest(string_split(text, chr(10))) AS t FROM documents) SELECT CAST(len(list_filter(regexp_split_to_array(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS INT) AS words, count(*) AS n FROM l GROUP BY 1")
+def reading_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents", "text").where("text is not null")
+    return qa.length_histogram(d.select(F.explode(F.split("text", "\n")).alias("text")))
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, page_index, 'document' AS only_in FROM six WHERE page_index = 0")
+def coverage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coverage report that leaves out each document's first page, against the documents."""
+    p = bands.pages(bands.six(spark, sf_dir), "bude")
+    return qa.uncovered(A.coverage(A.entries(p.where("page_index > 0"), bands.REGISTRY)), p)
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, page_index, k, line FROM (SELECT doc_id, page_index, 0 AS k, w1 || ' ' || s || ' ] ' || w2 || ' ' || t AS line FROM six UNION ALL SELECT doc_id, page_index, 1, w3 || ' ' || s || ' ' || t || ' ] ' || w4 || ' Otto' FROM six UNION ALL SELECT doc_id, page_index, 2, w5 || ' ] om. ' || t FROM six) ")
+def apparatus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = entries_of(spark, sf_dir, "bude").where("parsed is not null")
+    side = lambda text, a: F.struct(text.alias("text"), a["witnesses"].alias("witnesses"), a["editors"].alias("editors"))
+    sides = F.concat(F.array(side(F.col("parsed.lemma"), F.col("parsed.lemma_attribution"))), F.transform("parsed.readings", lambda r: side(r["text"], r["attribution"])))
+    return e.select("doc_id", "page_index", "k", qa.apparatus_line(sides).alias("line"))
+
+
 @query(f"WITH {WORDS_SQL} SELECT CAST(count(*) FILTER (len(w) < 6) AS BIGINT) AS documents, CAST(sum(len(w) % 6) AS BIGINT) AS words FROM words")
 def bands_left_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that make no band, and eligible words beyond the last whole group."""

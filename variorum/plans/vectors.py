@@ -12,6 +12,7 @@ from variorum.functions import text as X
 from variorum.kernels import mdce
 from variorum.operators import apparatus as A
 from variorum.operators import evidence as E
+from variorum.operators import qa
 from variorum.sinks import documents as D
 from variorum.sources import conspectus, layers, ocr, overrides
 
@@ -45,7 +46,7 @@ SCALARS: dict[str, tuple] = {
     "layer_of_label": (lambda c: X.layer_of_label(c), [("App-Crit", "apparatus"), ("OCR_pageno", "page_number"), (" ocr_title ", "heading"), ("caption", "unknown"), ("running  head", "running_head"), (None, "unknown")]),
     "bracket_markers": (lambda c: X.bracket_markers(c), [("λόγος12, x3", "λόγος⟦12⟧, x⟦3⟧"), ("p. 45", "p. 45"), ("a123", "a123")]),
     "marginal_numbers": (lambda c: X.has_marginal_numbers(c).cast("string"), [("5 a 10 b 15", "true"), ("5 a 10 b", "false"), ("a5 b10 c15", "false")]),
-    "normalise_answer": (lambda c: X.normalise_answer(c), [("  «Straße»  ", "strasse"), ("“The  Word”", "the word"), ("A, B", "a, b")]),
+    "normalise_answer": (lambda c: X.normalise_answer(c), [(" 'Straße'  ", "strasse"), ('"The  Word"', "the word"), ("A, B", "a, b"), ("`x`", "x")]),
     "source_excerpt": (lambda c: X.source_excerpt(c), [("a\n b", "a b"), ("x" * 130, "x" * 119 + "…")]),
     "refusal_key": (lambda c: X.refusal_key(c), [("only 3/4 (75.5%; minimum 90%)", "only n/n (n, minimum n)"), ("a · b", "a . b")]),
     "hand": (lambda c: X.hand(c), [("Aac", "ac"), ("B2", "2"), ("AB", ""), ("ωc", "c")]),
@@ -238,7 +239,80 @@ REPORTED = [
     ("pages", "0: 0"), ("pages", "1: 0"), ("pages", "2: 1"), ("pages", "3: 2"), ("pages", "4: 3"),
 ]
 
+# Questions.
+ANSWERED = [
+    (1, "A, B", ["B", "A"], True, True), (2, "[#wit-A; 'B']", ["A", "B"], True, True), (3, "A B C", ["A", "B"], True, False), (4, "ed-Otto", ["#Otto"], True, True), (5, " 'Alpha  Beta' ", ["alpha beta"], False, True),
+    (6, "alpha", ["alpha beta"], False, False), (7, "straße", ["STRASSE"], False, True), (8, "", ["A"], True, False),
+]
+
+
+def answer_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([r[:4] for r in ANSWERED], "n bigint, response string, gold array<string>, is_set boolean")
+    return qa.scored(d).select("n", "correct")
+
+
+LONG = " ".join(f"w{i}" for i in range(100))
+CUT = [("short text", "text", "short text"), (LONG, "w50 w51", "… " + " ".join(f"w{i}" for i in range(14, 86)) + " …"), (LONG, "W99", "… " + " ".join(f"w{i}" for i in range(28, 100))), (LONG, "absent", " ".join(f"w{i}" for i in range(72)) + " …")]
+PRINTED = ["5 alpha M | beta U ∥ 7 gam-", "ma S | delta T ∥ 9 epsilon", "zeta eta theta iota kappa M"]
+SPANS = [("alpha M | beta U", 0, 0), ("epsilon zeta", 1, 2), ("zeta eta theta iota kappa lambda", 2, 2), ("absent words", None, None), ("gam- ma S", 0, 1)]
+WINDOWS = [("one two three two", "three", 4, "two three two"), ("one two three two", "two", 4, None), ("onetwo", "two", 4, None), ("abc", "", 4, None)]
+
+
+def context_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = spark.createDataFrame([r[:2] for r in CUT], "t string, given string").select(F.lit("excerpt").alias("what"), "given", X.excerpt("t", "given").alias("got"))
+    span = X.line_span(F.array(*map(F.lit, PRINTED)), F.col("given"))
+    lines = spark.createDataFrame([r[:1] for r in SPANS], "given string").withColumn("s", span).select(F.lit("lines").alias("what"), "given", F.when(F.col("s.first").isNotNull(), F.concat_ws("-", "s.first", "s.last")).alias("got"))
+    around = spark.createDataFrame([r[:3] for r in WINDOWS], "t string, given string, r int").select(F.lit("window").alias("what"), "given", X.lemma_window("t", "given", "r").alias("got"))
+    mark = spark.createDataFrame([("ante alpha beta", "alpha"), ("ante", "alpha")], "t string, given string").select(F.lit("marked").alias("what"), "given", qa.marked(F.col("t"), F.col("given")).alias("got"))
+    ask = spark.createDataFrame([("why?",)], "given string").select(F.lit("prompt").alias("what"), "given", F.substring_index(qa.prompt(F.lit("flat"), F.lit("ante"), F.col("given"), F.lit("a1")), "\n\n", -4).alias("got"))
+    return union([cut, lines, around, mark, ask])
+
+
+CONTEXTS = [
+    *(("excerpt", g, w) for _, g, w in CUT), *(("lines", g, None if a is None else f"{a}-{z}") for g, a, z in SPANS), *(("window", g, w) for _, g, _, w in WINDOWS), ("marked", "alpha", "ante alpha⟦eval:1⟧ beta"), ("marked", "alpha", "ante ⟦eval:1⟧"),
+    ("prompt", "why?", "Condition: FLAT PRINTED-PAGE TRANSCRIPTION\nApp reference: a1\n\nCONTEXT\nante\n\nQUESTION\nwhy?\n\nANSWER\n"),
+]
+ITEMS = [("q1", ["a"], "r1", "count"), ("q2", ["a", "b"], "r2", "witness"), (" ", ["a"], "r3", "count"), ("q4", [], "r4", "count"), ("q5", ["a"], "r5", "other")]
+
+
+def dataset_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame(ITEMS, "question string, gold_answer array<string>, app_ref string, type string")
+    return qa.invalid(d, ["count", "witness"], 5)
+
+
+FAULTS = [("r3", "an empty field"), ("r4", "no gold answer"), ("r5", "a type that this edition hasn't"), (None, "1 items of type witness, not 2"), (None, "1 items of type other, not 0")]
+BAND = "1 alpha A beta 2 gamma gamma B delta 3 epsilon zeta eta C"
+ALIGNED = [(0, "alpha", "beta", 2), (1, "gamma", "x", 17), (2, "absent", None, None), (3, "alpha", "epsilon", 39), (4, "epsilon theta eta", None, None), (5, "zeta", "eta", 47)]
+
+
+def alignment_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.createDataFrame([("d", n, a, b) for n, a, b, _ in ALIGNED], "doc_id string, n bigint, lemma string, reading string")
+    return qa.aligned(spark.createDataFrame([("d", BAND)], "doc_id string, band string"), e, "doc_id").select("n", F.col("at"))
+
+
+PAGES = [(1, "πριν Ἴδιον λῆμμα· μετα"), (2, "allo λημμα"), (3, "unica uox"), (4, None)]
+APPS = [(10, "ἴδιον, λῆμμα", 1, None), (11, "λῆμμα", None, "lemma occurs on multiple selected pages"), (12, "absens", None, "lemma absent from selected page text"), (13, "UNICA", 3, None), (14, "nica", None, "lemma absent from selected page text")]
+
+
+def located_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = spark.createDataFrame([r[:2] for r in APPS], "app bigint, lemma string")
+    return qa.located(a, spark.createDataFrame(PAGES, "page bigint, text string"), "app", "page")
+
+
+LIMITS = [("contamination", 518, 555), ("structure", 0, 555), ("at the floor", 77, 770), ("below it", 76, 770), ("no source", 0, 0)]
+
+
+def floor_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa.unproven(spark.createDataFrame(LIMITS, "name string, examined bigint, source_apps bigint")).select("name", "floor")
+
+
 QUERIES = {
+    "answer_vectors": (answer_vectors, values([(r[0], r[-1]) for r in ANSWERED], "n", "correct")),
+    "context_vectors": (context_vectors, values(CONTEXTS, "what", "given", "got")),
+    "dataset_vectors": (dataset_vectors, values(FAULTS, "app_ref", "fault")),
+    "alignment_vectors": (alignment_vectors, values([(r[0], r[-1]) for r in ALIGNED], "n", "at_").replace("SELECT n, at_", 'SELECT n, at_ AS "at"')),
+    "located_vectors": (located_vectors, values([(a, p, w) for a, _, p, w in APPS], "app", "page", "why")),
+    "floor_vectors": (floor_vectors, values([("structure", 56), ("below it", 77), ("no source", 1)], "name", "floor")),
     "scalar_vectors": (scalar_vectors, values([(n, a, b) for n, (_, cases) in SCALARS.items() for a, b in cases], "function", "given", "got")),
     "sampling_vectors": (sampling_vectors, values(SAMPLED, "what", "given", "got")),
     "mdce_mutations": (mdce_mutations, values([(n, c or "valid") for n, _, _, c in MUTATIONS], "mutation", "found")),
