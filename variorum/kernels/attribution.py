@@ -7,6 +7,7 @@ rule knows ends the run. What is left is the reading, untouched.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from variorum.kernels.registry import CONNECTORS, DISCOURSE, FIRST_PERSON, QUALIFIERS, SOURCES, Registry
 
@@ -32,21 +33,28 @@ def bare(token: str) -> str:
     return token.rstrip(":;.,")
 
 
-def _forms(token: str) -> list[str]:
+@lru_cache(1 << 16)
+def _forms(token: str) -> tuple[str, ...]:
     """As printed, without a trailing comma, without trailing stops, and with its dot again if longer than a letter."""
     b = bare(token)
-    return [token, token.rstrip(","), b, *([b + "."] if len(b) > 1 else [])]
+    return (token, token.rstrip(","), b, *([b + "."] if len(b) > 1 else []))
+
+
+@lru_cache(1 << 16)
+def _is_locus(token: str) -> bool:
+    return _LOCUS.fullmatch(token) is not None
+
+
+@lru_cache(1 << 16)
+def _is_technical(token: str) -> bool:
+    """Whether any edition's apparatus means the same by it: glue, a qualifier, a cited version or a locus."""
+    b = bare(token)
+    return token in _STRAY or b in CONNECTORS or any(f in QUALIFIERS or f in SOURCES for f in (token, b, b + ".")) or _is_locus(token.rstrip(",")) or _is_locus(b)
 
 
 def _known(token: str, reg: Registry) -> bool:
-    if token in _STRAY:
-        return True
     b = bare(token)
-    if b in CONNECTORS or any(f in QUALIFIERS or f in SOURCES for f in (token, b, b + ".")):
-        return True
-    if reg.is_witness(b) or reg.is_editor(b) or reg.is_editor(b + "."):
-        return True
-    return bool(_LOCUS.fullmatch(token.rstrip(",")) or _LOCUS.fullmatch(b))
+    return _is_technical(token) or reg.is_witness(b) or reg.is_editor(b) or reg.is_editor(b + ".")
 
 
 def peel(segment: str, reg: Registry) -> tuple[str, dict[str, list[str]]]:
@@ -77,7 +85,7 @@ def peel(segment: str, reg: Registry) -> tuple[str, dict[str, list[str]]]:
             take("sources", s)
             continue
         plain = last.rstrip(",")
-        if _LOCUS.fullmatch(plain) and not reg.is_witness(plain):
+        if _is_locus(plain) and not reg.is_witness(plain):
             if _NUMERAL.fullmatch(plain) and not known_before:
                 break
             take("references", plain)
