@@ -103,6 +103,11 @@ def crop(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height:
     return F.struct(fit(x0, width).alias("x0"), fit(y0, height).alias("y0"), fit(x1, width).alias("x1"), fit(y1, height).alias("y1"))
 
 
+@F.pandas_udf(T.IntegerType())
+def repeated_markers(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda ts: matching.repeated_markers([t for t in ts if t is not None]), na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")

@@ -136,6 +136,12 @@ def anchor_counters(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("entries"), F.count_if(on).alias("anchored"), F.count_if(~on).alias("unanchored"), F.count_if("ambiguous").alias("ambiguous"))
 
 
+def duplicate_markers(pages: DataFrame, *keys: str) -> DataFrame:
+    """``duplicate_markers``: numbers that stand in several places of a page, summed over the pages of each key."""
+    texts = F.transform(F.filter("blocks", lambda b: b["layer"].isin("text", "heading")), lambda b: b["text"])
+    return pages.select(*keys, X.repeated_markers(texts).alias("__n")).groupBy(*keys).agg(F.sum("__n").cast("bigint").alias("duplicate_markers"))
+
+
 def layer_census(blocks: DataFrame, *keys: str) -> DataFrame:
     """Blocks, distinct pages and characters of each layer."""
     return blocks.groupBy(*keys, "layer").agg(F.count("*").alias("blocks"), F.countDistinct("doc_id", "page_index").alias("pages"), F.sum(F.length("text")).alias("chars"))

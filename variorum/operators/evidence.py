@@ -198,6 +198,13 @@ def identity_failures(buckets: DataFrame, manifest: DataFrame, group: str) -> Da
     return j.withColumn("got", F.coalesce("got", F.lit(0))).where("got <> source")
 
 
+def missing_extra(df: DataFrame, group: str, token: str, wanted: Column, got: Column) -> DataFrame:
+    """``missing`` and ``extra`` of each group: the distinct tokens of rows that are wanted and weren't got, and the reverse."""
+    sets = df.groupBy(group).agg(F.collect_set(F.when(wanted, F.col(token))).alias("__w"), F.collect_set(F.when(got, F.col(token))).alias("__g"))
+    less = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), ",")
+    return sets.select(group, less("__w", "__g").alias("missing"), less("__g", "__w").alias("extra"))
+
+
 def rate(hit: Column, of: Column | None = None) -> Column:
     """Share of true among ``of`` (all rows if None); 0 where there are none."""
     base = F.count("*") if of is None else F.count_if(of)

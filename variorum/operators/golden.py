@@ -80,3 +80,19 @@ def compare(golden: DataFrame, emitted: DataFrame) -> DataFrame:
     kinds = F.when(app.isNotNull(), parsed).when(F.col("note").isNotNull(), kept).otherwise(F.array(F.lit("ERROR_LOST")))
     entries = j.select(*page, "n", F.explode(kinds).alias("kind"))
     return missing.unionByName(sizes).unionByName(entries)
+
+
+def adjudicated(findings: DataFrame, records: DataFrame, profile: str = "line") -> DataFrame:
+    """``key``, ``kind``, ``verdict`` of each finding (``key``, ``kind``, ``band``) and of each kind of a record that no finding
+    fired. A finding is 'excused' where a record names its kind and the record's ``print_form`` stands in both its stored
+    ``band_evidence`` and the extracted band, all folded; a record without evidence needs none. 'unproven' and 'no evidence'
+    excuse nothing; a kind that never fired is 'stale'."""
+    fold = X.fold_with(profile)
+    r = records.select("key", "error_kinds", fold("print_form").alias("form"), fold("band_evidence").alias("stored"), F.coalesce("unproven", F.lit(False)).alias("unproven"), (F.col("band_evidence") != "").alias("bound"))
+    j = findings.select("key", "kind", fold("band").alias("band")).join(r, "key", "left")
+    held = ~F.col("bound") | (F.col("form") != "") & F.contains("stored", "form") & F.contains("band", "form")
+    verdict = F.when(~F.coalesce(F.array_contains("error_kinds", F.col("kind")), F.lit(False)), "error").when(F.col("unproven"), "unproven").when(held, "excused").otherwise("no evidence")
+    said = j.select("key", "kind", verdict.alias("verdict"))
+    fired = said.where("verdict = 'excused'").select("key", "kind").distinct()
+    stale = records.select("key", F.explode("error_kinds").alias("kind")).join(fired, ["key", "kind"], "left_anti")
+    return said.unionByName(stale.select("key", "kind", F.lit("stale").alias("verdict")))

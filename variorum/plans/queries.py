@@ -349,11 +349,18 @@ def duplicate_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.duplicate_tokens(s.withColumn("refs", refs), "refs").select("s_suppkey", "s_nationkey")
 
 
-@query("WITH d AS (SELECT doc_id, source, lang FROM documents), a AS (SELECT source, list_sort(list(DISTINCT lang)) AS x FROM d GROUP BY 1), b AS (SELECT source, list_sort(list(DISTINCT lang)) AS y FROM d WHERE doc_id % 3 = 0 GROUP BY 1) SELECT source, array_to_string(list_filter(x, lambda v: NOT list_contains(coalesce(y, []), v)), ',') AS missing FROM a LEFT JOIN b USING (source)")
+@query("""WITH s AS (SELECT source, list(DISTINCT lang) FILTER (doc_id % 2 = 0) AS w, list(DISTINCT lang) FILTER (doc_id % 3 = 0) AS g FROM documents GROUP BY 1), t AS (SELECT source, coalesce(w, []) AS w, coalesce(g, []) AS g FROM s)
+SELECT source, array_to_string(list_sort(list_filter(w, lambda v: NOT list_contains(g, v))), ',') AS missing, array_to_string(list_sort(list_filter(g, lambda v: NOT list_contains(w, v))), ',') AS extra FROM t""")
 def attribution_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "doc_id", "source", "lang")
-    both = d.groupBy("source").agg(F.collect_set("lang").alias("x"), F.collect_set(F.when(F.col("doc_id") % 3 == 0, F.col("lang"))).alias("y"))
-    return both.select("source", F.array_join(F.array_sort(F.array_except("x", "y")), ",").alias("missing"))
+    return E.missing_extra(d, "source", "lang", F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0)
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, count(*) AS duplicate_markers FROM six GROUP BY doc_id")
+def duplicate_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = lambda layer, text: F.struct(F.lit(layer).alias("layer"), text.alias("text"))
+    d = bands.six(spark, sf_dir)
+    return A.duplicate_markers(d.select("doc_id", F.array(block("text", bands.fill("{c1}1 and {c3}2 and {c4} 1")), block("heading", bands.fill("{c3}2 {c4}3"))).alias("blocks")), "doc_id")
 
 
 @query("SELECT token, role, description FROM (VALUES ('A', 'witness', 'later words'), ('B1', 'witness', 'two hands'), ('A1', 'witness', 'two hands'), ('Marc.', 'editor', 'Marcovich'), ('Mc', 'witness', 'Corrections'), ('Hoffmann', 'editor', 'E. Hoffmann'), ('D. Simons', 'editor', 'a reader'), ('DSimons', 'editor', 'a reader'), ('Du Pontet', 'editor', 'R. du Pontet'), ('DuPontet', 'editor', 'R. du Pontet')) t(token, role, description)")

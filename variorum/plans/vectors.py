@@ -12,7 +12,7 @@ from variorum.functions import text as X
 from variorum.kernels import mdce
 from variorum.operators import apparatus as A
 from variorum.operators import evidence as E
-from variorum.operators import qa
+from variorum.operators import golden, qa
 from variorum.sinks import documents as D
 from variorum.sources import conspectus, layers, ocr, overrides
 
@@ -306,7 +306,24 @@ def floor_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.unproven(spark.createDataFrame(LIMITS, "name string, examined bigint, source_apps bigint")).select("name", "floor")
 
 
+# Typed divergences.
+RECORDS = [
+    ("b:1", ["LEMMA", "WIT"], "alpha", "12 Alpha A", None), ("b:2", ["LEMMA"], "beta", "12 gamma", None), ("b:3", ["LEMMA"], "x", "x", True), ("b:4", ["LEMMA"], "", "", None), ("b:5", ["LEMMA"], "delta", "9 delta B", None),
+]
+FOUND = [("b:1", "LEMMA", "12 ⟨Alpha⟩ A : omega"), ("b:1", "READING", "12 Alpha"), ("b:2", "LEMMA", "12 beta"), ("b:3", "LEMMA", "x"), ("b:4", "LEMMA", "anything"), ("b:6", "LEMMA", "y")]
+VERDICTS = [
+    ("b:1", "LEMMA", "excused"), ("b:1", "READING", "error"), ("b:2", "LEMMA", "no evidence"), ("b:3", "LEMMA", "unproven"), ("b:4", "LEMMA", "excused"), ("b:6", "LEMMA", "error"),
+    ("b:1", "WIT", "stale"), ("b:2", "LEMMA", "stale"), ("b:3", "LEMMA", "stale"), ("b:5", "LEMMA", "stale"),
+]
+
+
+def divergence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = spark.createDataFrame(RECORDS, "key string, error_kinds array<string>, print_form string, band_evidence string, unproven boolean")
+    return golden.adjudicated(spark.createDataFrame(FOUND, "key string, kind string, band string"), r)
+
+
 QUERIES = {
+    "divergence_vectors": (divergence_vectors, values(VERDICTS, "key", "kind", "verdict")),
     "answer_vectors": (answer_vectors, values([(r[0], r[-1]) for r in ANSWERED], "n", "correct")),
     "context_vectors": (context_vectors, values(CONTEXTS, "what", "given", "got")),
     "dataset_vectors": (dataset_vectors, values(FAULTS, "app_ref", "fault")),
