@@ -20,8 +20,12 @@ from pyspark.sql import types as T
 
 #: Text bytes that a numpy kernel takes at a time; bounds a Python worker's memory whatever the batch.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch that are handed on at a time.
+PART_BYTES = 4 << 20
 #: Rows times row bytes up to which a side is broadcast on request; beyond it the join shuffles.
 BROADCAST_BYTES = 48 << 20
+#: What a row of a few numbers takes in a broadcast relation, as measured.
+ROW_BYTES = 100
 _PATHS: dict[int, str] = {}
 
 
@@ -88,12 +92,16 @@ def schema_with(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+    """``mapInArrow`` with a function of one batch. Spark's batches are bounded by rows and may hold many megabytes of text,
+    of which a function makes several copies; so each is handed on in parts of about ``PART_BYTES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := f(b)) is not None:
-                yield out
+            step = max(1, b.num_rows * PART_BYTES // max(b.nbytes, PART_BYTES))
+            for x in range(0, b.num_rows, step):
+                if (out := f(b.slice(x, step))) is not None:
+                    yield out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
