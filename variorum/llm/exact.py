@@ -41,7 +41,7 @@ def split(docs: DataFrame, text: str, key: str, salts: int, keep: list[str]) ->
     full = rows.where("t is not null").select("o", "i", "t", *digest(F.col("t")))
     marks = docs.where(t.isNotNull()).select(*digest(t))
     again = written(marks.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2", F.lit(True).alias("many")), "digests")
-    small = again.count() * 48 <= common.BROADCAST_BYTES
+    small = again.count() * common.ROW_BYTES <= common.BROADCAST_BYTES
     marked = full.join(F.broadcast(again) if small else again.hint("merge"), ["d1", "d2"], "left")
     if not small:
         marked = written(marked, "marked")

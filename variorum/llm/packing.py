@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from variorum.llm import bpe
-from variorum.llm.common import broadcast_if_small, free, written
+from variorum.llm.common import ROW_BYTES, broadcast_if_small, free, written
 
 CAPACITY, GROUPS, SMALL = 2048, 48, 16
 SALT_ROWS = 200_000
@@ -205,7 +205,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, sma
         seen += large[x]
     slots = spark.createDataFrame(where, "len int, a bigint, z bigint, off bigint, bin0 bigint, per bigint")
     here = (F.col("rank") >= F.col("a")) & (F.col("rank") < F.col("z"))
-    big = ranks.where(F.col("len") > cut).join(broadcast_if_small(slots, len(where), 48), "len").where(here)
+    big = ranks.where(F.col("len") > cut).join(broadcast_if_small(slots, len(where), ROW_BYTES), "len").where(here)
     big = written(big.select("pid", "len", (F.col("bin0") + F.floor((F.col("rank") + F.col("off")) / F.col("per"))).cast("bigint").alias("bin_id")), "large")
 
     gaps = big.groupBy("bin_id").agg((F.lit(capacity) - F.sum("len")).cast("int").alias("room")).where("room > 0")
@@ -213,7 +213,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, sma
     rooms = {r["room"]: r["n"] for r in gaps.groupBy("room").agg(F.count("*").alias("n")).collect()}
     fits, _ = best_fit(rooms, {x: n for x, n in counts.items() if x <= cut}, capacity)
     plan = spark.createDataFrame(fits, "len int, a bigint, z bigint, room int, bin0 bigint, per bigint")
-    little = ranks.where(F.col("len") <= cut).join(broadcast_if_small(plan, len(fits), 48), "len").where(here)
+    little = ranks.where(F.col("len") <= cut).join(broadcast_if_small(plan, len(fits), ROW_BYTES), "len").where(here)
     little = little.select("pid", "room", (F.col("bin0") + F.floor((F.col("rank") - F.col("a")) / F.col("per"))).cast("bigint").alias("rank"))
     numbered = ranked(gaps, "room", "bin_id", max(rooms.values(), default=0))
     filled = little.where(F.col("room") != FRESH).join(numbered, ["room", "rank"]).select("pid", "bin_id")
@@ -240,7 +240,7 @@ def pack_tokens(encoded: DataFrame, key: str = "doc_id", capacity: int = CAPACIT
     """The same from rows of ``id`` and ``tokens``."""
     pieces = written(pieces_of(encoded, capacity).withColumn("pid", F.monotonically_increasing_id()), "pieces")
     placed = written(place(pieces, capacity, groups, small), "placed")
-    whole = pieces.join(broadcast_if_small(placed, placed.count(), 24), "pid", "left")
+    whole = pieces.join(broadcast_if_small(placed, placed.count(), ROW_BYTES), "pid", "left")
     names = free(["bin_id", "piece", "start", "length", "tokens"], [key])
     columns: list[Column] = [F.col(c).alias(n) for c, n in zip(["bin_id", "piece", "start", "len", "tokens"], names)]
     return whole.select(columns[0], F.col("id").alias(key), *columns[1:])
