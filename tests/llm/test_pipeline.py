@@ -37,24 +37,24 @@ def junk(text):
     w, chars = words(text), max(len(text), 1)
     if not w:
         return True
-    wider, hit = max(1, repetition.FULL_WORDS / len(w)), False
+    more, hit = repetition.SENTENCE / len(w), False
     for n in range(2, 11):
         grams = [tuple(text[a:b] for a, b in w[i : i + n]) for i in range(len(w) - n + 1)]
         if n in repetition.TOP:
             count = Counter(grams)
             best = max(((c, w[grams.index(g) + n - 1][1] - w[grams.index(g)][0]) for g, c in count.items() if c > 1), default=(0, 0))
-            hit |= min(1, best[0] * best[1] / chars) > repetition.TOP[n] * wider
+            hit |= min(1, best[0] * best[1] / chars) > repetition.TOP[n] + 2 * n / len(w)
         else:
             seen, inside = set(), set()
             for i, g in enumerate(grams):
                 if g in seen:
                     inside.update(range(w[i][0], w[i + n - 1][1]))
                 seen.add(g)
-            hit |= len(inside) / chars > min(0.5, repetition.DUP[n] * wider)
+            hit |= len(inside) / chars > min(0.5, repetition.DUP[n] + more)
     lines = [x for x in text.split("\n") if x.strip()]
     again = [x for k, x in enumerate(lines) if x in lines[:k]]
-    hit |= len(again) / max(1, len(lines)) > min(0.5, repetition.LINE * max(1, repetition.FULL_LINES / max(1, len(lines))))
-    return hit or sum(map(len, again)) / chars > min(0.5, repetition.LINE_CHARS * wider)
+    hit |= len(again) / max(1, len(lines)) > min(0.5, repetition.LINE + 1 / max(1, len(lines)))
+    return hit or sum(map(len, again)) / chars > min(0.5, repetition.LINE_CHARS + more)
 
 
 def test_quality_stage(stages):

@@ -11,10 +11,11 @@ over the characters, 1 at most, and 0 where no n-gram occurs twice. ``dup_line``
 equal an earlier one, ``dup_line_chars`` those lines' characters over all characters. ``lines`` counts non-blank lines.
 
 Edge cases. A null or empty text, and one of white space only, has 0 everywhere, no words, and is rejected
-(``reason`` = 'empty'). No length is exempt from a rule. One phrase said twice is a larger share of a short text, so under
-``FULL_WORDS`` words (``FULL_LINES`` lines for ``dup_line``) a limit rises with the inverse of the length, without a
-step: limit x FULL_WORDS / words. For ``dup_n`` and the line rules it rises to ``HALF`` and no further: a passage said
-twice reaches half at most, so where more is covered something is said at least three times. Any length is scanned
+(``reason`` = 'empty'). No length is exempt from a rule. One sentence said twice is no junk, but a larger share of a
+short text; so each limit allows for it: ``SENTENCE`` words over the text's words more for ``dup_n`` and ``dup_line_chars``,
+one line over its lines for ``dup_line``, an n-gram said twice for ``top_n``. The limits of ``dup_n`` and of the line rules go
+no higher than ``HALF``: a passage said twice reaches half at most, so where more is covered something is said at least
+three times. Any length is scanned
 whole. Rows are judged one by one, so repeated rows get equal rows and an empty table gives an empty one. ``repetition``
 returns the columns ``keep`` and its own, which get an underscore where a column kept has their name; other columns are
 ignored. ``quality_filter`` returns rows as they are.
@@ -32,7 +33,7 @@ from variorum.llm.common import byte_hashes, free, map_arrow, mix64, prefix_hash
 TOP = {2: 0.20, 3: 0.18, 4: 0.16}
 DUP = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE, LINE_CHARS = 0.30, 0.20
-FULL_WORDS, FULL_LINES = 100, 10
+SENTENCE = 16
 HALF = 0.5
 METRICS = [*(f"top_{n}" for n in TOP), *(f"dup_{n}" for n in DUP), "dup_line", "dup_line_chars"]
 
@@ -121,9 +122,9 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def broken(m: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray]]:
     """The rules in the order in which they give the reason, with the texts that break them."""
-    wider, lines = (np.maximum(1.0, full / np.maximum(m[n], 1)) for n, full in (("words", FULL_WORDS), ("lines", FULL_LINES)))
-    limits = [("dup_line", np.minimum(HALF, LINE * lines)), ("dup_line_chars", np.minimum(HALF, LINE_CHARS * wider))]
-    limits += [(f"top_{n}", most * wider) for n, most in TOP.items()] + [(f"dup_{n}", np.minimum(HALF, most * wider)) for n, most in DUP.items()]
+    words, lines = np.maximum(m["words"], 1), np.maximum(m["lines"], 1)
+    limits = [("dup_line", np.minimum(HALF, LINE + 1 / lines)), ("dup_line_chars", np.minimum(HALF, LINE_CHARS + SENTENCE / words))]
+    limits += [(f"top_{n}", most + 2 * n / words) for n, most in TOP.items()] + [(f"dup_{n}", np.minimum(HALF, most + SENTENCE / words)) for n, most in DUP.items()]
     return [("empty", m["words"] == 0)] + [(name, m[name] > most) for name, most in limits]
 
 
