@@ -272,6 +272,12 @@ def test_unrelated_texts_with_near_fingerprints_stay(spark):
     assert {r.doc_id: r.doc_ids for r in simhash.near_groups(d).collect()}[1] == [1, 3, 5]
 
 
+def test_an_id_with_two_texts_joins_the_groups_of_both(spark):
+    one, two, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    d = spark.createDataFrame([(3, two), (5, one), (5, two), (5, two), (7, one), (8, one + " end"), (9, other)], "doc_id bigint, text string")
+    assert sorted(r.doc_ids for r in simhash.near_groups(d).collect()) == [[3, 5, 7, 8], [9]]
+
+
 def test_no_document_goes_as_a_copy_of_an_unrelated_one(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     text = {r.doc_id: r.text for r in d.collect()}
@@ -282,6 +288,55 @@ def test_no_document_goes_as_a_copy_of_an_unrelated_one(spark):
             assert max(plain_jaccard(text[k], text[o]) for o in g if o != k) >= simhash.LEAST
 
 
+def weak_pairs(n):
+    """Pairs of texts of the same words, of whose shingles little more than ``LEAST`` is shared, each pair of other words."""
+    rng, rows = random.Random(5), []
+    for k in range(n):
+        words = [f"w{k}x{i}" for i in range(100)]
+        runs = [words[:52], *([w] for w in words[52:])]
+        tail = runs[1:]
+        rng.shuffle(tail)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(w for r in (runs[0], *tail) for w in r))]
+    return rows
+
+
+def test_lists_have_all_near_pairs_of_different_groups():
+    rng, n = np.random.default_rng(8), 400
+    f = rng.integers(0, 1 << 64, (30, 2), dtype=np.uint64)[rng.integers(0, 30, n)]
+    for _ in range(16):
+        f[np.arange(n), rng.integers(0, 2, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    table = np.column_stack([np.arange(n), f.view(np.int64), rng.integers(0, 90, n)])
+    lists = [rng.choice(n, m, replace=False) for m in (1, 2, 3, 64, 65, 250, 40, 40)]
+    token, doc = np.repeat(np.arange(len(lists)).astype(np.uint64), [len(x) for x in lists]), np.concatenate(lists)
+    near = (np.bitwise_count(f[:, None] ^ f[None]).sum(2) <= simhash.MAX_BITS) & (table[:, None, 3] != table[None, :, 3])
+    want = {(i, j) for x in lists for i in x.tolist() for j in x.tolist() if i < j and near[i, j]}
+    got = simhash.near_in_lists(token, doc, table, simhash.MAX_BITS)
+    assert want and len(got) == len(want) and set(map(tuple, got.tolist())) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 25), max_size=30), st.lists(st.integers(0, 25), max_size=30), st.integers(0, 5))
+def test_texts_that_share_enough_share_a_first_token(a, b, seed):
+    ranks = np.random.default_rng(seed).integers(0, 3, 1 << 20).astype(np.uint8)
+    at = simhash.mix64(np.arange(26, dtype=np.uint64))
+    h, doc = at[np.array([*a, *b], np.int64)], np.repeat([0, 1], [len(a), len(b)])
+    tokens, number = simhash.first_tokens(h, doc, 2, ranks)
+    sets = [set(map(bytes, tokens[: number[0]])), set(map(bytes, tokens[number[0] :]))]
+    assert [len(x) for x in sets] == number.tolist()
+    if len({*a} & {*b}) >= simhash.LEAST * max(1, len({*a} | {*b})):
+        assert sets[0] & sets[1]
+
+
+def test_groups_have_every_link_whatever_the_bucket(spark):
+    rows = weak_pairs(150)
+    linked = {k for k in range(0, 300, 2) if plain_jaccard(rows[k][1], rows[k + 1][1]) >= simhash.LEAST}
+    assert len(linked) == 150 and max(plain_jaccard(rows[k][1], rows[k + 1][1]) for k in linked) < 0.4
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {i: i - i % 2 for i in range(300)}
+    for bucket in (simhash.BUCKET, 4):
+        assert {r.id: r.root for r in simhash.near_roots(d, bucket=bucket).collect()} == want
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------
 def plain_best_fit(rooms, pieces, capacity):
     """Piece by piece, longest first, into the bin with least room that holds it."""

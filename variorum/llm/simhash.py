@@ -6,7 +6,11 @@ fifth. Near copies are documents whose fingerprints differ in at most ``MAX_BITS
 least ``LEAST`` of their ``GRAM``-word shingles (Jaccard; a shorter text is one shingle); groups are the connected
 components of that relation and of each group the document with the least id stays.
 
-Blocks. Equal word sequences are collapsed first, so a group of any number of equal texts is one point. One index over
+The groups are whole: two passes find links, and the second leaves none out between groups, whatever the first found.
+The first is there for speed only. It joins most copies by a forest, so that the second needn't look at the pairs within
+a group, which grow as its square.
+
+First pass. Equal word sequences are collapsed first, so a group of any number of equal texts is one point. One index over
 all points can't prune at ``MAX_BITS`` of 128: a node of it shares some log2(points) bits, on which unrelated points
 differ in half, far from the limit. So points are first blocked by what every pair that counts has in common: a
 shingle. The shingles of a text are split by hash into ``TABLES`` bins and the least hash of each bin is a block's key.
@@ -27,8 +31,17 @@ thousands of mutual copies cost no more output than a chain. Each reported pair
 and is an edge only if they share enough shingles. Components over all blocks come from alternating star rounds over
 written tables.
 
+Second pass. Put the distinct shingles of all texts in one order, whichever. Two texts of which at least ``LEAST`` is
+shared have one of the first n - ceil(LEAST n) + 1 of each text's n shingles in common, so the lists of texts by those
+first shingles hold every pair that counts, without bound on a list. In each list all pairs of different groups of the first
+pass within ``MAX_BITS`` are taken, no sketch asked and no forest grown, and held against their texts; those that pass
+join groups. The order puts shingles that are frequent in a sample of some ``SAMPLE`` texts last, which keeps the lists
+short; a poor sample costs time, never a pair. Cost: some 70 % of the distinct shingles are written and shuffled once, at
+``TOKEN`` bytes each; pairs of different groups that are near in bits but not in text are each held against the texts,
+and texts of many groups that share one rare passage are compared by fingerprint, pair by pair.
+
 Edge cases. Null texts and texts without words have no fingerprint: such rows stay and have no partners. Rows with
-equal ids are one document (any table row of that id goes or stays with it, and any of its texts may confirm a pair). A null id is kept and never grouped. Ties:
+equal ids are one document (any table row of that id goes or stays with it, and whatever is linked to one of its texts is in its group). A null id is kept and never grouped. Ties:
 least id. Ids of any type that can be sorted will do: those that aren't integers are numbered in their order first.
 Extra columns pass through. Empty in, empty out. Texts are always hashed whole.
 """
@@ -54,6 +67,8 @@ LEAF, FAN = 64, 8
 LIST = 10_000
 GRAM, LEAST = 3, 0.3
 BINS, HINT = 32, 0.15
+SAMPLE, SEEN, FREQUENT = 10_000, 3, 1 << 16
+TOKEN, PARTS, PART_TOKENS = 6, 32, 3_000_000
 _SKETCH = [f"s{i}" for i in range(BINS // 8)]
 _KEYS = [f"k{i}" for i in range(TABLES)]
 _FULL, _LOW = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x7F7F7F7F7F7F7F7F)
@@ -146,44 +161,96 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same - unused >= np.maximum(1, ((BINS - unused) * HINT).astype(np.uint8))
 
 
-def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Share of distinct shingles that the texts of two batches (bytes, offsets) have in common, row by row."""
+def compared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Share of distinct shingles that the texts of two batches (bytes, offsets) have in common, row by row, and the
+    hashes of both word sequences."""
     n = len(a[1]) - 1
-    keys, rows = [], []
+    keys, rows, seqs = [], [], []
     for data, offsets in (a, b):
-        h, doc, _ = shingles(data, offsets)
+        h, doc, seq = shingles(data, offsets)
         u, at = np.unique(h ^ mix64(doc.astype(np.uint64)), return_index=True)
         keys.append(u)
         rows.append(doc[at])
+        seqs.append(seq)
     u, at, times = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
     row = np.concatenate(rows)[at]
-    return np.bincount(row[times > 1], minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
+    return np.bincount(row[times > 1], minlength=n) / np.maximum(np.bincount(row, minlength=n), 1), *seqs
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """The pairs (src, dst) whose whole texts share at least ``LEAST`` of their shingles."""
+def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Share of distinct shingles that the texts of two batches (bytes, offsets) have in common, row by row."""
+    return compared(a, b)[0]
+
+
+def verified(found: DataFrame, points: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Of pairs of points (by ``seq``: src, dst) those whose whole texts share at least ``LEAST`` of their shingles, as ids."""
+    named = [points.select(F.col("seq").alias(f"{c}_seq"), F.col("id").alias(c)) for c in ("src", "dst")]
+    pairs = found.select(F.col("src").alias("src_seq"), F.col("dst").alias("dst_seq")).join(named[0], "src_seq").join(named[1], "dst_seq").where("src <> dst")
+    pairs = written(pairs, "named")
     ids = written(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "asked")
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t")).where("t is not null")
     texts = texts.join(broadcast_if_small(ids, ids.count(), ROW_BYTES), "id", "left_semi")
-    both = pairs.join(texts.select(F.col("id").alias("src"), F.col("t").alias("a")), "src").join(texts.select(F.col("id").alias("dst"), F.col("t").alias("b")), "dst").select("src", "dst", "a", "b")
+    both = pairs.join(texts.select(F.col("id").alias("src"), F.col("t").alias("a")), "src").join(texts.select(F.col("id").alias("dst"), F.col("t").alias("b")), "dst").select("src", "dst", "a", "b", "src_seq", "dst_seq")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         (da, oa, _), (db, ob, _) = (text_buffers(pc.utf8_lower(b.column(i))) for i in (2, 3))
-        share = [jaccard((da[oa[x] : oa[y]], oa[x : y + 1] - oa[x]), (db[ob[x] : ob[y]], ob[x : y + 1] - ob[x])) for x, y in slices(oa + ob)]
-        return b.select(["src", "dst"]).filter(pa.array(np.concatenate(share) >= LEAST))
+        parts = [compared((da[oa[x] : oa[y]], oa[x : y + 1] - oa[x]), (db[ob[x] : ob[y]], ob[x : y + 1] - ob[x])) for x, y in slices(oa + ob)]
+        share, src, dst = (np.concatenate(c) for c in zip(*parts))
+        # an id may have other texts beside the pair's own
+        own = (src.view(np.int64) == b.column(4).to_numpy()) & (dst.view(np.int64) == b.column(5).to_numpy())
+        return b.select(["src", "dst"]).filter(pa.array(own & (share >= LEAST)))
 
     return map_arrow(both, run, "src bigint, dst bigint").distinct()
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def frequency(docs: DataFrame, text: str) -> np.ndarray:
+    """How frequent shingles are in a sample: a rank for each value of their hash's upper bits, the greatest of those it stands for."""
+    ranks = np.zeros(1 << 20, np.uint8)
+    if not (n := docs.count()):
+        return ranks
+    some = docs.select(F.col(f"`{text}`").alias("t")).where("t is not null").sample(min(1.0, SAMPLE / n), seed=7)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets, _ = text_buffers(pc.utf8_lower(b.column(0)))
+        found = [np.zeros(0, np.uint64)]
+        for x, y in slices(offsets):
+            h, doc, _ = shingles(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+            end = np.searchsorted(doc, np.arange(y - x + 1))
+            found += [np.unique(h[i:j]) for i, j in zip(end[:-1], end[1:])]
+        u, times = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(times)], names=["h", "n"])
+
+    often = map_arrow(some, run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    h = np.array([r.h for r in often], np.int64).view(np.uint64)
+    np.maximum.at(ranks, (h >> np.uint64(44)).astype(np.int64), np.ceil(16 * np.log2([r.n for r in often] or [1])).clip(1, 255).astype(np.uint8)[: len(h)])
+    return ranks
+
+
+def first_tokens(h: np.ndarray, doc: np.ndarray, n: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text's shingles, rarest first, those of which any text that shares ``LEAST`` has one among its own: their
+    tokens (``TOKEN`` bytes each) and their number by text."""
+    order = ranks[h >> np.uint64(44)].astype(np.uint64) << np.uint64(56) | h & np.uint64((1 << 56) - 1)
+    ends = np.searchsorted(doc, np.arange(n + 1))
+    for i, j in zip(ends[:-1], ends[1:]):
+        order[i:j].sort()
+    new = np.concatenate([[True], (order[1:] != order[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, bool)
+    order, doc = order[new], doc[new]
+    size = np.bincount(doc, minlength=n)
+    # a tenth of a thousandth keeps a product's rounding from taking a token too few
+    number = size - np.ceil(LEAST * size - 1e-4).astype(np.int64) + (size > 0)
+    first = np.arange(len(doc)) - (np.cumsum(size) - size)[doc] < number[doc]
+    return order[first, None].view(np.uint8)[:, :TOKEN], number
+
+
+def with_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", ranks: np.ndarray | None = None) -> DataFrame:
     """``id``, ``f1``, ``f2`` (signed halves), the word sequence's hash ``seq``, the sketch and the block keys of each row
-    that has an id and a word. No shuffle."""
+    that has an id and a word, and, where ranks are given, its first tokens and their number. No shuffle."""
     body = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t")).where("id is not null and t is not null")
     names = ["id", "f1", "f2", "seq", *_SKETCH, *_KEYS]
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets, _ = text_buffers(pc.utf8_lower(b.column(1)))
-        parts = []
+        parts, tokens = [], []
         for x, y in slices(offsets):
             d, o = data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
             words = words_of(d, o)
@@ -192,10 +259,19 @@ def with_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id")
             least = least_hashes(h, doc, y - x)
             parts.append(np.column_stack([f, seq, sketches(least).view(np.uint64), block_keys(least)])[number > 0])
             parts.append(np.flatnonzero(number > 0) + x)
+            if ranks is not None:
+                t, size = first_tokens(h, doc, y - x, ranks)
+                tokens.append((t.reshape(-1), size[number > 0]))
         numbers, has = np.concatenate(parts[::2]).view(np.int64), np.concatenate(parts[1::2])
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), *(pa.array(c) for c in numbers.T.copy())], names=names)
+        cols = [b.column(0).take(pa.array(has)), *(pa.array(c) for c in numbers.T.copy())]
+        if ranks is None:
+            return pa.RecordBatch.from_arrays(cols, names=names)
+        held, size = (np.concatenate(c) for c in zip(*tokens))
+        at = np.concatenate([[0], np.cumsum(size * TOKEN)])
+        blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(held)])
+        return pa.RecordBatch.from_arrays([*cols, pa.array(size), blob.cast(pa.binary())], names=[*names, "n_tokens", "tokens"])
 
-    return map_arrow(body, run, ", ".join(f"{c} bigint" for c in names))
+    return map_arrow(body, run, ", ".join(f"{c} bigint" for c in names) + ("" if ranks is None else ", n_tokens bigint, tokens binary"))
 
 
 def plan(points: int, max_bits: int = MAX_BITS, bucket: int = BUCKET, recall: float = RECALL) -> tuple[int, int]:
@@ -368,8 +444,9 @@ def parted(rows: DataFrame, large: DataFrame, count: int, max_bits: int, bucket:
 
 
 def block_edges(points: DataFrame, max_bits: int, bucket: int, recall: float, rounds: int = ROUNDS) -> DataFrame:
-    """Pairs (src > dst) of the ids of points that share a block, are near and look alike by their sketches."""
-    rows = points.select(F.explode(F.array(*_KEYS)).alias("b"), "id", "f1", "f2", *_SKETCH).where("b <> 0")
+    """Pairs (src > dst) of points, by ``seq``, that share a block, are near and look alike by their sketches: a forest for
+    the first pass, which may lack links and needn't be whole."""
+    rows = points.select(F.explode(F.array(*_KEYS)).alias("b"), "seq", "f1", "f2", *_SKETCH).where("b <> 0")
     for seed in range(rounds):
         keys = points.select(F.explode(F.array(*_KEYS)).alias("b")).where("b <> 0") if seed == 0 else rows.select("b")
         large = written(keys.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "large")
@@ -383,9 +460,9 @@ def block_edges(points: DataFrame, max_bits: int, bucket: int, recall: float, ro
             same = cols[0][1:] == cols[0][:-1]
             met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             cols = [c[met] for c in cols]
-            ids = cols[1]
+            seqs = cols[1]
             i, j = block_forest(cols[0], np.stack(cols[2:4], 1).view(np.uint64), np.stack(cols[4:], 1).view(np.uint64), max_bits)
-            src, dst = np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
+            src, dst = np.maximum(seqs[i], seqs[j]), np.minimum(seqs[i], seqs[j])
             out = src != dst
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(src[out]), pa.array(dst[out])], names=["src", "dst"])
@@ -407,6 +484,101 @@ def block_edges(points: DataFrame, max_bits: int, bucket: int, recall: float, ro
     return ordered.mapInArrow(search, "src bigint, dst bigint").distinct()
 
 
+def _wide(tokens: np.ndarray) -> np.ndarray:
+    """Tokens of ``TOKEN`` bytes as uint64."""
+    out = np.zeros((len(tokens) // TOKEN, 8), np.uint8)
+    out[:, :TOKEN] = tokens.reshape(-1, TOKEN)
+    return out.view(np.uint64)[:, 0]
+
+
+def near_in_lists(token: np.ndarray, doc: np.ndarray, table: np.ndarray, max_bits: int) -> np.ndarray:
+    """Pairs of rows of ``table`` (seq, two fingerprint halves, group) that share a token, differ in group and are near, as (n, 2),
+    each once. ``token`` and ``doc`` are sorted by token."""
+    def lists(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        t, d = token[keep], doc[keep]
+        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+        return t, d, start, np.diff(np.append(start, len(t)))
+
+    shared = np.concatenate([[False], token[1:] == token[:-1]])[: len(token)]
+    token, doc, start, size = lists(shared | np.append(shared[1:], False))
+    if not len(token):
+        return np.zeros((0, 2), np.int64)
+    group = table[doc, 3]
+    several = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)
+    token, doc, start, size = lists(np.repeat(several, size))
+    group, h, l = table[doc, 3], table[doc, 1].view(np.uint64), table[doc, 2].view(np.uint64)
+    left = np.repeat(start + size, size) - np.arange(len(doc)) - 1
+    n, out = len(table), [np.zeros(0, np.int64)]
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        out.append(np.unique(np.minimum(doc[i], doc[j]) * n + np.maximum(doc[i], doc[j])))
+        if sum(map(len, out[1:])) > max(1 << 20, len(out[0])):
+            out[:] = [np.unique(np.concatenate(out))]
+
+    i, step = np.flatnonzero(np.repeat(size <= LEAF, size)), 0
+    while len(i := i[left[i] > step]):
+        step += 1
+        near = i[group[i] != group[i + step]]
+        near = near[np.bitwise_count(h[near] ^ h[near + step]) + np.bitwise_count(l[near] ^ l[near + step]) <= max_bits]
+        add(near, near + step)
+    for a, m in zip(start[size > LEAF], size[size > LEAF]):
+        f = np.stack([h[a : a + m], l[a : a + m]], 1)
+        rank = gray_rank(f)
+        at = np.lexsort((rank[:, 1], rank[:, 0]))
+        groups = Forest(m)  # isn't grown: no pair here is proven
+        groups.root = np.unique(group[a : a + m][at], return_inverse=True)[1]
+        for i, j in near_pairs(f[at], max_bits, groups):
+            add(a + at[i], a + at[j])
+    code = np.unique(np.concatenate(out))
+    return np.stack([code // n, code % n], 1)
+
+
+def missed_edges(rows: DataFrame, tokens: int, max_bits: int) -> DataFrame:
+    """All pairs of points, by ``seq``, of different groups (``root``) that are within ``max_bits`` and share a first token."""
+    parts = max(PARTS, math.ceil(tokens / PART_TOKENS))
+
+    def spread(b: pa.RecordBatch) -> pa.RecordBatch:
+        table = np.stack([b.column(i).to_numpy() for i in range(4)], 1)
+        held, offsets, _ = text_buffers(b.column(4).cast(pa.binary()))
+        part = (_wide(held) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        doc, held = np.repeat(np.arange(len(table)), np.diff(offsets) // TOKEN)[order], held.reshape(-1, TOKEN)[order]
+        out = []
+        for p, (x, y) in enumerate(zip(ends[:-1], ends[1:])):
+            if x < y:
+                u, times = np.unique(doc[x:y], return_counts=True)
+                out.append((p, table[u].tobytes(), times.astype(np.uint32).tobytes(), held[x:y].tobytes()))
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["part", "points", "times", "tokens"])
+
+    def search(t: pa.Table) -> pa.Table:
+        table, times, held = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(c)]) for c, kind in (("points", np.int64), ("times", np.uint32), ("tokens", np.uint8)))
+        table = table.reshape(-1, 4)
+        # rows that repeat an id and its text are one point
+        _, first, point = np.unique(table[:, 0], return_index=True, return_inverse=True)
+        token = _wide(held)
+        del t, held
+        order = np.argsort(token)
+        token = token[order]
+        shared = np.concatenate([[False], token[1:] == token[:-1]])
+        shared |= np.append(shared[1:], False)
+        token, order = token[shared], order[shared]
+        doc = np.repeat(point.astype(np.int32), times)[order].astype(np.int64)
+        del order, shared
+        if len(first) < len(table):
+            order = np.lexsort((doc, token))
+            token, doc = token[order], doc[order]
+            once = np.concatenate([[True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])])[: len(doc)]
+            token, doc = token[once], doc[once]
+        pairs = np.sort(table[first, 0][near_in_lists(token, doc, table[first], max_bits)], axis=1)
+        pa.default_memory_pool().release_unused()
+        return pa.table({"src": pairs[:, 1].copy(), "dst": pairs[:, 0].copy()})
+
+    lists = map_arrow(rows.select("seq", "f1", "f2", "root", "tokens"), spread, "part bigint, points binary, times binary, tokens binary")
+    return lists.groupBy("part").applyInArrow(search, "src bigint, dst bigint").distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``id``, ``root`` (the least id of its component) for every id of the edges, root included: alternating
     large-star and small-star rounds, which end after about log of the diameter. Each round is a written table, so a
@@ -442,16 +614,29 @@ def with_number(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]
 
 def near_roots(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS, bucket: int = BUCKET, recall: float = RECALL) -> DataFrame:
     """``id``, ``root`` of every document that isn't alone; the root is the group's least id. ``key`` holds integers."""
-    prints = written(with_fingerprints(docs, text, key), "prints")
+    prints = written(with_fingerprints(docs, text, key, frequency(docs, text)), "prints")
     points = written(prints.groupBy("f1", "f2", "seq").agg(F.min("id").alias("id"), F.max("id").alias("last"), *(F.min(c).alias(c) for c in [*_SKETCH, *_KEYS])), "points")
     pairs = written(block_edges(points, max_bits, bucket, recall), "pairs")
-    roots = written(components(verified(pairs, docs, text, key)), "roots")
+    roots = written(components(verified(pairs, points, docs, text, key)), "roots")
+    # each point once, by its least id, and the group it is in so far
+    copied = written(points.where("last > id").select("f1", "f2", "seq", F.col("id").alias("point")), "copied")
+    few, grouped = broadcast_if_small(copied, copied.count(), ROW_BYTES), broadcast_if_small(roots, roots.count(), ROW_BYTES)
+    rows = prints.select("id", "f1", "f2", "seq", "tokens").join(few, ["f1", "f2", "seq"], "left").where("point is null or point = id").join(grouped, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    missed = written(missed_edges(rows, prints.agg(F.sum("n_tokens")).first()[0] or 0, max_bits), "missed")
+    more = written(verified(missed, points, docs, text, key), "more")
+    if not more.isEmpty():
+        roots = written(components(roots.select(F.col("id").alias("src"), F.col("root").alias("dst")).where("src <> dst").union(more)), "roots")
     # a point's own documents hang on its least id; that one on the component's root
-    same = prints.join(points.where("last > id").select("f1", "f2", "seq", F.col("id").alias("point")), ["f1", "f2", "seq"]).select("id", "point").distinct()
+    same = prints.join(few, ["f1", "f2", "seq"]).select("id", "point").distinct()
     direct = roots.select("id", F.col("id").alias("point")).union(same).distinct()
     found = direct.join(roots.withColumnRenamed("id", "point"), "point", "left").select("id", F.coalesce("root", "point").alias("root"))
-    # two prints of one id (rows that repeat an id with other texts) may name two roots: the least stands
-    return found.groupBy("id").agg(F.min("root").alias("root"))
+    found = written(found.distinct(), "found")
+    # two prints of one id (rows that repeat an id with other texts) may name two roots: their groups are one
+    twice = written(found.groupBy("id").agg(F.min("root").alias("dst"), F.max("root").alias("last")).where("dst < last").select("id", "dst"), "twice")
+    if twice.isEmpty():
+        return found
+    merged = components(found.join(twice, "id").select(F.col("root").alias("src"), "dst"))
+    return found.join(merged.select(F.col("id").alias("root"), F.col("root").alias("whole")), "root", "left").select("id", F.coalesce("whole", "root").alias("root")).distinct()
 
 
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
