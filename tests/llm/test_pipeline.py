@@ -1,6 +1,7 @@
 """Every stage of the pipeline on what its predecessor kept, against a plain version of it, and the whole run."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -138,6 +139,17 @@ def test_near_stage(spark, stages):
     assert Counter(after) == Counter(r for r in before if find(r.doc_id) == r.doc_id) and len(after) < len(before)
 
 
+def test_near_stage_leaves_no_weak_link_out(spark):
+    rng, rows = random.Random(5), []
+    for k in range(150):
+        words = [f"w{k}x{i}" for i in range(100)]
+        tail = words[52:]
+        rng.shuffle(tail)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:52] + tail))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, d, SF).collect()) == list(range(0, 300, 2))
+
+
 def test_packing_stage_and_run(spark, stages):
     (_, before), (_, after) = stages[4:6]
     codec, got, fill = bpe.codec(bpe.VOCABULARY), defaultdict(list), Counter()
