@@ -6,6 +6,7 @@ Everything here is driver-light: no function collects rows whose number grows wi
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -91,17 +92,27 @@ def schema_with(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(n, t, True) for n, t in fields]])
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the machine. Python workers live on between tasks, and what they hold
+    unused counts against an executor that may run no Python then. Callers let go of their batches first."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with a function of one batch. Spark's batches are bounded by rows and may hold many megabytes of text,
     of which a function makes several copies; so each is handed on in parts of about ``PART_BYTES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = out = None
         for b in batches:
             step = max(1, b.num_rows * PART_BYTES // max(b.nbytes, PART_BYTES))
             for x in range(0, b.num_rows, step):
                 if (out := f(b.slice(x, step))) is not None:
                     yield out
-        pa.default_memory_pool().release_unused()
+        b = out = None
+        release()
 
     return df.mapInArrow(run, schema)
 

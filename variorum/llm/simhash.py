@@ -58,7 +58,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variorum.llm.common import ROW_BYTES, broadcast_if_small, byte_hashes, drop, free, map_arrow, mix64, prefix_hash, runs_of, slices, sub_hash, text_buffers, written
+from variorum.llm.common import ROW_BYTES, broadcast_if_small, byte_hashes, drop, free, map_arrow, mix64, prefix_hash, release, runs_of, slices, sub_hash, text_buffers, written
 
 MAX_BITS = 24
 SHORT, SHORT_WEIGHT = 4, 0.2
@@ -479,6 +479,8 @@ def block_edges(points: DataFrame, max_bits: int, bucket: int, recall: float, ro
             held.append([c[last:] for c in cols])
         if held:
             yield from edges(held)
+        batch = cols = held = None
+        release()
 
     ordered = rows.repartition("b").sortWithinPartitions("b")
     return ordered.mapInArrow(search, "src bigint, dst bigint").distinct()
@@ -572,7 +574,8 @@ def missed_edges(rows: DataFrame, tokens: int, max_bits: int) -> DataFrame:
             once = np.concatenate([[True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])])[: len(doc)]
             token, doc = token[once], doc[once]
         pairs = np.sort(table[first, 0][near_in_lists(token, doc, table[first], max_bits)], axis=1)
-        pa.default_memory_pool().release_unused()
+        del table, token, doc, first, point, times
+        release()
         return pa.table({"src": pairs[:, 1].copy(), "dst": pairs[:, 0].copy()})
 
     lists = map_arrow(rows.select("seq", "f1", "f2", "root", "tokens"), spread, "part bigint, points binary, times binary, tokens binary")
