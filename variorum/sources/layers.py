@@ -25,9 +25,9 @@ def is_apparatus_like(c: Column) -> Column:
 
 
 def tail_of(c: Column) -> Column:
-    """The last line that isn't blank, white space collapsed."""
+    """The last line that isn't blank, white space collapsed; null where all are."""
     lines = F.filter(F.transform(F.split(c, "\n"), X.normalise), lambda x: x != "")
-    return F.element_at(lines, -1)
+    return F.try_element_at(lines, F.lit(-1))
 
 
 def footers(blocks: DataFrame, group: tuple[str, ...] = ("doc_id",), least: int = 3, chars: int = 25) -> DataFrame:
