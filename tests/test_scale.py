@@ -1,11 +1,12 @@
 """What odd inputs and larger tables brought to light."""
 
 import duckdb
-import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from variorum.functions import rows
 from variorum.plans import queries as catalogue
-from variorum.sources import layers
+from variorum.sources import layers, tei
 
 
 def like_the_sql(spark, folder, name):
@@ -32,3 +33,24 @@ def test_references_cut_off_in_pages(spark, tmp_path):
     html = ["<h1>end = &quot</h1><p>a &amp b &amp;amp; &amp;quot;c&quot; &lt; &copy; 1 &middot; x & y</p><footer> &amp;copy;  &#39; &copy</footer>", None, "<p></p>"]
     spark.createDataFrame(list(enumerate(html)), "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert len(like_the_sql(spark, tmp_path, "hocr_ingest")) == 3
+
+
+def test_a_golden_build_reads_its_documents_once(spark):
+    plan = catalogue.queries()["golden_build"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # pages to fragments, documents, their items
+
+
+def test_rows_are_handed_on_in_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, None if i == 2 else "x" * i) for i in range(5)], "doc_id int, text string")
+    kind = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("s", T.ArrayType(T.StringType()))])
+    got = rows.read(docs.coalesce(1), "text", lambda s: [(k, [s]) for k in range(len(s) * 10000)] if s == "xxx" else [(len(s), [s])], kind)
+    n = {r.doc_id: r.n for r in got.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert n == {0: 1, 1: 1, 3: 30000, 4: 1}
+    assert got.where("doc_id = 4").first() == (4, 4, ["xxxx"])
+
+
+def test_only_bad_references_leave_the_reader(spark):
+    xml = "<TEI><witness xml:id='wit-A'/><app from='#no' to='#wit-A'><rdg wit='#wit-A #wit-A'/><rdg wit='#wit-A'/></app></TEI>"
+    plan = tei.bad_references(spark.createDataFrame([(1, xml)], "doc_id int, tei string"))
+    assert sorted((r.attribute, r.ref) for r in plan.collect()) == [("from", "#no"), ("wit", "#wit-A"), ("wit", "#wit-A")]
+    assert "Filter" not in plan._jdf.queryExecution().optimizedPlan().toString()
