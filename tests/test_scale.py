@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from variorum.functions import rows
+from variorum.operators import qa
 from variorum.plans import queries as catalogue
 from variorum.sources import layers, tei
 
@@ -54,3 +55,11 @@ def test_only_bad_references_leave_the_reader(spark):
     plan = tei.bad_references(spark.createDataFrame([(1, xml)], "doc_id int, tei string"))
     assert sorted((r.attribute, r.ref) for r in plan.collect()) == [("from", "#no"), ("wit", "#wit-A"), ("wit", "#wit-A")]
     assert "Filter" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_coverage_guard_parses_its_pages_once(spark):
+    d = catalogue.queries()["coverage_guard"](spark, "/root/testdata/sf0.001")
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    pages = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id int, page_index int")
+    report = spark.createDataFrame([(1, 1), (1, None), (3, 4), (2, 0)], "doc_id int, page_index int")
+    assert sorted(map(tuple, qa.uncovered(report, pages).collect())) == [(1, 0, "document"), (3, 4, "report")]

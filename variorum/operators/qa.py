@@ -133,5 +133,7 @@ def uncovered(coverage: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages that a coverage report doesn't describe, and reported pages that the document hasn't: a report with a row here
     couldn't be recomputed from the document."""
     key = ["doc_id", "page_index"]
-    c, p = coverage.where("page_index is not null").select(*key).distinct(), pages.select(*key).distinct()
-    return p.join(c, key, "left_anti").withColumn("only_in", F.lit("document")).unionByName(c.join(p, key, "left_anti").withColumn("only_in", F.lit("report")))
+    of = lambda d, side: d.select(*key, F.lit(side).alias("side"))
+    both = of(coverage.where("page_index is not null"), "report").unionByName(of(pages, "document"))  # each is read once
+    sides = both.groupBy(*key).agg(F.min("side").alias("only_in"), F.max("side").alias("__other"))
+    return sides.where(F.col("only_in") == F.col("__other")).drop("__other")
